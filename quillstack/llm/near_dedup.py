@@ -1,11 +1,13 @@
 """MinHash near-dedup: ProbMinHash signatures, banding, verified probability Jaccard, connected components.
 
 Nodes are distinct texts (by md5), so exact copies cost one row each. Within a bucket (a band's value) every member is
-compared with one leader, the least node; members that aren't similar to it go on to the next leader. As 1 - similarity
-is a metric (it is the chance that a locality-sensitive hash differs), a pair in which neither is the leader can only be
-similar if their distances to the leader differ by no more than the threshold distance. Such pairs are compared where
-their nodes are still in different components after a second round of leaders. So no similar pair that shares a bucket
-is left out, and no bucket's pairs are listed as a whole.
+first compared with one leader, the member that meets most others over all its buckets (in a group of copies, the text
+they stem from). From then on only pairs of different components matter, in buckets that hold several. As 1 - similarity
+is a metric (it is the chance that a locality-sensitive hash differs), such a pair can only be similar if the distances
+to the bucket's leader differ by no more than the threshold distance. A bucket in which that still leaves more than
+``FEW`` pairs a member gets a further leader, outside its largest component, which is compared with all members of other
+components and is then done with; else the pairs are compared. So no component is split that has a similar pair in a
+bucket, and no bucket's pairs are listed as a whole.
 
 Words are runs of digits, letters and non-ASCII characters, lower-cased; shingles are five words, weighted by count.
 Texts without words (null ones too) resemble nothing: each such row is a class of its own. A class is named by its least
@@ -25,6 +27,8 @@ from quillstack.llm.components import components
 from quillstack.llm.probminhash import bands, probability_jaccard, shingles, signature
 
 SIMILAR = 0.8
+#: So many pairs a member of a bucket, between different components, are compared without a further leader.
+FEW = 64
 
 
 def text_node(text="text"):
@@ -68,44 +72,37 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def similar_links(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     """Links (a, b) that connect all similar pairs of the buckets (band, node): see the module's description."""
-    spark = members.sparkSession
-    known = spark.createDataFrame([], "a binary, b binary, similarity double")
-    placed, open_, least = [], members, True
+    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+    weight = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = stored(members.join(weight, "node"), "weighed")
+    leaders = weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    led = stored(weighed.join(leaders, "band"), "led")
+    pairs = stored(verified(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), texts), "pairs")
+    near = led.join(pairs, (led.node == pairs.a) & (led.leader == pairs.b), "left").select("band", "node", "weight", F.when(F.col("node") == F.col("leader"), 1.0).otherwise(F.col("similarity")).alias("to_leader"))
+    near = stored(near, "near")
+    links = pairs.where(F.col("similarity") >= similar).select("a", "b")
+    ends = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
+    possible = F.abs(F.col("x.to_leader") - F.col("y.to_leader")) <= 1 - similar + 1e-9
     while True:
-        # one leader a bucket; the leaders' own rows and buckets of one go
-        leaders = open_.groupBy("band").agg((F.min if least else F.max)("node").alias("leader"), F.count("node").alias("n")).where("n > 1").drop("n")
-        led = stored(open_.join(leaders, "band").where("node <> leader"), "led")
-        pairs = led.select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-        fresh = pairs.join(known, ["a", "b"], "left_anti")
-        found = stored(verified(fresh, texts), "pairs")
-        known = known.unionByName(found)
-        at = led.join(known, (led.node == known.a) & (led.leader == known.b)).select("band", "node", "leader", "similarity")
-        placed.append(at)
-        open_ = stored(at.where(F.col("similarity") < similar).select("band", "node"), "open")
-        links = known.where(F.col("similarity") >= similar)
-        if open_.groupBy("band").count().where("count > 1").limit(1).count():
-            continue
-        if not least:
-            break
-        # once more with other leaders, over the buckets whose members aren't yet in one component
         labels = components(links)
-        split = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = split.groupBy("band").agg((F.min("label") != F.max("label")).alias("mixed")).where("mixed").select("band")
-        open_, least = stored(members.join(mixed, "band", "left_semi"), "open"), False
-        if not open_.limit(1).count():
-            return links
-    # what the triangle inequality leaves: pairs of one bucket and leader, of different components
-    labels = components(links)
-    near = placed[0]
-    for more in placed[1:]:
-        near = near.unionByName(more)
-    near = near.where(F.col("similarity") >= 2 * similar - 1).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    near = stored(near, "near")
-    a, b = near.alias("a"), near.where(F.col("similarity") < similar).alias("b")
-    cross = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.leader") == F.col("b.leader")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.similarity") >= similar) & (F.col("a.similarity") - F.col("b.similarity") <= 1 - similar))
-    cross = cross.select(F.greatest("a.node", "b.node").alias("a"), F.least("a.node", "b.node").alias("b")).distinct()
-    more = stored(verified(cross.join(known, ["a", "b"], "left_anti"), texts), "pairs")
-    return links.unionByName(more.where(F.col("similarity") >= similar))
+        tagged = near.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        groups = tagged.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
+        total = F.sum("k")
+        bands_ = groups.groupBy("band").agg(total.alias("n"), ((total * total - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"), F.max_by("label", F.struct("k", "label")).alias("most")).where("cross > 0")
+        open_ = stored(tagged.join(bands_, "band"), "open")
+        heavy = open_.where(F.col("cross") > FEW * F.col("n"))
+        if not heavy.limit(1).count():
+            break
+        chosen = heavy.where(F.col("label") != F.col("most")).groupBy("band").agg(F.max_by(F.struct("node", "label", "to_leader"), F.struct("weight", "node")).alias("l"))
+        further = chosen.select("band", F.col("l.node").alias("node"), F.col("l.label").alias("label"), F.col("l.to_leader").alias("to_leader"))
+        asked = heavy.alias("x").join(further.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & possible).select(*ends).distinct()
+        more = verified(asked, texts).where(F.col("similarity") >= similar).select("a", "b")
+        links = stored(links.unionByName(more), "links")
+        near = stored(open_.select("band", "node", "weight", "to_leader").join(further.select("band", "node"), ["band", "node"], "left_anti"), "near")
+    x, y = open_.alias("x"), open_.alias("y")
+    asked = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & possible).select(*ends).distinct()
+    more = verified(stored(asked, "asked"), texts).where(F.col("similarity") >= similar).select("a", "b")
+    return stored(links.unionByName(more), "links")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

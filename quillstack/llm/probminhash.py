@@ -6,7 +6,7 @@ import numpy as np
 
 from quillstack.llm.decontamination import words as text_words
 
-SHINGLE, REGISTERS, ROWS = 5, 96, 4
+SHINGLE, REGISTERS, ROWS = 5, 192, 6
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _POWERS = np.array([0x9DDFEA08EB382D69, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
