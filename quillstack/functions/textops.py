@@ -212,7 +212,8 @@ def sentence_count(text: Column) -> Column:
 
 def fk_grade(text: Column) -> Column:
     words = F.greatest(F.lit(1).cast("bigint"), word_count(text))
-    return F.round(0.39 * words / sentence_count(text) + 11.8 * syllable_count(text) / words - 15.59, 3)
+    grade = 0.39 * words / sentence_count(text) + 11.8 * syllable_count(text) / words - 15.59
+    return F.floor(grade * 1000 + 0.5) / 1000  # to 3 places, the same steps on every engine
 
 
 def tokens_or_estimate(n_tokens: Column, n_words: Column) -> Column:

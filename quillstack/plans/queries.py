@@ -288,7 +288,7 @@ def qa_mismatch(spark, d):
     return convert.qa_mismatch(D.table(spark, d, "conversations"), "conv_id", "role", "user", "assistant")
 
 
-FK = r"""round(0.39::DOUBLE * greatest(1, len(regexp_extract_all({0}, '\S+'))) / greatest(1, len(regexp_extract_all({0}, '[.!?]+'))) + 11.8::DOUBLE * len(regexp_extract_all(lower({0}), '[aeiouy]+')) / greatest(1, len(regexp_extract_all({0}, '\S+'))) - 15.59::DOUBLE, 3)"""
+FK = r"""floor((0.39::DOUBLE * greatest(1, len(regexp_extract_all({0}, '\S+'))) / greatest(1, len(regexp_extract_all({0}, '[.!?]+'))) + 11.8::DOUBLE * len(regexp_extract_all(lower({0}), '[aeiouy]+')) / greatest(1, len(regexp_extract_all({0}, '\S+'))) - 15.59::DOUBLE) * 1000 + 0.5::DOUBLE) / 1000"""
 MANIFEST = r"""SELECT id, ['3_5', '6_8', '9_12', '12'][conv_id % 4 + 1] AS age_band, joined, CAST(len(regexp_extract_all(joined, '\S+')) AS BIGINT) AS n_words FROM (
 SELECT conv_id, 'c' || CAST(conv_id AS VARCHAR) AS id, string_agg(u || ' ' || v, ' ' ORDER BY turn) AS joined, bool_and(u <> '' AND v <> '') AS sound FROM (
   SELECT a.conv_id, a.turn, regexp_replace(a.t, '^\s+|\s+$', '', 'g') AS u, regexp_replace(b.t, '^\s+|\s+$', '', 'g') AS v
