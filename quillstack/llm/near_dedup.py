@@ -2,12 +2,12 @@
 
 Nodes are distinct texts (by md5), so exact copies cost one row each. Within a bucket (a band's value) every member is
 first compared with one leader, the member that meets most others over all its buckets (in a group of copies, the text
-they stem from). From then on only pairs of different components matter, in buckets that hold several. As 1 - similarity
-is a metric (it is the chance that a locality-sensitive hash differs), such a pair can only be similar if the distances
-to the bucket's leader differ by no more than the threshold distance. A bucket in which that still leaves more than
-``FEW`` pairs a member gets a further leader, outside its largest component, which is compared with all members of other
-components and is then done with; else the pairs are compared. So no component is split that has a similar pair in a
-bucket, and no bucket's pairs are listed as a whole.
+they stem from). From then on only pairs of different components matter, in buckets that hold several. There the members
+outside the bucket's largest component are held against all of the bucket, in blocks of ``BLOCK`` members against as many:
+a block pair is a task's unit, and no pair becomes a row. A pair is left to the first band that it shares, and to
+verification only if its signatures agree in a share of registers that a similar pair falls short of once in a million
+(``DEVIATIONS`` standard errors; the bands miss 6 in 100,000). Texts join only the members that have such a pair. Within a
+block pair the likeliest pairs are verified first, from whole texts, and none that verified links already connect.
 
 Words are runs of digits, letters and non-ASCII characters, lower-cased; shingles are five words, weighted by count.
 Texts without words (null ones too) resemble nothing: each such row is a class of its own. A class is named by its least
@@ -18,17 +18,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.llm.common import byte_texts, pieces, stored
 from quillstack.llm.components import components
-from quillstack.llm.probminhash import bands, probability_jaccard, shingles, signature
+from quillstack.llm.probminhash import REGISTERS, bands, probability_jaccard, shingles, signature
 
 SIMILAR = 0.8
-#: So many pairs a member of a bucket, between different components, are compared without a further leader.
-FEW = 64
+#: Members and bytes of text of a block, and the standard errors that decide what is verified.
+BLOCK, BLOCK_BYTES, DEVIATIONS = 512, 8 << 20, 5
 
 
 def text_node(text="text"):
@@ -36,18 +37,21 @@ def text_node(text="text"):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, node, bands (null without words)."""
+    """doc_id, node, bands and low bytes of the registers (null without words), bytes of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            out = []
+            out, low, size = [], [], []
             for text in byte_texts(batch.column(2)):
                 elements, weights = shingles(text)
-                out.append(bands(signature(elements, weights)) if len(elements) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+                who = signature(elements, weights) if len(elements) else None
+                out.append(bands(who) if who is not None else None)
+                low.append(who.astype(np.uint8).tobytes() if who is not None else None)
+                size.append(len(text))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "node", "bands", "low", "n_bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_node().alias("node"), F.col("text").cast("string"))
-    return rows.mapInArrow(run, "doc_id long, node binary, bands array<bigint>")
+    return rows.mapInArrow(run, "doc_id long, node binary, bands array<bigint>, low binary, n_bytes long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -70,52 +74,106 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
-def similar_links(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) that connect all similar pairs of the buckets (band, node): see the module's description."""
+def leader_links(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) between members of the buckets (band, node) and their buckets' leaders."""
     sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
     weight = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("weight"))
-    weighed = stored(members.join(weight, "node"), "weighed")
+    weighed = stored(members.select("band", "node").join(weight, "node"), "weighed")
     leaders = weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
-    led = stored(weighed.join(leaders, "band"), "led")
-    pairs = stored(verified(led.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct(), texts), "pairs")
-    near = led.join(pairs, (led.node == pairs.a) & (led.leader == pairs.b), "left").select("band", "node", "weight", F.when(F.col("node") == F.col("leader"), 1.0).otherwise(F.col("similarity")).alias("to_leader"))
-    near = stored(near, "near")
-    links = pairs.where(F.col("similarity") >= similar).select("a", "b")
-    ends = [F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")]
-    possible = F.abs(F.col("x.to_leader") - F.col("y.to_leader")) <= 1 - similar + 1e-9
-    while True:
-        labels = components(links)
-        tagged = near.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        groups = tagged.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-        total = F.sum("k")
-        bands_ = groups.groupBy("band").agg(total.alias("n"), ((total * total - F.sum(F.col("k") * F.col("k"))) / 2).alias("cross"), F.max_by("label", F.struct("k", "label")).alias("most")).where("cross > 0")
-        open_ = stored(tagged.join(bands_, "band"), "open")
-        heavy = open_.where(F.col("cross") > FEW * F.col("n"))
-        if not heavy.limit(1).count():
-            break
-        chosen = heavy.where(F.col("label") != F.col("most")).groupBy("band").agg(F.max_by(F.struct("node", "label", "to_leader"), F.struct("weight", "node")).alias("l"))
-        further = chosen.select("band", F.col("l.node").alias("node"), F.col("l.label").alias("label"), F.col("l.to_leader").alias("to_leader"))
-        asked = heavy.alias("x").join(further.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & possible).select(*ends).distinct()
-        more = verified(asked, texts).where(F.col("similarity") >= similar).select("a", "b")
-        links = stored(links.unionByName(more), "links")
-        near = stored(open_.select("band", "node", "weight", "to_leader").join(further.select("band", "node"), ["band", "node"], "left_anti"), "near")
-    x, y = open_.alias("x"), open_.alias("y")
-    asked = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.node") > F.col("y.node")) & (F.col("x.label") != F.col("y.label")) & possible).select(*ends).distinct()
-    more = verified(stored(asked, "asked"), texts).where(F.col("similarity") >= similar).select("a", "b")
-    return stored(links.unionByName(more), "links")
+    asked = weighed.join(leaders, "band").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    return stored(verified(asked, texts).where(F.col("similarity") >= similar).select("a", "b"), "leader-links")
+
+
+def block_pairs(tagged: DataFrame) -> DataFrame:
+    """Buckets' members (no, band, node, label, n_bytes) -> a row for each block pair (band, lo, hi) that a member is in.
+
+    Blocks below ``p`` hold what is outside the bucket's largest component and meet all blocks; the others meet only those.
+    """
+    groups = tagged.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n_bytes").alias("bytes"))
+    total = groups.groupBy("band").agg(F.max(F.struct("k", "label", "bytes")).alias("main"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
+    open_ = total.where(F.col("k") > F.col("main.k")).select("band", F.col("main.label").alias("most"), blocks(F.col("k") - F.col("main.k"), F.col("bytes") - F.col("main.bytes")).alias("p"), blocks(F.col("main.k"), F.col("main.bytes")).alias("q"))
+    outer, own = F.col("label") != F.col("most"), F.xxhash64("node")
+    placed = tagged.join(open_, "band").withColumn("block", F.when(outer, F.pmod(own, F.col("p"))).otherwise(F.col("p") + F.pmod(own, F.col("q"))).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outer, F.col("p") + F.col("q") - 1).otherwise(F.col("p") - 1))))
+    return met.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "no", "node", "label", "block")
+
+
+def likely(rows: pa.Table, similar: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of one block pair: the rows of likely pairs, likeliest first, their shares of equal registers, and labels as numbers."""
+    known: dict[bytes, int] = {}
+    label = np.array([known.setdefault(x, len(known)) for x in rows["label"].to_pylist()])
+    no, block = rows["no"][0].as_py(), rows["block"].to_numpy()
+    low = np.frombuffer(b"".join(rows["low"].to_pylist()), np.uint8).reshape(len(label), REGISTERS)
+    band = np.array(rows["bands"].to_pylist(), np.int64)
+    first, second = np.flatnonzero(block == rows["lo"][0].as_py()), np.flatnonzero(block == rows["hi"][0].as_py())
+    least = similar - DEVIATIONS * (similar * (1 - similar) / REGISTERS) ** 0.5
+    a, b, share = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    for i in first:
+        others = second[label[second] != label[i]]
+        if rows["lo"][0] == rows["hi"][0]:
+            others = others[others > i]
+        equal = (low[others] == low[i]).mean(1)
+        others, equal = others[equal >= least], equal[equal >= least]
+        here = (band[others] == band[i]).argmax(1) == no
+        a.append(np.full(here.sum(), i))
+        b.append(others[here])
+        share.append(equal[here])
+    a, b, share = np.concatenate(a), np.concatenate(b), np.concatenate(share)
+    order = np.argsort(-share, kind="stable")
+    return a[order], b[order], share[order], label
+
+
+def block_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, links: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) that connect what similar pairs of the buckets (no, band, node) connect beyond ``links``."""
+    keys = ["band", "lo", "hi"]
+
+    def pick(rows: pa.Table) -> pa.Table:
+        a, b, _, _ = likely(rows, similar)
+        return rows.take(np.unique(np.concatenate([a, b])))
+
+    def link(rows: pa.Table) -> pa.Table:
+        a, b, _, label = likely(rows, similar)
+        node, text, seen = rows["node"].to_pylist(), byte_texts(rows["text"].combine_chunks()), {}
+        up = list(range(int(label.max()) + 1))
+        found: list[tuple[bytes, bytes]] = []
+
+        def root(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def of(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in seen:
+                seen[i] = shingles(text[i])
+            return seen[i]
+
+        for i, j in zip(a.tolist(), b.tolist(), strict=True):
+            x, y = root(int(label[i])), root(int(label[j]))
+            if x != y and probability_jaccard(of(i), of(j)) >= similar:
+                up[x] = y
+                found.append((node[i], node[j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([y for _, y in found], pa.binary())})
+
+    sized = members.join(nodes.select("node", "n_bytes"), "node")
+    tagged = sized.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    sketched = block_pairs(stored(tagged, "tagged")).join(nodes.select("node", "bands", "low"), "node").select(*keys, "no", "node", "label", "block", "bands", "low")
+    picked = stored(sketched.groupBy(*keys).applyInArrow(pick, sketched.schema), "picked")
+    return stored(picked.join(texts, "node").groupBy(*keys).applyInArrow(link, "a binary, b binary"), "block-links")
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id, node, class (a node, or null for rows without words) of every document."""
     rows = stored(sketches(docs), "sketches")
-    nodes = rows.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"))
-    exploded = nodes.select("node", F.posexplode("bands").alias("no", "value"))
-    band = F.xxhash64("no", "value").alias("band")
-    shared = exploded.groupBy(band).count().where("count > 1").select("band")
-    members = stored(exploded.select(band, "node").join(shared, "band", "left_semi"), "members")
+    nodes = rows.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n_bytes").alias("n_bytes"))
+    exploded = nodes.select("node", F.posexplode("bands").alias("no", "value")).select("no", F.xxhash64("no", "value").alias("band"), "node")
+    shared = exploded.groupBy("band").count().where("count > 1").select("band")
+    members = stored(exploded.join(shared, "band", "left_semi").select("no", "band", "node"), "members")
     involved = members.select("node").distinct()
     texts = docs.select(text_node().alias("node"), F.col("text").cast("string").alias("text")).join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    links = similar_links(members, stored(texts, "texts"), similar)
+    texts, nodes = stored(texts, "texts"), stored(nodes.join(involved, "node", "left_semi"), "nodes")
+    links = leader_links(members, texts, similar)
+    links = links.unionByName(block_links(members, nodes, texts, links, similar))
     labels = components(links)
     return rows.join(labels, "node", "left").select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("label", "node")).alias("class"))
 
