@@ -62,7 +62,12 @@ def byte_texts(column: pa.Array) -> list[bytes]:
 
 
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small slices, so that what a step holds beside the batch stays bounded whatever the texts' length."""
+    """Small slices, so that what a step holds beside the batch stays bounded whatever the texts' length.
+
+    At the end the worker, which stays for later tasks, gives freed memory back.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    batch = None
+    pa.default_memory_pool().release_unused()

@@ -313,6 +313,28 @@ def test_near_dedup(docs):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([*least.values(), *(d for d, t in own if t not in head)], key=repr)
 
 
+def test_near_dedup_in_blocks(spark, monkeypatch):
+    """A group of near copies of which many are similar to no other, dealt out over many small blocks."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)]
+    for _ in range(70):
+        own = list(base)
+        for at in rng.sample(range(120), rng.randint(1, 9)):
+            own[at] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [shingles(t.encode()) for t in texts]
+    label = list(range(len(texts)))
+    for _ in label:
+        label = [min(label[j] for j in range(len(texts)) if i == j or probability_jaccard(sets[i], sets[j]) >= 0.8) for i in range(len(texts))]
+    assert 5 < len(set(label)) < 60
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    assert [(r.doc_id, r.class_id) for r in near_dedup.report(df).orderBy("doc_id").collect()] == list(enumerate(label))
+
+
 def test_probability_jaccard_by_definition():
     import numpy as np
 
