@@ -106,11 +106,11 @@ class Encoder(dict):
         return self.tok.decode(ids, skip_special_tokens=False)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One per Python worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, limit: int = 500_000) -> Encoder:
+    """One per Python worker, file and limit of words."""
+    if (path, limit) not in _ENCODERS:
+        _ENCODERS[path, limit] = Encoder(path, limit)
+    return _ENCODERS[path, limit]

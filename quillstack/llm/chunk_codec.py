@@ -24,7 +24,9 @@ from quillstack.llm.common import byte_texts, pieces
 #: One byte in so many ends a chunk, on average; shorter ones than LEAST join their successor.
 AVERAGE, LEAST = 1024, 128
 #: Bytes of ids that a worker keeps of chunks it has encoded; beyond that it starts anew.
-KEPT_BYTES = 48 << 20
+KEPT_BYTES = 16 << 20
+#: Words whose ids a worker keeps beside its chunks.
+KEPT_WORDS = 100_000
 
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -125,7 +127,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, ids (array of int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, KEPT_WORDS)
         chunks = ChunkEncoder(enc)
         for batch in pieces(batches):
             ids = [np.frombuffer(chunks.ids(x), enc.dtype).astype(np.int32) for x in byte_texts(batch.column(1))]
@@ -138,7 +140,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids are none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, KEPT_WORDS)
         for batch in pieces(batches):
             text = [enc.decoded(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], ["doc_id", "text"])
@@ -150,7 +152,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text: both stay in the worker that made them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, KEPT_WORDS)
         chunks = ChunkEncoder(enc)
         names = {i: str(i) for i in enc.strings}
         for batch in pieces(batches):
