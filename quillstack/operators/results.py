@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The form of a run's name, the tasks that are reported.
@@ -70,6 +70,14 @@ def duplicate_runs(df: DataFrame, by: Sequence[str], path: str = "path") -> Data
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(path)), ";").alias("paths")).where("n > 1")
 
 
+def duplicate_pairs(df: DataFrame, by: Sequence[str], path: str = "path") -> DataFrame:
+    """(by, n, first, second): groups of more than one row with their two least paths. No state grows with a group."""
+    least = df.select(*by, path, F.row_number().over(Window.partitionBy(*by).orderBy(path)).alias("place")).where("place <= 2")
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    both = counts.withColumn(path, F.lit(None).cast("string")).unionByName(least.select(*by, F.lit(0).cast("bigint").alias("n"), path))
+    return both.groupBy(*by).agg(F.sum("n").alias("n"), F.min(path).alias("first"), F.max(path).alias("second")).where("n > 1")
+
+
 def best_temperature(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by, pos, temperature, accuracy): the temperature of the greatest accuracy, the first of equals."""
     return df.groupBy(*by).agg(F.max_by("temperature", F.struct(F.col("accuracy"), -F.col("pos"))).alias("best"))

@@ -513,6 +513,11 @@ def duplicate_runs(spark, d):
     return results.duplicate_runs(D.runs(spark, d).where(F.pmod(F.col("event_id"), F.lit(10)) == 0), ["run", "task"])
 
 
+@query(f"""SELECT run, task, count(*) AS n, min(path) AS first, (array_agg(path ORDER BY path))[2] AS second FROM ({D.RUNS}) GROUP BY ALL HAVING count(*) > 1""")
+def duplicate_runs_all(spark, d):
+    return results.duplicate_pairs(D.runs(spark, d), ["run", "task"])
+
+
 @query(f"""SELECT "order", schedule, CAST(replace(step_name, 'step_', '') AS BIGINT) AS step, task, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0.0), 6) AS sd, count(*) AS n FROM ({D.RUN_SQL}) GROUP BY ALL""")
 def trajectory(spark, d):
     r = results.parse_runs(D.runs(spark, d)).withColumn("step", results.step_number(F.col("step_name")))
