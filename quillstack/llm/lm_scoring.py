@@ -2,8 +2,12 @@
 
 Every word has a type: each of the ``WORDS`` most frequent words its own, any other word the bucket of its ending, its
 length and what characters it has. Exchange clustering assigns the types to classes: each type is moved to the class
-that raises the likelihood of the class bigrams most, until nothing moves. Type bigrams are counted over all training
-tokens; their matrix is bounded by TYPES squared, which alone comes to the driver. Transitions are smoothed by absolute
+that raises the likelihood of the class bigrams most. Then every other word of ``LEAST`` occurrences or more joins the
+class of frequent words of greatest gain by its own counts of classes before and after it, summed over all training
+tokens; a bucket's class remains for words seen once or never. While words are assigned, what stands beside them has the
+class of its type. Class bigrams are then counted anew over all training tokens with the classes of the words.
+
+Type bigrams come to the driver, bounded by TYPES squared; words stay distributed. Transitions are smoothed by absolute
 discounting towards class frequencies; emissions by a discount per class, whose mass stands for an unseen word.
 
 Exact counts of all training words are joined to the documents bucket by bucket: a bucket of documents asks once for
@@ -19,6 +23,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +33,15 @@ from pyspark.sql import functions as F
 from quillstack.llm.common import byte_texts, doc_crc, pieces, stored
 
 FOLDS, CLASSES, WORDS, ENDINGS, ROUNDS = 10, 64, 768, 255, 8
-TYPES = WORDS + ENDINGS + 1  # type 0 is the end token, 1 to ENDINGS are buckets
-#: Distinct words that a task counts before it hands them on.
-FLUSH_WORDS = 400_000
+TYPES = WORDS + ENDINGS + 1  # type 0 is the end token, 1 to ENDINGS are buckets, TYPES + k a word assigned to class k
+#: Least count of a word that gets a class by its own neighbours.
+LEAST = 2
+#: Distinct words, and tokens, that a task counts before it hands them on.
+FLUSH_WORDS, FLUSH_TOKENS = 400_000, 3_000_000
+#: A class beside a word (CLASSES more if it is after the word) and how often.
+BESIDE = np.dtype([("k", "u1"), ("n", "<u4")])
+#: Entries whose gains are summed at once.
+GAIN_ROWS = 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -165,20 +176,145 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return own
 
 
+def word_contexts(docs: DataFrame, top: dict[int, int], class_of: np.ndarray) -> DataFrame:
+    """h, ending, beside of the words that have no type of their own, a row per word and flush of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: dict[bytes, int] = {}
+        classes, keys, held = [], [], 0
+        hashes, kinds = [], []
+
+        def out() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(keys), return_counts=True)
+            own = np.array([h not in top for h in hashes], bool)
+            at = code >> 7
+            kept = own[at]
+            entries = np.empty(int(kept.sum()), BESIDE)
+            entries["k"], entries["n"] = code[kept] & 127, n[kept]
+            sizes = np.bincount(at[kept], minlength=len(hashes))[own] * BESIDE.itemsize
+            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+            beside = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(entries.tobytes())])
+            return pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[own]), pa.array(np.array(kinds, np.int32)[own]), beside], ["h", "ending", "beside"])
+
+        for batch in pieces(batches):
+            for text in byte_texts(batch.column(0)):
+                ws = tokens(text)
+                if not ws:
+                    continue
+                at = np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int32, len(ws))
+                if len(ids) > len(hashes):
+                    for w in list(islice(reversed(ids), len(ids) - len(hashes)))[::-1]:
+                        h, kind = word_hash(w), ending(w)
+                        hashes.append(h)
+                        kinds.append(kind)
+                        classes.append(class_of[top.get(h) or kind])
+                path = np.zeros(len(ws) + 2, np.int32)
+                path[1:-1] = np.fromiter((classes[i] for i in at.tolist()), np.int32, len(ws))
+                keys += [at * 128 + path[:-2], at * 128 + CLASSES + path[2:]]
+                held += len(ws)
+                if len(ids) >= FLUSH_WORDS or held >= FLUSH_TOKENS:
+                    yield out()
+                    for x in (ids, classes, keys, hashes, kinds):
+                        x.clear()
+                    held = 0
+        if keys:
+            yield out()
+
+    return docs.mapInArrow(run, "h long, ending int, beside binary")
+
+
+def best_class(before: np.ndarray, after: np.ndarray, old: np.ndarray, into: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """The class of greatest gain of each word; before, after: its counts of classes beside it, rows of CLASSES.
+
+    into, out: counts of classes before and after the words that have a type of their own, a row per class of theirs.
+    """
+    gain = np.zeros((len(old), CLASSES))
+    n = after.sum(axis=1, keepdims=True)
+    # few different counts: the gain of each class and count is worked out once
+    for beside, table in ((before, into), (after, out)):
+        row, k = np.nonzero(beside)
+        pairs, which = np.unique(np.stack([k, beside[row, k].astype(np.int64)]), axis=1, return_inverse=True)
+        each = _xlogx(table.T[pairs[0]] + pairs[1][:, None]) - _xlogx(table.T[pairs[0]])
+        for at in range(0, len(row), GAIN_ROWS):
+            part = row[at : at + GAIN_ROWS]
+            first = np.flatnonzero(np.diff(part, prepend=-1))
+            gain[part[first]] += np.add.reduceat(each[which.ravel()[at : at + GAIN_ROWS]], first, axis=0)
+        gain -= _xlogx(table.sum(axis=1) + n) - _xlogx(table.sum(axis=1))
+    full = out.sum(axis=1) > 0
+    full[0] = False
+    return np.argmax(np.where(full, gain, -np.inf), axis=1) if full.any() else old
+
+
+def assigned(contexts: DataFrame, class_of: np.ndarray, into: np.ndarray, out: np.ndarray) -> DataFrame:
+    """h, ending, c: each word once; ending is TYPES + its class from LEAST occurrences on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the word that the next batch may go on with
+
+        def told(h: np.ndarray, kind: np.ndarray, beside: np.ndarray) -> pa.RecordBatch:
+            c = beside[:, :CLASSES].sum(axis=1)
+            often = np.flatnonzero(c >= LEAST)
+            if len(often):
+                kind = kind.copy()
+                kind[often] = TYPES + best_class(beside[often, :CLASSES], beside[often, CLASSES:], class_of[kind[often]], into, out)
+            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(kind.astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "ending", "c"])
+
+        for batch in pieces(batches, 4096):
+            h, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
+            own = batch.column(2).to_pylist()
+            entries = np.frombuffer(b"".join(own), BESIDE)
+            at = np.repeat(word, [len(x) // BESIDE.itemsize for x in own]) * (2 * CLASSES) + entries["k"]
+            beside = np.bincount(at, entries["n"], len(first) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+            h, kind = h[first], kind[first]
+            if last is not None:
+                if last[0][0] == h[0]:
+                    beside[0] += last[2][0]
+                else:
+                    yield told(*last)
+            if len(h) > 1:
+                yield told(h[:-1], kind[:-1], beside[:-1])
+            last = h[-1:].copy(), kind[-1:].copy(), beside[-1:].copy()
+        if last is not None:
+            yield told(*last)
+
+    buckets = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return contexts.repartition(buckets, "h").sortWithinPartitions("h").mapInArrow(run, "h long, ending int, c long")
+
+
+def class_bigrams(paths: DataFrame) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in pieces(batches):
+            own = np.frombuffer(b"\0" + b"\0".join(batch.column(0).to_pylist()) + b"\0", np.uint8).astype(np.int64)
+            total += np.bincount(own[:-1] * CLASSES + own[1:], minlength=len(total))
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["code", "n"])
+
+    found = paths.select("path").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CLASSES * CLASSES)
+    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(CLASSES, CLASSES)
+
+
 class Model:
-    """What the workers need: bounded by TYPES and CLASSES."""
+    """What the workers need: bounded by TYPES and CLASSES. Beside it the tables of words and of documents' classes."""
 
-    def __init__(self, docs: DataFrame):
-        """docs: doc_id, text of the training side."""
+    def __init__(self, docs: DataFrame, rows: DataFrame | None = None):
+        """docs: doc_id, text of the training side; rows: doc_id, text, held_out of all, docs if there are no others."""
+        spark = docs.sparkSession
         texts = docs.select(F.col("text").cast("string"))
-        self.counts = stored(word_counts(texts), "word-counts")
         self.n_docs = docs.count()
-        distinct, total = self.counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
-        self.V, self.N = distinct + (self.n_docs > 0), total + self.n_docs
-        rows = self.counts.orderBy(F.desc("c"), "h").limit(WORDS).collect()
-        self.top = {r.h: 1 + ENDINGS + i for i, r in enumerate(rows)}
+        most = word_counts(texts).orderBy(F.desc("c"), "h").limit(WORDS).collect()
+        self.top = {r.h: 1 + ENDINGS + i for i, r in enumerate(most)}
         bigrams = type_bigrams(texts, self.top)
-        self.class_of = exchange(bigrams)
+        self.class_of = np.concatenate([exchange(bigrams), np.arange(CLASSES)])
+        member = np.eye(CLASSES)[self.class_of[:TYPES]]
+        single = member * (np.arange(TYPES) > ENDINGS)[:, None]
+        words = assigned(word_contexts(texts, self.top, self.class_of), self.class_of, single.T @ bigrams.T @ member, single.T @ bigrams @ member)
+        own = spark.createDataFrame([(r.h, self.top[r.h], r.c) for r in most], "h long, ending int, c long")
+        self.counts = stored(words.unionByName(own), "word-counts")
         # class statistics of the words: tokens, types, types seen once and twice
         stats = np.zeros((CLASSES, 4))
         stats[0] = (self.n_docs, 1, 0, 0)
@@ -186,30 +322,27 @@ class Model:
         kinds = self.counts.groupBy("ending").agg(F.sum("c"), F.count(F.lit(1)), once(1), once(2)).collect()
         for r in kinds:
             stats[self.class_of[r[0]]] += r[1:]
-        for i, r in enumerate(rows):
-            own = np.array([r.c, 1, r.c == 1, r.c == 2], float)
-            stats[self.class_of[r.ending]] -= own
-            stats[self.class_of[1 + ENDINGS + i]] += own
-        member = np.eye(CLASSES)[self.class_of]
-        between = member.T @ bigrams @ member
-        before, after = between.sum(axis=1, keepdims=True), between.sum(axis=0)
-        plain = (after + 0.5) / (after.sum() + 0.5 * CLASSES)
-        kept = np.maximum(between - 0.5, 0)
-        self.log_next = np.log10(np.where(before > 0, (kept + (before - kept.sum(axis=1, keepdims=True)) * plain) / np.maximum(before, 1), plain))
+        self.V, self.N = sum(r[2] for r in kinds) + (self.n_docs > 0), sum(r[1] for r in kinds) + self.n_docs
         tokens_, types_, once_, twice_ = stats.T
         self.discount = np.clip((once_ + 0.5) / (once_ + 2 * twice_ + 1), 0.05, 0.95)
         self.class_tokens = np.maximum(tokens_, 0)
         # an unseen word of a class without words at all has the whole class
         self.log_unseen = np.log10(np.where(tokens_ > 0, np.maximum(self.discount * types_, 0.5) / np.maximum(tokens_, 1), 1.0))
+        self.paths = stored(walked(docs.withColumn("held_out", F.lit(False)) if rows is None else rows, self.counts, self.state()), "class-paths")
+        between = class_bigrams(self.paths.where("not held_out"))
+        before, after = between.sum(axis=1, keepdims=True), between.sum(axis=0)
+        plain = (after + 0.5) / (after.sum() + 0.5 * CLASSES)
+        kept = np.maximum(between - 0.5, 0)
+        self.log_next = np.log10(np.where(before > 0, (kept + (before - kept.sum(axis=1, keepdims=True)) * plain) / np.maximum(before, 1), plain))
 
     def state(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "counts"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("counts", "paths")}
 
 
 def score_bucket(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
     """The documents of one bucket with the counts of their words."""
     held = np.argsort(answers.column("h").to_numpy(), kind="stable")
-    known, counts = answers.column("h").to_numpy()[held], answers.column("c").to_numpy()[held]
+    known, counts, types_ = (answers.column(k).to_numpy()[held] for k in ("h", "c", "ending"))
     index: dict[bytes, int] = {}
     per_doc = []
     for text in byte_texts(docs.column("text").combine_chunks()):
@@ -217,11 +350,14 @@ def score_bucket(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
         per_doc.append(np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int64, len(ws)))
     hashes = np.fromiter(map(word_hash, index), np.int64, len(index))
     at = np.searchsorted(known, hashes)
-    c = np.zeros(len(index), np.int64)
+    c, kinds = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
     if len(known):
         at = np.minimum(at, len(known) - 1)
-        c = np.where(known[at] == hashes, counts[at], 0)
-    kinds = np.fromiter((model["top"].get(h) or ending(w) for h, w in zip(hashes.tolist(), index, strict=True)), np.int64, len(index))
+        found = known[at] == hashes
+        c, kinds = np.where(found, counts[at], 0), np.where(found, types_[at], 0)
+    for i, w in enumerate(index):
+        if not kinds[i]:
+            kinds[i] = ending(w)
     own = model["class_of"][kinds]
     with np.errstate(divide="ignore"):
         seen = np.log10(np.maximum(c - model["discount"][own], 1e-3) / np.maximum(model["class_tokens"][own], 1))
@@ -231,23 +367,19 @@ def score_bucket(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
     end_base = float(np.log10((model["n_docs"] + 0.1) / total))
     rows = []
     for ids in per_doc:
-        path = np.zeros(len(ids) + 2, np.int64)
-        path[1:-1] = own[ids]
-        value = emit[ids].sum() + model["log_next"][path[:-1], path[1:]].sum() + (0.0 if model["n_docs"] else model["log_unseen"][0])
-        rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (model["n_docs"] > 0), model["N"], float(base[ids].sum()) + end_base, float(value)))
-    types = [pa.int64()] * 3 + [pa.float64()] * 2
+        path = own[ids].astype(np.uint8).tobytes()
+        value = emit[ids].sum() + (0.0 if model["n_docs"] else model["log_unseen"][0])
+        rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (model["n_docs"] > 0), model["N"], float(base[ids].sum()) + end_base, float(value), path))
+    types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()]
     columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "emitted", "path"]
     return pa.Table.from_arrays([docs.column("doc_id"), docs.column("held_out"), *columns], names)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id")).alias("held_out"))
-    model = Model(rows.where("not held_out"))
-    counts, state = model.counts, model.state()
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def walked(rows: DataFrame, counts: DataFrame, state: dict) -> DataFrame:
+    """Every document with the score of its words in their classes, and the classes as bytes."""
+    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out")
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "b")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,13 +392,30 @@ def score(docs: DataFrame) -> DataFrame:
             asked.clear()
 
         for batch in pieces(batches):
-            for b, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
+            for b, text in zip(batch.column(3).to_pylist(), byte_texts(batch.column(1)), strict=True):
                 asked.setdefault(b, set()).update(tokens(text))
             if sum(map(len, asked.values())) >= FLUSH_WORDS:
                 yield from out()
         yield from out()
 
-    wanted = dealt.select("b", "text").mapInArrow(ask, "b int, h long")
-    answers = wanted.join(counts.select("h", "c"), "h").select("b", "h", "c")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    # all columns, so that both sides read one shuffle of the texts
+    answers = dealt.mapInArrow(ask, "b int, h long").join(counts, "h").select("b", "h", "c", "ending")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, emitted double, path binary"
     return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(lambda d, a: score_bucket(d, a, state), schema)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id")).alias("held_out"))
+    model = Model(rows.where("not held_out"), rows)
+    log_next = model.log_next
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            value = []
+            for emitted, path in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                own = np.frombuffer(b"\0" + path + b"\0", np.uint8)
+                value.append(emitted + float(log_next[own[:-1], own[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(value, pa.float64())], [*batch.schema.names[:6], "score"])
+
+    return model.paths.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
