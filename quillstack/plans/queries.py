@@ -567,6 +567,29 @@ def audit_odd(spark, d):
     return labels.odd_predictions(audited(spark, d))
 
 
+AUDIT_ALL = AUDIT.replace(D.VOTES, D.SECOND_VOTES, 1).replace(" WHERE pos % 2 = 0", "", 1)
+
+
+def audited_all(spark, d):
+    v = D.second_votes(spark, d).withColumn("label", T.audit_label(F.col("answer")))
+    return labels.first_majority(v, "book", "label", "pos").join(labels.majority(labelled(spark, d)).withColumnRenamed("age_group", "gold"), "book", "left")
+
+
+@query(SQL["audit_agreement"].replace(AUDIT, AUDIT_ALL))
+def audit_agreement_all(spark, d):
+    return labels.agreement(audited_all(spark, d)).select("n", F.round("exact", 6).alias("exact"), F.round("adjacent", 6).alias("adjacent"))
+
+
+@query(SQL["audit_confusion"].replace(AUDIT, AUDIT_ALL))
+def audit_confusion_all(spark, d):
+    return labels.confusion(audited_all(spark, d))
+
+
+@query(SQL["audit_odd"].replace(AUDIT, AUDIT_ALL))
+def audit_odd_all(spark, d):
+    return labels.odd_predictions(audited_all(spark, d))
+
+
 @query("SELECT item_id, md5('q ' || text || '|q ' || reverse(text) || '|q none') AS digest, CAST(3 AS INTEGER) AS n FROM benchmark")
 def completion_items(spark, d):
     c = results.candidates(F.lit("q"), F.col("text"), F.array(F.reverse("text"), F.lit("none")))

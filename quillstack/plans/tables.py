@@ -41,16 +41,30 @@ RECORDS = r"""SELECT doc_id AS idx, 'caption_' || band || '_' || CAST(doc_id AS
 FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS len, ['3_5', '6_8', '9_12', '12'][doc_id % 4 + 1] AS band FROM documents)"""
 
 
+ANSWERS = ("Age group: 3-5", "Age group:\n6-8 years", "Age group: 9-12+", "Well.\nAge group: 12+", "Age group: 9+", "no idea")
+
+
 def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers of an age classifier, a few of them without a label: book, pos, answer."""
-    answers = ("Age group: 3-5", "Age group:\n6-8 years", "Age group: 9-12+", "Well.\nAge group: 12+", "Age group: 9+", "no idea")
     d = table(spark, sf_dir, "documents").select("source", "doc_id", F.char_length("text").alias("n"))
-    pick = F.element_at(T.lit_array(answers), (F.pmod(F.col("n"), F.lit(6)) + 1).cast("int"))
+    pick = F.element_at(T.lit_array(ANSWERS), (F.pmod(F.col("n"), F.lit(6)) + 1).cast("int"))
     return d.select(F.col("source").alias("book"), F.col("doc_id").alias("pos"), pick.alias("answer"))
 
 
 VOTES = """SELECT source AS book, doc_id AS pos, ['Age group: 3-5', 'Age group:' || chr(10) || '6-8 years', 'Age group: 9-12+', 'Well.' || chr(10) || 'Age group: 12+', 'Age group: 9+', 'no idea'][length(text) % 6 + 1] AS answer FROM documents"""
 
+
+
+def second_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers of another classifier on every row: every third differs from the first classifier's."""
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", F.char_length("text").alias("n"))
+    shift = F.when(F.pmod(F.floor(F.col("n") / 6), F.lit(3)) == 0, 1).otherwise(0)
+    pick = F.element_at(T.lit_array(ANSWERS), (F.pmod(F.col("n") + shift, F.lit(6)) + 1).cast("int"))
+    return d.select(F.col("source").alias("book"), F.col("doc_id").alias("pos"), pick.alias("answer"))
+
+
+SECOND_VOTES = """SELECT source AS book, doc_id AS pos, ['Age group: 3-5', 'Age group:' || chr(10) || '6-8 years', 'Age group: 9-12+', 'Well.' || chr(10) || 'Age group: 12+', 'Age group: 9+', 'no idea'][(length(text) + CASE WHEN (length(text) // 6) % 3 = 0 THEN 1 ELSE 0 END) % 6 + 1] AS answer FROM documents"""
+
 EVENT_ORDERS = ("developmental", "readability", "perplexity", "random")
 EVENT_TASKS = ("blimp", "ewok", "vqa")
 

@@ -18,3 +18,18 @@ def test_duplicate_pairs(spark):
     df = spark.createDataFrame(data, "run string, task string, path string")
     out = results.duplicate_pairs(df, ["run", "task"]).collect()
     assert sorted(map(tuple, out), key=repr) == [("a", "x", 3, "p1", "p2"), (None, "x", 2, "r", "r")]
+
+
+def test_second_votes_of_every_row(spark):
+    v = D.second_votes(spark, SF).join(D.votes(spark, SF).withColumnRenamed("answer", "first"), ["book", "pos"])
+    n = D.table(spark, SF, "documents").count()
+    assert v.count() == n and 0 < v.where("answer <> first").count() < n
+
+
+def test_audit_odd_positions(spark, tmp_path):
+    # a book with odd positions alone is audited
+    spark.createDataFrame([(1, "x" * 18, "b"), (3, "x" * 18, "b")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    from quillstack.plans import queries
+
+    assert [r.book for r in queries.audited_all(spark, str(tmp_path)).collect()] == ["b"]
+    assert queries.audited(spark, str(tmp_path)).count() == 0
