@@ -6,7 +6,9 @@ A candidate is a run of letters, digits and + / _ - of ``TOKEN_LEAST`` character
 alphabet that holds it. Three tests ask whether it may be random over that alphabet: chi-squared of the symbol counts,
 runs above and below the middle, and lag-1 serial correlation; the least p-value counts, times three. The null
 hypothesis of the false-discovery control is prose: symbol counts as uneven as letters are in words, whose chi-squared
-grows with length. Benjamini-Hochberg over the p-values of all candidates of the corpus, by length class, says which
+grows with length. In small alphabets that tells little, so digits and letters count too: a run of hexadecimal digits with
+letters and decimal digits has the probability that word text stays within them; elsewhere the changes between small
+letters, capitals and digits have a Chernoff bound, joined to the chi-squared's p-value by Fisher's method. Benjamini-Hochberg over the p-values of all candidates of the corpus, by length class, says which
 are discoveries. A candidate that is one, passes the battery and touches no base span is a span of kind ``random``.
 
 Null texts are empty and hold nothing. Equal rows are all returned. No documents give no rows.
@@ -31,6 +33,9 @@ TOKEN = rf"[A-Za-z0-9+/_-]{{{TOKEN_LEAST},}}"
 BATTERY_LEAST, FALSE_SHARE = 0.001, 0.001
 #: Sum of squares of letter frequencies in prose, as in English (the index of coincidence).
 PROSE_COINCIDENCE = 0.066
+#: Share of word text's characters within hexadecimal digits; chance of a change of character kind in word text without and with both cases.
+PROSE_HEX, PROSE_CHANGE, PROSE_CASE_CHANGE = 0.34, 0.03, 1.0 / 3
+CHANGE = "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
 #: name, pattern, symbols in order
 ALPHABETS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -84,6 +89,17 @@ def alphabet_of(token: Column) -> Column:
     return out
 
 
+def prose_probability(token: Column, encoding: Column, n: Column, chi2_p: Column) -> Column:
+    """Of a token of n characters under word text, at most; base64 and runs without digits have the chi-squared alone."""
+    mixed = token.rlike("[A-Za-z]") & token.rlike("[0-9]")
+    rate = F.when(token.rlike("[a-z]") & token.rlike("[A-Z]"), PROSE_CASE_CHANGE).otherwise(PROSE_CHANGE)
+    share = F.greatest(rate, F.regexp_count(token, F.lit(CHANGE)) / (n - 1.0))
+    far = share * F.log(share / rate) + F.when(share < 1.0, (1.0 - share) * F.log((1.0 - share) / (1.0 - rate))).otherwise(0.0)
+    both = F.greatest(F.lit(1e-60), F.greatest(chi2_p, F.lit(1e-60)) * F.exp(-(n - 1.0) * far))
+    fisher = F.least(F.lit(1.0), both * (1.0 - F.log(both)))
+    return F.when(mixed & F.lower(encoding).eqNullSafe("hex"), F.least(chi2_p, F.pow(F.lit(PROSE_HEX), n))).when(mixed & (encoding != "base64"), fisher).otherwise(chi2_p)
+
+
 def battery(token: Column) -> Column:
     """struct<encoding, n, chi2_p, runs_p, serial_p, random_p, prose_p> of a token."""
 
@@ -112,7 +128,7 @@ def battery(token: Column) -> Column:
         chi2_p, runs_p, serial_p = normal_cdf(-uniform_z), two_sided(runs_z), two_sided(serial_z)
         return F.struct(
             s["alphabet"]["name"].alias("encoding"), F.size(codes).alias("n"), chi2_p.alias("chi2_p"), runs_p.alias("runs_p"), serial_p.alias("serial_p"),
-            F.least(F.lit(1.0), 3.0 * F.least(chi2_p, runs_p, serial_p)).alias("random_p"), normal_cdf(prose_z).alias("prose_p"),
+            F.least(F.lit(1.0), 3.0 * F.least(chi2_p, runs_p, serial_p)).alias("random_p"), prose_probability(s["token"], s["alphabet"]["name"], n, normal_cdf(prose_z)).alias("prose_p"),
         )
 
     # one-element arrays name the intermediate values, so that each is worked out once
