@@ -24,14 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share. Only a session that is one machine may name none (tests)."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        have = spark.sparkContext.getCheckpointDir()
-        if have is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstack-"))
-            have = spark.sparkContext.getCheckpointDir()
-        found = have
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillstack-"))
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -43,7 +42,20 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     """Write once to the shared folder and read back: the lineage ends at a replicated table, not at an executor."""
     path = scratch_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing still to be run reads: what was made of them is stored itself."""
+    for t in tables:
+        remove_path(t.sparkSession, t.scratch)
 
 
 def ascii_lower(c: Column) -> Column:
