@@ -11,7 +11,12 @@ block pair the likeliest pairs are verified first, from whole texts, and none th
 
 Words are runs of digits, letters and non-ASCII characters, lower-cased; shingles are five words, weighted by count.
 Texts without words (null ones too) resemble nothing: each such row is a class of its own. A class is named by its least
-doc_id; null doc_ids count only where there are no others. Equal rows are copies. No documents give no rows.
+doc_id; null doc_ids count only where there are no others. Equal rows are copies. No documents give no rows. A very long
+text is one row of one task, its signature has the size of any other. Other columns, whatever their names, are never read;
+``dedup`` carries them as one struct.
+
+Exact copies meet under their text's hash only after they have been counted within each task, and a text is fetched from
+one row of its copies, found by doc_id and hash: a group of copies is never one task's share.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import byte_texts, pieces, stored
+from quillstack.llm.common import byte_texts, discard, pieces, stored
 from quillstack.llm.components import components
 from quillstack.llm.probminhash import REGISTERS, bands, probability_jaccard, shingles, signature
 
@@ -75,13 +80,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def leader_links(members: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) between members of the buckets (band, node) and their buckets' leaders."""
-    sizes = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    weight = members.join(sizes, "band").groupBy("node").agg(F.sum("n").alias("weight"))
+    """Links (a, b) between members of the buckets (band, node; n members) and their buckets' leaders."""
+    weight = members.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = stored(members.select("band", "node").join(weight, "node"), "weighed")
-    leaders = weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader"))
+    # stored, so that the join with a large bucket's members reads two exchanges and can be split
+    leaders = stored(weighed.groupBy("band").agg(F.max_by("node", F.struct("weight", "node")).alias("leader")), "leaders")
     asked = weighed.join(leaders, "band").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    return stored(verified(asked, texts).where(F.col("similarity") >= similar).select("a", "b"), "leader-links")
+    links = stored(verified(asked, texts).where(F.col("similarity") >= similar).select("a", "b"), "leader-links")
+    discard(weighed, leaders)
+    return links
 
 
 def block_pairs(tagged: DataFrame) -> DataFrame:
@@ -157,37 +164,51 @@ def block_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, links: D
 
     sized = members.join(nodes.select("node", "n_bytes"), "node")
     tagged = sized.join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sketched = block_pairs(stored(tagged, "tagged")).join(nodes.select("node", "bands", "low"), "node").select(*keys, "no", "node", "label", "block", "bands", "low")
+    tagged = stored(tagged, "tagged")
+    sketched = block_pairs(tagged).join(nodes.select("node", "bands", "low"), "node").select(*keys, "no", "node", "label", "block", "bands", "low")
     picked = stored(sketched.groupBy(*keys).applyInArrow(pick, sketched.schema), "picked")
-    return stored(picked.join(texts, "node").groupBy(*keys).applyInArrow(link, "a binary, b binary"), "block-links")
+    found = stored(picked.join(texts, "node").groupBy(*keys).applyInArrow(link, "a binary, b binary"), "block-links")
+    discard(tagged, picked)
+    return found
+
+
+def own_id(doc_id):
+    return F.coalesce(doc_id.cast("long"), F.lit(-(1 << 63)))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, node, class (a node, or null for rows without words) of every document."""
+    """doc_id, node, class (a node, or null for rows without words) of every document, as a stored table."""
     rows = stored(sketches(docs), "sketches")
-    nodes = rows.where("bands is not null").groupBy("node").agg(F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n_bytes").alias("n_bytes"))
-    exploded = nodes.select("node", F.posexplode("bands").alias("no", "value")).select("no", F.xxhash64("no", "value").alias("band"), "node")
-    shared = exploded.groupBy("band").count().where("count > 1").select("band")
-    members = stored(exploded.join(shared, "band", "left_semi").select("no", "band", "node"), "members")
-    involved = members.select("node").distinct()
-    texts = docs.select(text_node().alias("node"), F.col("text").cast("string").alias("text")).join(involved, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    texts, nodes = stored(texts, "texts"), stored(nodes.join(involved, "node", "left_semi"), "nodes")
+    every = rows.where("bands is not null").groupBy("node").agg(
+        F.first("bands").alias("bands"), F.first("low").alias("low"), F.first("n_bytes").alias("n_bytes"), F.min(own_id(F.col("doc_id"))).alias("rep")
+    )
+    every = stored(every, "every-node")
+    exploded = every.select("node", F.posexplode("bands").alias("no", "value")).select("no", F.xxhash64("no", "value").alias("band"), "node")
+    sizes = stored(exploded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    members = stored(exploded.join(sizes, "band").select("no", "band", "node", "n"), "members")
+    nodes = stored(every.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
+    keyed = docs.select(text_node().alias("node"), own_id(F.col("doc_id")).alias("rep"), F.col("text").cast("string").alias("text"))
+    texts = keyed.join(nodes.select("node", "rep"), ["node", "rep"], "left_semi").dropDuplicates(["node", "rep"]).select("node", "text")
+    texts = stored(texts, "texts")
     links = leader_links(members, texts, similar)
-    links = links.unionByName(block_links(members, nodes, texts, links, similar))
-    labels = components(links)
-    return rows.join(labels, "node", "left").select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("label", "node")).alias("class"))
+    more = block_links(members, nodes, texts, links, similar)
+    labels = components(links.unionByName(more))
+    named = rows.join(labels, "node", "left").select("doc_id", "node", F.when(F.col("bands").isNotNull(), F.coalesce("label", "node")).alias("class"))
+    found = stored(named, "classes")
+    discard(rows, every, sizes, members, nodes, texts, links, more)
+    return found
 
 
 def report(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, of every document, and the class's size."""
-    found = stored(classes(docs, similar), "classes")
-    names = found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    found = classes(docs, similar)
+    names = stored(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "class-names")
     return found.join(names, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
 
 
 def dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """One document of each class, that with the least doc_id, and all documents without words."""
-    found = stored(classes(docs, similar), "classes").where("class is not null")
+    found = classes(docs, similar).where("class is not null")
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.col("node"))
     stay = found.groupBy("class").agg(F.min(rank).alias("r")).select(F.col("r.doc_id").alias("stay_id"), F.col("r.node").alias("stay_node"))
     rows = docs.select(F.struct("*").alias("row"), text_node().alias("node"))
