@@ -3,15 +3,18 @@
 Every batch of documents gives its lines' keys: md5 of the line stripped at both ends and lower-cased (A-Z). The store is
 a set of runs, tables sorted by key, each with the number of documents that hold a key and the largest doc_id.
 Batches come in descending order of doc_id, so a key's first entry has its largest doc_id, and a key that has its
-``copies`` documents is settled. A new batch is merge-anti-joined with the runs' settled keys, and what remains is added
-as a run of level 0; a level that has ``fanout`` runs is compacted to one run of the next level. A key's entry is the
-sum of its entries in all runs: exact, as batches have no document in common.
+``copies`` documents is settled. A new batch is counted to one entry a key, within each task first, so a line of a third
+of all documents is a row a task; the entries are merge-anti-joined with the runs' settled keys, and what remains is
+added as a run of level 0; a level that has ``fanout`` runs is compacted to one run of the next level. A key's entry is
+the sum of its entries in all runs: exact, as batches have no document in common.
 
 A key found in ``copies`` documents or more keeps its lines in the document with the largest doc_id only. Keys of under
 ``least`` code points are never touched.
 
 Null or empty texts are one empty line. Rows that share a doc_id count as one document and are treated alike; rows
-without a doc_id count as one document below all others. No documents give no rows.
+without a doc_id count as one document below all others. No documents give no rows. Other columns, whatever their names,
+travel as one struct. A document that loses many different lines looks them up by binary search, so a very long text costs
+its lines times the logarithm of the keys it loses.
 """
 
 from __future__ import annotations
@@ -19,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import BLANKS, ascii_lower, scratch_path
+from quillstack.llm.common import BLANKS, ascii_lower, remove_path, scratch_path, stored
 
 LEAST, COPIES, BATCHES, FANOUT = 20, 3, 4, 3
+#: Lost keys of a document up to which looking at each beats halving.
+FEW = 64
 #: Rows without a doc_id count as this one.
 NO_ID = -(1 << 63)
 
@@ -73,13 +78,13 @@ class LineRuns:
         paths = [p for level in self.levels for p in level]
         return self.spark.read.schema(self.SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], self.SCHEMA)
 
-    def unsettled(self, batch: DataFrame) -> DataFrame:
-        """The (doc, key) pairs whose key no run has settled: one merge-anti-join a run."""
+    def unsettled(self, entries: DataFrame) -> DataFrame:
+        """The entries whose key no run has settled: one merge-anti-join a run."""
         for level in self.levels:
             for path in level:
                 settled = self.run(path).where(F.col("n_docs") >= self.copies).select("key")
-                batch = batch.join(settled.hint("merge"), "key", "left_anti")
-        return batch
+                entries = entries.join(settled.hint("merge"), "key", "left_anti")
+        return entries
 
     def _write(self, entries: DataFrame, level: int) -> None:
         path = scratch_path(self.spark, f"line-run-{level}")
@@ -90,11 +95,13 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Add the (doc, key) pairs of documents below those of all earlier batches; compact what is full."""
-        self._write(batch_entries(self.unsettled(batch)), 0)
+        self._write(self.unsettled(batch_entries(batch)), 0)
         level = 0
         while len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
             self._write(merged(self.spark.read.schema(self.SCHEMA).parquet(*old)), level + 1)
+            for path in old:
+                remove_path(self.spark, path)
             level += 1
 
 
@@ -116,18 +123,32 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, copies: int = COPIES, ba
     runs = LineRuns(docs.sparkSession, copies, fanout)
     for b in range(len(bounds), -1, -1):
         runs.add(lines.where(F.col("batch") == b).select("doc", "key"))
-    losers = merged(runs.entries()).where(F.col("n_docs") >= copies).select("key", "max_doc")
-    lost = lines.join(losers.hint("merge"), "key").where(F.col("doc") < F.col("max_doc"))
-    return lost.groupBy("doc").agg(F.collect_set("key").alias("dropped"))
+    # stored: the join then reads two exchanges, and Spark can split the one in which a line of many documents is
+    losers = stored(merged(runs.entries()).where(F.col("n_docs") >= copies).select("key", "max_doc"), "repeated-lines")
+    lost = lines.join(losers, "key").where(F.col("doc") < F.col("max_doc"))
+    return lost.groupBy("doc").agg(F.array_sort(F.collect_set("key")).alias("dropped"))
+
+
+def is_in(key: Column, ordered: Column) -> Column:
+    """Whether the sorted array holds the key: one look at each of a few, else by halves."""
+    span = F.struct(F.lit(1).alias("lo"), F.size(ordered).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.element_at(ordered, mid) < key)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered).cast("double"))).cast("int"))
+    return F.when(F.size(ordered) <= FEW, F.array_contains(ordered, key)).otherwise(F.element_at(ordered, F.aggregate(steps, span, halve)["lo"]) == key)
 
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     """docs as ``__row`` with ``__lines`` (count) and ``__kept``, the lines that stay."""
     lost = repeated_lines(docs, **settings)
     rows = docs.select(F.struct("*").alias("__row"), own_id(F.col("doc_id")).alias("doc"))
-    text = F.col("__row")["text"]
+    text = F.col("__row")["text"].cast("string")
     pairs = F.arrays_zip(split_lines(text).alias("line"), line_hashes(text, settings.get("least", LEAST)).alias("hash"))
-    kept = F.filter(pairs, lambda p: p["hash"].isNull() | ~F.array_contains("dropped", p["hash"]))
+    kept = F.filter(pairs, lambda p: p["hash"].isNull() | ~is_in(p["hash"], F.col("dropped")))
     joined = rows.join(lost, "doc", "left")
     lines = F.when(F.col("dropped").isNull(), split_lines(text)).otherwise(F.transform(kept, lambda p: p["line"]))
     return joined.select("__row", F.size(split_lines(text)).cast("long").alias("__lines"), lines.alias("__kept"))
@@ -144,9 +165,16 @@ def report(docs: DataFrame, **settings) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, **settings) -> DataFrame:
-    """The documents with what lines stay as their text, and n_chars anew if there is such a column."""
+def dedup(docs: DataFrame, drop_emptied: bool = False, **settings) -> DataFrame:
+    """The documents with what lines stay as their text, and n_chars anew if there is such a column.
+
+    ``drop_emptied``: a document goes if it has lost lines and no word is left, as all it said stands in other documents;
+    else it stays with what is left. Documents that had no words before stay in either case.
+    """
     found = without_repeats(docs, **settings)
-    text = F.when(F.size("__kept") < F.col("__lines"), F.array_join("__kept", "\n")).otherwise(F.col("__row")["text"])
+    shorter = F.size("__kept") < F.col("__lines")
+    text = F.when(shorter, F.array_join("__kept", "\n")).otherwise(F.col("__row")["text"])
+    if drop_emptied:
+        found = found.where(~shorter | F.exists("__kept", lambda line: F.trim(line, F.lit(BLANKS)) != ""))
     changed = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return found.select(*(changed.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
