@@ -1,11 +1,14 @@
 """BPE encoding by content-defined chunks: a chunk that documents share is encoded once, joins are then repaired.
 
 A gear rolling hash over the bytes cuts a text where its content says so, hence copies and near copies are cut alike.
-Documents are dealt out in the order of a sketch (the least hash of their lines), so those that share chunks meet in one
-worker, where each chunk is encoded once; large groups of copies are divided by their text hash and row. At every join
-the k blank-separated words on both sides are encoded again, with k doubled until two sizes give the same ids.
-
-Null texts are empty and have no ids. Equal rows are all returned. Results do not depend on the dealing.
+Documents are dealt out, and within a part sorted, in the order of a sketch (the least hash of their lines), so those that
+share chunks come one after the other in one worker, where each chunk is encoded once: the distance between repeats, not
+the size of a part, decides whether the worker still keeps its ids. Large groups of copies are divided by their text hash
+and row. At every join the k blank-separated words on both sides are encoded again, with k doubled until two sizes give
+the same ids. ``reuse`` tells how often chunks were encoded, against how many different ones there are.
+
+Null and empty texts have no ids. Equal rows are all returned. No documents give no rows. Results do not depend on the
+dealing. A very long text is cut into chunks like any other and settled chunk by chunk. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -116,7 +119,8 @@ class ChunkEncoder:
 def by_sketch(docs: DataFrame) -> DataFrame:
     """Documents that share lines next to one another, in even parts whatever a group's size."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.xxhash64(x))
-    return docs.repartitionByRange(F.array_min(lines), F.xxhash64("text"), F.xxhash64("doc_id"))
+    order = (F.array_min(lines), F.xxhash64("text"), F.xxhash64("doc_id"))
+    return docs.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -136,6 +140,31 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     return by_sketch(_rows(docs)).mapInArrow(run, "doc_id long, ids array<int>")
 
 
+def reuse(docs: DataFrame, tokenizer: str, kept_bytes: int = KEPT_BYTES) -> DataFrame:
+    """One row: ``chunks``, how many of them were ``encoded``, and how many are ``distinct``.
+
+    A worker hands on a row per chunk it has encoded (its hash), and one for those it has reused.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = ChunkEncoder(encoder(tokenizer, KEPT_WORDS), kept_bytes)
+        for batch in pieces(batches):
+            before, hashes = chunks.reused, []
+            for text in byte_texts(batch.column(1)):
+                at = 0
+                for end in cuts(text):
+                    encoded = chunks.encoded
+                    chunks.chunk(text[at:end])
+                    if chunks.encoded > encoded:
+                        hashes.append(hashlib.blake2b(text[at:end], digest_size=16).digest())
+                    at = end
+            yield pa.RecordBatch.from_arrays([pa.array([*hashes, None], pa.binary()), pa.array([0] * len(hashes) + [chunks.reused - before], pa.int64())], ["chunk", "again"])
+
+    found = by_sketch(_rows(docs)).mapInArrow(run, "chunk binary, again long").groupBy("chunk").agg(F.count("chunk").alias("n"), F.sum("again").alias("again"))
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return found.agg((count(F.col("n")) + count(F.col("again"))).alias("chunks"), count(F.col("n")).alias("encoded"), F.count("chunk").alias("distinct"))
+
+
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, text from doc_id, ids; null ids are none."""
 
