@@ -8,10 +8,17 @@ runs above and below the middle, and lag-1 serial correlation; the least p-value
 hypothesis of the false-discovery control is prose: symbol counts as uneven as letters are in words, whose chi-squared
 grows with length. In small alphabets that tells little, so digits and letters count too: a run of hexadecimal digits with
 letters and decimal digits has the probability that word text stays within them; elsewhere the changes between small
-letters, capitals and digits have a Chernoff bound, joined to the chi-squared's p-value by Fisher's method. Benjamini-Hochberg over the p-values of all candidates of the corpus, by length class, says which
+letters, capitals and digits have their binomial tail, joined to the chi-squared's p-value by Fisher's method. Benjamini-Hochberg over the p-values of all candidates of the corpus, by length class, says which
 are discoveries. A candidate that is one, passes the battery and touches no base span is a span of kind ``random``.
 
-Null texts are empty and hold nothing. Equal rows are all returned. No documents give no rows.
+Texts are read once: what the corpus says about its candidates is worked out over a stored table of matches.
+
+Bounds and what they change: p-values below 1e-60 share the last bin of the false-discovery control, which any corpus of
+fewer than 1e57 candidates accepts in either case; candidates of 1,024 characters or more share a length class, so they
+are held against one another.
+
+Null and empty texts hold nothing. Equal rows are all returned. No documents give no rows. A text of n matches costs n to
+the power 1.5 for their places, whatever its length. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -21,6 +28,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.llm.common import stored
+
 # The base patterns, and which group must have how many characters.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -49,8 +58,17 @@ P_BINS, P_STEP = 240, 4.0
 Spans = Column
 
 
+def named(c: Column, use) -> Column:
+    """use(c) with c worked out once: a one-element array names it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
 def spans(text: Column, pattern: str, kind: int, wanted=lambda match: F.lit(True)) -> Spans:
-    """array<struct<start,kind,stop,match>> of the leftmost non-overlapping matches."""
+    """array<struct<start,kind,stop,match>> of the leftmost non-overlapping matches.
+
+    A running sum over an array copies what it has so far at each step, so it is taken in blocks of about the square root
+    of the matches: over the blocks' sums, then within each block.
+    """
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct(F.char_length(g).alias("gap"), m.alias("match")))
     empty = F.array().cast("array<struct<start:int,kind:int,stop:int,match:string>>")
@@ -61,23 +79,68 @@ def spans(text: Column, pattern: str, kind: int, wanted=lambda match: F.lit(True
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), part["match"].alias("match"))
         return F.struct(stop.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
 
-    all_ = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    def blocks(all_parts: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_parts).cast("double"))).cast("int"))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_parts)), width), lambda at: F.slice(all_parts, at, width))
+
+    def placed(own: Column) -> Column:
+        length = lambda b: F.aggregate(b, F.lit(0), lambda acc, p: acc + p["gap"] + F.char_length(p["match"]))
+        starts = F.aggregate(
+            own,
+            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda s, b: F.struct((s["at"] + length(b)).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+        )["out"]
+        fold = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), empty.alias("out")), step)["out"]
+        return F.flatten(F.zip_with(own, starts, fold))
+
+    all_ = named(parts, lambda p: named(blocks(p), placed))
     return F.when(text.rlike(pattern), F.filter(all_, lambda s: wanted(s["match"]))).otherwise(empty)
 
 
-def base_spans(text: Column) -> Spans:
-    assigned = spans(text, ASSIGN, 0, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 8)
-    return F.concat(assigned, spans(text, ACCESS, 1), spans(text, HEX, 2))
+def base_spans(text: Column) -> list[Spans]:
+    """Of each kind, in order of their starts."""
+    return [spans(text, ASSIGN, 0, lambda m: F.char_length(F.regexp_extract(m, ASSIGN, 2)) >= 8), spans(text, ACCESS, 1), spans(text, HEX, 2)]
+
+
+def touched(span: Column, others: Spans) -> Column:
+    """Whether one of the others, in order and apart from one another, overlaps the span: the last that starts before its end."""
+    bounds = F.struct(F.lit(0).alias("lo"), F.size(others).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.get(others, mid)["start"] < span["stop"])
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(others) + 1.0)).cast("int"))
+    before = F.aggregate(steps, bounds, halve)["lo"] - 1
+    return (F.size(others) > 0) & F.coalesce(F.get(others, before)["stop"] > span["start"], F.lit(False))
+
+
+def upper_tail(z: Column) -> Column:
+    """Probability that a standard normal exceeds z, to about 12 digits of itself at any z.
+
+    From 2.5 on by the continued fraction of Mills' ratio, below by the series around 0; of negative z by symmetry.
+    """
+    x = F.least(F.lit(37.0), F.abs(z))
+    density = F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
+    ratio = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x + 0.0, lambda acc, k: x + k.cast("double") / acc)
+    start = F.struct(x.alias("term"), x.alias("sum"))
+
+    def add(s: Column, k: Column) -> Column:
+        term = s["term"] * x * x / (2.0 * k + 1.0)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    middle = 0.5 - density * F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, add)["sum"]
+    tail = F.when(x >= 2.5, density / ratio).otherwise(middle)
+    return F.when(z >= 0, tail).otherwise(1.0 - tail)
 
 
 def normal_cdf(z: Column) -> Column:
-    """Page's logistic approximation, within 2e-4 in the middle and of the right order in the tails."""
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))
-    return 1.0 / (1.0 + F.exp(-(1.5976 * z + 0.07056 * z * z * z)))
+    return upper_tail(-z)
 
 
 def two_sided(z: Column) -> Column:
-    return 2.0 * normal_cdf(-F.abs(z))
+    return 2.0 * upper_tail(F.abs(z))
 
 
 def alphabet_of(token: Column) -> Column:
@@ -89,14 +152,27 @@ def alphabet_of(token: Column) -> Column:
     return out
 
 
+def binomial_tail(k: Column, m: Column, p: Column) -> Column:
+    """Probability of k or more of m at p each: the first term by its logarithm, the others by their ratios."""
+    from_one = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    first = F.aggregate(from_one(k), F.lit(0.0), lambda acc, i: acc + F.log((m - k + i) / i)) + k * F.log(p) + (m - k) * F.log(1.0 - p)
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+    def add(s: Column, i: Column) -> Column:  # the term of k + i
+        term = s["term"] * (m - k - i + 1.0) / (k + i) * p / (1.0 - p)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
+
+    return F.when(k <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.exp(first) * F.aggregate(from_one(m - k), start, add)["sum"]))
+
+
 def prose_probability(token: Column, encoding: Column, n: Column, chi2_p: Column) -> Column:
-    """Of a token of n characters under word text, at most; base64 and runs without digits have the chi-squared alone."""
+    """Of a token of n characters under word text; base64 and runs without digits have the chi-squared alone."""
     mixed = token.rlike("[A-Za-z]") & token.rlike("[0-9]")
     rate = F.when(token.rlike("[a-z]") & token.rlike("[A-Z]"), PROSE_CASE_CHANGE).otherwise(PROSE_CHANGE)
-    share = F.greatest(rate, F.regexp_count(token, F.lit(CHANGE)) / (n - 1.0))
-    far = share * F.log(share / rate) + F.when(share < 1.0, (1.0 - share) * F.log((1.0 - share) / (1.0 - rate))).otherwise(0.0)
-    both = F.greatest(F.lit(1e-60), F.greatest(chi2_p, F.lit(1e-60)) * F.exp(-(n - 1.0) * far))
-    fisher = F.least(F.lit(1.0), both * (1.0 - F.log(both)))
+    seen = F.struct(F.regexp_count(token, F.lit(CHANGE)).cast("int").alias("k"), (n - 1).cast("int").alias("m"), rate.alias("p"))
+    changes = named(seen, lambda s: binomial_tail(s["k"], s["m"], s["p"]))
+    both = lambda c: F.greatest(F.lit(1e-60), F.greatest(chi2_p, F.lit(1e-60)) * c)
+    fisher = named(changes, lambda c: F.least(F.lit(1.0), both(c) * (1.0 - F.log(both(c)))))
     return F.when(mixed & F.lower(encoding).eqNullSafe("hex"), F.least(chi2_p, F.pow(F.lit(PROSE_HEX), n))).when(mixed & (encoding != "base64"), fisher).otherwise(chi2_p)
 
 
@@ -125,18 +201,18 @@ def battery(token: Column) -> Column:
         # prose: symbols as uneven as letters in words; the chi-squared is then non-central and grows with n
         uneven = n * F.greatest(size * PROSE_COINCIDENCE - 1.0, F.lit(0.35))
         prose_z = (chi2 - (df + uneven)) / F.sqrt(2.0 * (df + 2.0 * uneven))
-        chi2_p, runs_p, serial_p = normal_cdf(-uniform_z), two_sided(runs_z), two_sided(serial_z)
-        return F.struct(
-            s["alphabet"]["name"].alias("encoding"), F.size(codes).alias("n"), chi2_p.alias("chi2_p"), runs_p.alias("runs_p"), serial_p.alias("serial_p"),
-            F.least(F.lit(1.0), 3.0 * F.least(chi2_p, runs_p, serial_p)).alias("random_p"), prose_probability(s["token"], s["alphabet"]["name"], n, normal_cdf(prose_z)).alias("prose_p"),
-        )
-
-    # one-element arrays name the intermediate values, so that each is worked out once
-    named = F.transform(F.array(F.struct(token.alias("token"), alphabet_of(token).alias("alphabet"))), lambda s: F.struct(
+        z = F.struct(uniform_z.alias("uniform"), runs_z.alias("runs"), serial_z.alias("serial"), prose_z.alias("prose"))
+        tails = lambda z: F.struct(upper_tail(z["uniform"]).alias("chi2"), two_sided(z["runs"]).alias("runs"), two_sided(z["serial"]).alias("serial"), normal_cdf(z["prose"]).alias("prose"))
+        return named(named(z, tails), lambda p: F.struct(
+            s["alphabet"]["name"].alias("encoding"), F.size(codes).alias("n"), p["chi2"].alias("chi2_p"), p["runs"].alias("runs_p"), p["serial"].alias("serial_p"),
+            F.least(F.lit(1.0), 3.0 * F.least(p["chi2"], p["runs"], p["serial"])).alias("random_p"), prose_probability(s["token"], s["alphabet"]["name"], n, p["prose"]).alias("prose_p"),
+        ))
+
+    coded = named(F.struct(token.alias("token"), alphabet_of(token).alias("alphabet")), lambda s: F.struct(
         s["token"].alias("token"), s["alphabet"].alias("alphabet"), F.char_length(s["alphabet"]["symbols"]).alias("size"),
         F.transform(F.filter(F.split(s["token"], ""), lambda c: c != ""), lambda c: F.call_function("instr", s["alphabet"]["symbols"], c) - 1).alias("codes"),
     ))
-    return F.element_at(F.transform(named, with_codes), 1)
+    return named(coded, with_codes)
 
 
 def length_class(n: Column) -> Column:
@@ -149,16 +225,24 @@ def p_bin(p: Column) -> Column:
 
 def tested(text: Column) -> Column:
     """The candidates' spans with their battery."""
-    return F.transform(spans(text, TOKEN, 3), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), battery(s["match"]).alias("tests")))
+    one = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["match"].alias("match"), battery(s["match"]).alias("tests"))
+    return F.transform(spans(text, TOKEN, 3), one)
+
+
+def matched(docs: DataFrame) -> DataFrame:
+    """doc_id, the base kinds' spans and the candidates of every document, as a stored table."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = [c.alias(k) for c, k in zip(base_spans(text), KINDS, strict=False)]
+    return stored(docs.select("doc_id", *base, tested(text).alias("candidates")), "matches")
 
 
-def discovery_bins(docs: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, int]:
+def discovery_bins(found: DataFrame, false_share: float = FALSE_SHARE) -> dict[int, int]:
     """Per length class the least bin of -log10 p that Benjamini-Hochberg over all candidates accepts.
 
     What comes to the driver is a count per class and bin: at most 11 x 241 numbers whatever the corpus.
     """
-    found = docs.select(F.explode(tested(F.coalesce(F.col("text").cast("string"), F.lit("")))["tests"]).alias("t"))
-    counts = found.groupBy(length_class(F.col("t")["n"]).alias("size"), p_bin(F.col("t")["prose_p"]).alias("bin")).count().collect()
+    each = found.select(F.explode("candidates.tests").alias("t"))
+    counts = each.groupBy(length_class(F.col("t")["n"]).alias("size"), p_bin(F.col("t")["prose_p"]).alias("bin")).count().collect()
     out = {}
     for size in {r.size for r in counts}:
         own = {r.bin: r["count"] for r in counts if r.size == size}
@@ -172,19 +256,15 @@ def discovery_bins(docs: DataFrame, false_share: float = FALSE_SHARE) -> dict[in
 
 def scan(docs: DataFrame, false_share: float = FALSE_SHARE, least: float = BATTERY_LEAST) -> DataFrame:
     """doc_id with ``base`` and ``extra``, arrays of spans (start, kind, stop, match)."""
-    bins = discovery_bins(docs, false_share)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    staged = docs.select("doc_id", base_spans(text).alias("base"), tested(text).alias("candidates"), text.alias("text"))
+    found = matched(docs)
+    bins = discovery_bins(found, false_share)
     accepted = F.lit(P_BINS + 1)
     wanted = lambda t: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in bins.items() for x in kv)), length_class(t["n"])), accepted) if bins else accepted
-    fresh = F.filter(
-        "candidates",
-        lambda c: (c["tests"]["random_p"] >= least)
-        & (p_bin(c["tests"]["prose_p"]) >= wanted(c["tests"]))
-        & ~F.exists("base", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])),
-    )
-    extra = F.transform(fresh, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["stop"].alias("stop"), F.substring(F.col("text"), c["start"] + 1, c["stop"] - c["start"]).alias("match")))
-    return staged.select("doc_id", "base", extra.alias("extra"))
+    fresh = F.filter("candidates", lambda c: (c["tests"]["random_p"] >= least) & (p_bin(c["tests"]["prose_p"]) >= wanted(c["tests"])))
+    # few are left now: only these are held against the base spans
+    free = F.filter(fresh, lambda c: ~(touched(c, F.col("assign")) | touched(c, F.col("access")) | touched(c, F.col("hex"))))
+    extra = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["match"].alias("match")))
+    return found.select("doc_id", F.concat("assign", "access", "hex").alias("base"), extra.alias("extra"))
 
 
 def told(spans_: Column) -> Column:
