@@ -1,9 +1,13 @@
 """Quality rules: zstandard ratios of whole documents and of fixed chunks against limits by length.
 
 Text that compresses far better than prose of its length repeats itself; text that hardly compresses is noise or coded
-data. Short texts compress worse, so every length band has limits of its own, for documents and chunks alike.
+data. Short texts compress worse, so every length band has limits of its own, for documents and chunks alike. Chunks have
+``CHUNK`` bytes; a rest of less than ``TAIL`` bytes belongs to the chunk before it, so every byte is judged. Under 128
+bytes a frame's own bytes hide noise: there only repetition counts, and under 32 bytes nothing can be told.
 
-Null texts have no words and fail the base rules; so do empty ones. Equal rows are all returned, each judged by itself.
+Null and empty texts have no words and fail the base rules. Equal rows are all returned, each judged by itself. No
+documents give no rows. A very long text is one row of one task, compressed chunk by chunk beside the whole. Other columns
+are never read.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from pyspark.sql import functions as F
 
 from quillstack.llm.common import byte_texts, pieces
 
-#: (bytes from, least ratio, greatest ratio); texts under the first length aren't judged by compression.
-BANDS = ((256, 0.50, 0.86), (512, 0.48, 0.80), (1024, 0.455, 0.74), (2048, 0.44, 0.68), (4096, 0.42, 0.66), (8192, 0.405, 0.65), (16384, 0.385, 0.65))
-CHUNK, LEVEL = 2048, 3
-#: A document goes if so great a share of its judged chunks is out of bounds.
+#: (bytes from, least ratio, greatest ratio).
+BANDS = ((0, 0.0, 99.0), (32, 0.80, 99.0), (64, 0.65, 99.0), (128, 0.57, 0.97), (256, 0.50, 0.86), (512, 0.48, 0.80), (1024, 0.455, 0.74), (2048, 0.44, 0.68), (4096, 0.42, 0.66), (8192, 0.405, 0.65), (16384, 0.385, 0.65))
+CHUNK, TAIL, LEVEL = 2048, 256, 3
+#: A document goes if so great a share of its chunks is out of bounds.
 CHUNK_SHARE = 0.25
 _SYMBOLS = b"#*$%&|<>"
 
@@ -55,8 +59,13 @@ def base_measures(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 def out_of_bounds(size: int, ratio: float, bands=BANDS) -> bool:
-    at = bisect.bisect_right([b[0] for b in bands], size) - 1
-    return at >= 0 and not bands[at][1] <= ratio <= bands[at][2]
+    _, least, most = bands[bisect.bisect_right([b[0] for b in bands], size) - 1]
+    return not least <= ratio <= most
+
+
+def chunks(text: bytes, size: int = CHUNK, tail: int = TAIL) -> list[bytes]:
+    out = [text[i : i + size] for i in range(0, len(text), size)]
+    return [*out[:-2], out[-2] + out[-1]] if len(out) > 1 and len(out[-1]) < tail else out
 
 
 def measure(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_share: float = CHUNK_SHARE, level: int = LEVEL) -> DataFrame:
@@ -74,11 +83,10 @@ def measure(docs: DataFrame, bands=BANDS, chunk: int = CHUNK, chunk_share: float
                 n, chars, symbols, dup, repeat = base_measures(text)
                 failed = n < 50 or 100 * repeat > 50 * n
                 ratio = len(squeeze(text)) / len(text) if text else 1.0
-                parts = [text[i : i + chunk] for i in range(0, len(text), chunk)]
-                judged = [x for x in parts if len(x) >= bands[0][0]]
-                bad = sum(out_of_bounds(len(x), len(squeeze(x)) / len(x), bands) for x in judged)
-                rejected = out_of_bounds(len(text), ratio, bands) or bool(judged) and bad >= chunk_share * len(judged)
-                rows.append((n, chars, symbols, dup, repeat, failed, not failed and not rejected, ratio, bad, len(judged)))
+                parts = chunks(text, chunk)
+                bad = sum(out_of_bounds(len(x), len(squeeze(x)) / len(x), bands) for x in parts)
+                rejected = out_of_bounds(len(text), ratio, bands) or bool(parts) and bad >= chunk_share * len(parts)
+                rows.append((n, chars, symbols, dup, repeat, failed, not failed and not rejected, ratio, bad, len(parts)))
             columns = [batch.column(0), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types[1:], strict=True))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
