@@ -1,21 +1,25 @@
 """LM scoring with Brown class-based bigrams: P(word | before) = P(class | class before) * P(word | class).
 
-Every word has a type: each of the ``WORDS`` most frequent words its own, any other word the bucket of its ending, its
-length and what characters it has. Exchange clustering assigns the types to classes: each type is moved to the class
-that raises the likelihood of the class bigrams most. Then every other word of ``LEAST`` occurrences or more joins the
-class of frequent words of greatest gain by its own counts of classes before and after it, summed over all training
-tokens; a bucket's class remains for words seen once or never. While words are assigned, what stands beside them has the
-class of its type. Class bigrams are then counted anew over all training tokens with the classes of the words.
-
-Type bigrams come to the driver, bounded by TYPES squared; words stay distributed. Transitions are smoothed by absolute
-discounting towards class frequencies; emissions by a discount per class, whose mass stands for an unseen word.
-
-Exact counts of all training words are joined to the documents bucket by bucket: a bucket of documents asks once for
-each of its words (by 64-bit hash) and is scored with the answers, so nothing of the size of the vocabulary is sent to
-all. Words are lower-cased (A-Z) runs of non-blanks, every text has one end token.
-
-Null texts are empty: the end token alone. Null doc_ids count as the empty string for the fold. Equal rows are all
-returned and all counted. With no training rows everything is unseen.
+While words are clustered every word has a type: each of the ``WORDS`` most frequent words its own, any other word the
+bucket of its ending, length and kind of characters. Exchange clustering assigns the types to classes: each type is moved
+to the class that raises the likelihood of the class bigrams most, until nothing moves. Then every other training word,
+however rare, joins the class of greatest gain by its own counts of classes before and after it, summed over all training
+tokens; only words that training never saw have the class of their bucket. Class bigrams are then counted anew over all
+training tokens with the classes of the words.
+
+Two passes over the training texts count: words, then what stands beside them (and type bigrams). A row per type or word
+is stored, so that clustering and classes read no text. What comes to the driver is bounded by TYPES squared; words stay
+distributed. Transitions are smoothed by absolute discounting towards class frequencies; emissions by a discount per
+class, whose mass stands for an unseen word.
+
+For scoring, words of a share of 1 / ``SENT`` of all tokens or more, so ``SENT`` of them at most, go to every worker with
+class and count. Other words' are joined to the documents bucket by bucket: a bucket of documents (``BUCKET_BYTES`` of
+text) asks once for each of them (by 64-bit hash) and is scored with the answers. Words are lower-cased (A-Z) runs of
+non-blanks, every text has one end token.
+
+Null and empty texts are the end token alone. Null doc_ids count as the empty string for the fold. Equal rows are all
+returned and all counted. With no training rows everything is unseen; no documents give no rows. A very long text is
+scored whole, in one task. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -23,23 +27,24 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.llm.common import byte_texts, doc_crc, pieces, stored
+from quillstack.llm.common import byte_texts, discard, doc_crc, pieces, stored
 
-FOLDS, CLASSES, WORDS, ENDINGS, ROUNDS = 10, 64, 768, 255, 8
-TYPES = WORDS + ENDINGS + 1  # type 0 is the end token, 1 to ENDINGS are buckets, TYPES + k a word assigned to class k
-#: Least count of a word that gets a class by its own neighbours.
-LEAST = 2
+FOLDS, CLASSES, WORDS, ENDINGS = 10, 64, 768, 255
+TYPES = WORDS + ENDINGS + 1  # type 0 is the end token, 1 to ENDINGS are buckets, then come words
+#: Words that are sent to every worker are at most so many: each is at least this part of all tokens.
+SENT = 1 << 18
+#: Bytes of text of a bucket of documents that is scored at once.
+BUCKET_BYTES = 16 << 20
 #: Distinct words, and tokens, that a task counts before it hands them on.
 FLUSH_WORDS, FLUSH_TOKENS = 400_000, 3_000_000
-#: A class beside a word (CLASSES more if it is after the word) and how often.
-BESIDE = np.dtype([("k", "u1"), ("n", "<u4")])
+#: A type beside a word (TYPES more if it is after the word) and how often.
+BESIDE = np.dtype([("k", "<u2"), ("n", "<u4")])
 #: Entries whose gains are summed at once.
 GAIN_ROWS = 20_000
 
@@ -52,28 +57,30 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def word_hash(word: bytes) -> int:
+def word_hashes(words) -> np.ndarray:
     import xxhash
 
-    return int.from_bytes(xxhash.xxh3_64_digest(word), "big", signed=True)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">i8").astype(np.int64)
+
+
+def word_hash(word: bytes) -> int:
+    return int(word_hashes([word])[0])
 
 
 def ending(word: bytes) -> int:
     """1 to ENDINGS."""
-    tail = word.decode("utf-8", "replace")[-2:].encode()
-    kind = (word.isalpha(), word.isascii(), any(48 <= b < 58 for b in word), min(len(word), 12) // 3)
-    return 1 + zlib.crc32(tail + repr(kind).encode()) % ENDINGS
+    kind = min(len(word), 15) // 2 * 8 + word.isalpha() * 4 + word.isascii() * 2 + word.isdigit()
+    return 1 + zlib.crc32(word[-2:], kind) % ENDINGS
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """hash, ending, count of the words in texts (one column)."""
+    """h, c of the words in texts (one column)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            ws = list(count)
-            return pa.RecordBatch.from_arrays([pa.array([word_hash(w) for w in ws], pa.int64()), pa.array([ending(w) for w in ws], pa.int32()), pa.array([count[w] for w in ws], pa.int64())], ["h", "ending", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(word_hashes(count)), pa.array(np.fromiter(count.values(), np.int64, len(count)))], ["h", "n"])
 
         for batch in pieces(batches):
             for text in byte_texts(batch.column(0)):
@@ -84,54 +91,167 @@ def word_counts(docs: DataFrame) -> DataFrame:
         if count:
             yield out()
 
-    return docs.mapInArrow(run, "h long, ending int, n long").groupBy("h").agg(F.min("ending").alias("ending"), F.sum("n").alias("c"))
+    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
-class Types(dict):
-    """word -> type."""
+class Index(dict):
+    """word -> number, from 1 on, in the order they are first asked for; ``fresh``: those not yet taken."""
 
-    def __init__(self, top: dict[int, int], limit: int = 400_000):
+    def __init__(self):
         super().__init__()
-        self.top, self.limit = top, limit
+        self.fresh: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = self.top.get(word_hash(word)) or ending(word)
+        found = self[word] = len(self) + 1
+        self.fresh.append(word)
         return found
 
+    def numbers(self, text: bytes) -> np.ndarray:
+        ws = tokens(text)
+        return np.fromiter(map(self.__getitem__, ws), np.int32, len(ws))
 
-def type_bigrams(docs: DataFrame, top: dict[int, int]) -> np.ndarray:
-    """Counts of (type, next type) over all texts, the end token before the first and after the last word."""
+    def take(self) -> list[bytes]:
+        out, self.fresh = self.fresh, []
+        return out
+
+
+def looked_up(keys: np.ndarray, table: tuple[np.ndarray, ...], missing: int = 0) -> list[np.ndarray]:
+    """The table's columns at the keys; its first column holds the keys, in order."""
+    known, *columns = table
+    if not len(known):
+        return [np.full(len(keys), missing, c.dtype) for c in columns]
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    hit = known[at] == keys
+    return [np.where(hit, c[at], missing) for c in columns]
+
+
+def _binaries(entries: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes * BESIDE.itemsize)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(entries.tobytes())])
+
+
+def _rows(kind: str, keys: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """code: row * 2 * TYPES + entry, in order; keys: of each row. Rows without entries are left out."""
+    row, first = np.unique(code // (2 * TYPES), return_index=True)
+    entries = np.empty(len(code), BESIDE)
+    entries["k"], entries["n"] = code % (2 * TYPES), n
+    ends = np.append(first, len(code))
+    for at in range(0, len(row), 50_000):  # what a row batch may hold is far below 2 GB
+        upto = min(at + 50_000, len(row))
+        beside = _binaries(entries[ends[at] : ends[upto]], np.diff(ends[at : upto + 1]))
+        yield pa.RecordBatch.from_arrays([pa.array([kind] * (upto - at)), pa.array(keys[row[at:upto]].astype(np.int64)), beside], ["kind", "h", "beside"])
+
+
+def contexts(docs: DataFrame, top: dict[int, int], buckets: int) -> DataFrame:
+    """kind, h, beside: a row per type (kind t, h its number; only what comes after it) and per word without a type (kind w).
+
+    The end token stands before the first and after the last word of a text. A task hands on what it has counted; the
+    rows of a type or word then meet, sorted, and are summed one after the other.
+    """
+    hashes = np.array(sorted(top), np.int64)
+    numbers = np.array([top[h] for h in hashes.tolist()], np.int64)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, bigrams = Index(), np.zeros(TYPES * TYPES, np.int64)
+        own, held = [np.zeros(0, np.int64)], 0
+        types, hashed = np.zeros(2 * FLUSH_WORDS, np.int64), np.zeros(2 * FLUSH_WORDS, np.int64)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            code, n = np.unique(np.concatenate(own), return_counts=True)
+            yield from _rows("w", hashed, code, n)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types, total = Types(top), np.zeros(TYPES * TYPES, np.int64)
         for batch in pieces(batches):
-            codes = []
+            path = [np.zeros(1, np.int32)]
             for text in byte_texts(batch.column(0)):
-                ws = tokens(text)
-                own = np.zeros(len(ws) + 2, np.int64)
-                own[1:-1] = np.fromiter(map(types.__getitem__, ws), np.int64, len(ws))
-                codes.append(own[:-1] * TYPES + own[1:])
-            if codes:
-                np.add.at(total, np.concatenate(codes), 1)
-        full = np.flatnonzero(total)
-        for at in range(0, len(full), 100_000):
-            part = full[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["code", "n"])
+                path += [index.numbers(text), path[0]]
+            fresh = index.take()
+            if fresh:
+                lo, hi = len(index) - len(fresh) + 1, len(index) + 1
+                if hi > len(types):
+                    types, hashed = (np.concatenate([x, np.zeros(hi, np.int64)]) for x in (types, hashed))
+                hashed[lo:hi] = word_hashes(fresh)
+                found = looked_up(hashed[lo:hi], (hashes, numbers))[0]
+                rare = np.flatnonzero(found == 0)
+                found[rare] = [ending(fresh[i]) for i in rare.tolist()]
+                types[lo:hi] = found
+            path = np.concatenate(path)
+            kind = types[path]
+            bigrams += np.bincount(kind[:-1] * TYPES + kind[1:], minlength=len(bigrams))
+            at = np.flatnonzero((kind > 0) & (kind <= ENDINGS))
+            word = path[at].astype(np.int64) * (2 * TYPES)
+            own += [word + kind[at - 1], word + TYPES + kind[at + 1]]
+            held += len(path)
+            if len(index) >= FLUSH_WORDS or held >= FLUSH_TOKENS:
+                yield from out()
+                index.clear()
+                own, held = [np.zeros(0, np.int64)], 0
+        yield from out()
+        code = np.flatnonzero(bigrams)
+        yield from _rows("t", np.arange(TYPES), code // TYPES * (2 * TYPES) + TYPES + code % TYPES, bigrams[code])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[bool, int, bytes]] = []
+        last = None  # the key that the next batch may go on with
+
+        for batch in pieces(batches, 4096):
+            kind, h = (batch.column(0).to_numpy(zero_copy_only=False) == "w"), batch.column(1).to_numpy()
+            beside = batch.column(2).to_pylist()
+            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])]))
+            ends = np.append(first[1:], len(h))
+            for a, b in zip(first.tolist(), ends.tolist(), strict=True):
+                if last is not None and last[0] == kind[a] and last[1] == h[a]:
+                    last[2].extend(beside[a:b])
+                else:
+                    if last is not None:
+                        done.append((last[0], last[1], _sum(last[2])))
+                    last = (kind[a], h[a], beside[a:b])
+            if len(done) >= 20_000:
+                yield _told(done)
+                done.clear()
+        if last is not None:
+            done.append((last[0], last[1], _sum(last[2])))
+        if done:
+            yield _told(done)
+
+    schema = "kind string, h long, beside binary"
+    dealt = docs.mapInArrow(count, schema).repartition(buckets, "kind", "h").sortWithinPartitions("kind", "h")
+    return dealt.mapInArrow(add, schema)
 
-    found = docs.mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(TYPES * TYPES, np.int64)
-    out[found.column("code").to_numpy()] = found.column("n").to_numpy()
-    return out.reshape(TYPES, TYPES)
+
+def _sum(parts: list[bytes]) -> bytes:
+    """Entries of one key, each type once."""
+    if len(parts) == 1:
+        return parts[0]
+    each = np.frombuffer(b"".join(parts), BESIDE)
+    k, where = np.unique(each["k"], return_inverse=True)
+    out = np.empty(len(k), BESIDE)
+    out["k"], out["n"] = k, np.bincount(where, each["n"], len(k))
+    return out.tobytes()
+
+
+def _told(rows: list[tuple[bool, int, bytes]]) -> pa.RecordBatch:
+    kind, h, beside = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(["w" if x else "t" for x in kind]), pa.array(h, pa.int64()), pa.array(beside, pa.binary())], ["kind", "h", "beside"])
+
+
+def type_bigrams(found: DataFrame) -> np.ndarray:
+    """Counts of (type, next type): a row per type, at most TYPES of them."""
+    out = np.zeros((TYPES, TYPES), np.int64)
+    for h, beside in found.where("kind = 't'").select("h", "beside").toLocalIterator():
+        each = np.frombuffer(bytes(beside), BESIDE)
+        out[h, each["k"].astype(np.int64) - TYPES] += each["n"]
+    return out
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-12))
 
 
-def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """Class of each type. The end token is class 0 for itself; the others start anywhere."""
+def exchange(bigrams: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Class of each type. The end token is class 0 for itself; the others start anywhere.
+
+    Ends when a round moves nothing. Every move raises the likelihood, by more than its sums' rounding errors.
+    """
     n = len(bigrams)
     full = bigrams.astype(np.float64)
     by = np.argsort(-full.sum(axis=1)[1:], kind="stable") + 1
@@ -140,7 +260,8 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     member = np.eye(classes)[own]
     between = member.T @ full @ member
     to_class, from_class = full @ member, full.T @ member  # per type: counts to, and from, each class
-    for _ in range(rounds):
+    least, moved = 1e-9 + 1e-12 * _xlogx(full.sum()), 1
+    while moved:
         moved = 0
         for t in by:
             out, into, self_ = to_class[t].copy(), from_class[t].copy(), full[t, t]
@@ -159,7 +280,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
             gain += _xlogx(diagonal + out + into + self_) - _xlogx(diagonal + out) - _xlogx(diagonal + into) + _xlogx(diagonal)
             gain -= _xlogx(left + out.sum() + self_) - _xlogx(left) + _xlogx(right + into.sum() + self_) - _xlogx(right)
             new = 1 + int(np.argmax(gain[1:]))
-            if gain[new] <= gain[old] + 1e-9:
+            if gain[new] <= gain[old] + least:
                 new = old
             between[new, :] += out
             between[:, new] += into
@@ -171,58 +292,9 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
                 to_class[:, new] += full[:, t]
                 from_class[:, old] -= full[t]
                 from_class[:, new] += full[t]
-        if not moved:
-            break
     return own
 
 
-def word_contexts(docs: DataFrame, top: dict[int, int], class_of: np.ndarray) -> DataFrame:
-    """h, ending, beside of the words that have no type of their own, a row per word and flush of a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[bytes, int] = {}
-        classes, keys, held = [], [], 0
-        hashes, kinds = [], []
-
-        def out() -> pa.RecordBatch:
-            code, n = np.unique(np.concatenate(keys), return_counts=True)
-            own = np.array([h not in top for h in hashes], bool)
-            at = code >> 7
-            kept = own[at]
-            entries = np.empty(int(kept.sum()), BESIDE)
-            entries["k"], entries["n"] = code[kept] & 127, n[kept]
-            sizes = np.bincount(at[kept], minlength=len(hashes))[own] * BESIDE.itemsize
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            beside = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(entries.tobytes())])
-            return pa.RecordBatch.from_arrays([pa.array(np.array(hashes, np.int64)[own]), pa.array(np.array(kinds, np.int32)[own]), beside], ["h", "ending", "beside"])
-
-        for batch in pieces(batches):
-            for text in byte_texts(batch.column(0)):
-                ws = tokens(text)
-                if not ws:
-                    continue
-                at = np.fromiter((ids.setdefault(w, len(ids)) for w in ws), np.int32, len(ws))
-                if len(ids) > len(hashes):
-                    for w in list(islice(reversed(ids), len(ids) - len(hashes)))[::-1]:
-                        h, kind = word_hash(w), ending(w)
-                        hashes.append(h)
-                        kinds.append(kind)
-                        classes.append(class_of[top.get(h) or kind])
-                path = np.zeros(len(ws) + 2, np.int32)
-                path[1:-1] = np.fromiter((classes[i] for i in at.tolist()), np.int32, len(ws))
-                keys += [at * 128 + path[:-2], at * 128 + CLASSES + path[2:]]
-                held += len(ws)
-                if len(ids) >= FLUSH_WORDS or held >= FLUSH_TOKENS:
-                    yield out()
-                    for x in (ids, classes, keys, hashes, kinds):
-                        x.clear()
-                    held = 0
-        if keys:
-            yield out()
-
-    return docs.mapInArrow(run, "h long, ending int, beside binary")
-
-
 def best_class(before: np.ndarray, after: np.ndarray, old: np.ndarray, into: np.ndarray, out: np.ndarray) -> np.ndarray:
     """The class of greatest gain of each word; before, after: its counts of classes beside it, rows of CLASSES.
 
@@ -245,42 +317,29 @@ def best_class(before: np.ndarray, after: np.ndarray, old: np.ndarray, into: np.
     return np.argmax(np.where(full, gain, -np.inf), axis=1) if full.any() else old
 
 
-def assigned(contexts: DataFrame, class_of: np.ndarray, into: np.ndarray, out: np.ndarray) -> DataFrame:
-    """h, ending, c: each word once; ending is TYPES + its class from LEAST occurrences on."""
+def assigned(found: DataFrame, class_of: np.ndarray, into: np.ndarray, out: np.ndarray) -> DataFrame:
+    """h, k (class), c of each word without a type."""
+    which = class_of[:TYPES]
+    # words seen once differ only in the classes before and after them
+    pair = np.eye(CLASSES)
+    once = np.concatenate([best_class(np.repeat(pair[i : i + 1], CLASSES, 0), pair, np.full(CLASSES, 1), into, out) for i in range(CLASSES)]).reshape(CLASSES, CLASSES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the word that the next batch may go on with
-
-        def told(h: np.ndarray, kind: np.ndarray, beside: np.ndarray) -> pa.RecordBatch:
-            c = beside[:, :CLASSES].sum(axis=1)
-            often = np.flatnonzero(c >= LEAST)
-            if len(often):
-                kind = kind.copy()
-                kind[often] = TYPES + best_class(beside[often, :CLASSES], beside[often, CLASSES:], class_of[kind[often]], into, out)
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(kind.astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "ending", "c"])
-
         for batch in pieces(batches, 4096):
-            h, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            word = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h))))
-            own = batch.column(2).to_pylist()
-            entries = np.frombuffer(b"".join(own), BESIDE)
-            at = np.repeat(word, [len(x) // BESIDE.itemsize for x in own]) * (2 * CLASSES) + entries["k"]
-            beside = np.bincount(at, entries["n"], len(first) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
-            h, kind = h[first], kind[first]
-            if last is not None:
-                if last[0][0] == h[0]:
-                    beside[0] += last[2][0]
-                else:
-                    yield told(*last)
-            if len(h) > 1:
-                yield told(h[:-1], kind[:-1], beside[:-1])
-            last = h[-1:].copy(), kind[-1:].copy(), beside[-1:].copy()
-        if last is not None:
-            yield told(*last)
-
-    buckets = int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return contexts.repartition(buckets, "h").sortWithinPartitions("h").mapInArrow(run, "h long, ending int, c long")
+            own = batch.column(1).to_pylist()
+            each = np.frombuffer(b"".join(own), BESIDE)
+            word = np.repeat(np.arange(len(own)), [len(x) // BESIDE.itemsize for x in own])
+            k = each["k"].astype(np.int64)
+            at = word * (2 * CLASSES) + k // TYPES * CLASSES + which[k % TYPES]
+            beside = np.bincount(at, each["n"], len(own) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+            before, after = beside[:, :CLASSES], beside[:, CLASSES:]
+            c = before.sum(axis=1)
+            kind = once[before.argmax(axis=1), after.argmax(axis=1)]
+            often = np.flatnonzero(c > 1)
+            kind[often] = best_class(before[often], after[often], np.ones(len(often), np.int64), into, out)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kind.astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "k", "c"])
+
+    return found.where("kind = 'w'").select("h", "beside").mapInArrow(run, "h long, k int, c long")
 
 
 def class_bigrams(paths: DataFrame) -> np.ndarray:
@@ -299,36 +358,43 @@ def class_bigrams(paths: DataFrame) -> np.ndarray:
 
 
 class Model:
-    """What the workers need: bounded by TYPES and CLASSES. Beside it the tables of words and of documents' classes."""
+    """What the workers need: bounded by TYPES, CLASSES and SENT. Beside it the tables of words and of documents' classes."""
 
     def __init__(self, docs: DataFrame, rows: DataFrame | None = None):
         """docs: doc_id, text of the training side; rows: doc_id, text, held_out of all, docs if there are no others."""
-        spark = docs.sparkSession
+        rows = docs.withColumn("held_out", F.lit(False)) if rows is None else rows
         texts = docs.select(F.col("text").cast("string"))
         self.n_docs = docs.count()
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        self.buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
         most = word_counts(texts).orderBy(F.desc("c"), "h").limit(WORDS).collect()
-        self.top = {r.h: 1 + ENDINGS + i for i, r in enumerate(most)}
-        bigrams = type_bigrams(texts, self.top)
-        self.class_of = np.concatenate([exchange(bigrams), np.arange(CLASSES)])
-        member = np.eye(CLASSES)[self.class_of[:TYPES]]
+        top = {r.h: 1 + ENDINGS + i for i, r in enumerate(most)}
+        found = stored(contexts(texts, top, self.buckets), "contexts")
+        bigrams = type_bigrams(found)
+        self.class_of = exchange(bigrams)
+        member = np.eye(CLASSES)[self.class_of]
         single = member * (np.arange(TYPES) > ENDINGS)[:, None]
-        words = assigned(word_contexts(texts, self.top, self.class_of), self.class_of, single.T @ bigrams.T @ member, single.T @ bigrams @ member)
-        own = spark.createDataFrame([(r.h, self.top[r.h], r.c) for r in most], "h long, ending int, c long")
+        words = assigned(found, self.class_of, single.T @ bigrams.T @ member, single.T @ bigrams @ member)
+        own = docs.sparkSession.createDataFrame([(r.h, int(self.class_of[top[r.h]]), r.c) for r in most], "h long, k int, c long")
         self.counts = stored(words.unionByName(own), "word-counts")
+        discard(found)
         # class statistics of the words: tokens, types, types seen once and twice
         stats = np.zeros((CLASSES, 4))
         stats[0] = (self.n_docs, 1, 0, 0)
         once = lambda k: F.sum((F.col("c") == k).cast("long"))
-        kinds = self.counts.groupBy("ending").agg(F.sum("c"), F.count(F.lit(1)), once(1), once(2)).collect()
+        kinds = self.counts.groupBy("k").agg(F.sum("c"), F.count(F.lit(1)), once(1), once(2)).collect()
         for r in kinds:
-            stats[self.class_of[r[0]]] += r[1:]
+            stats[r[0]] += r[1:]
         self.V, self.N = sum(r[2] for r in kinds) + (self.n_docs > 0), sum(r[1] for r in kinds) + self.n_docs
         tokens_, types_, once_, twice_ = stats.T
         self.discount = np.clip((once_ + 0.5) / (once_ + 2 * twice_ + 1), 0.05, 0.95)
         self.class_tokens = np.maximum(tokens_, 0)
         # an unseen word of a class without words at all has the whole class
         self.log_unseen = np.log10(np.where(tokens_ > 0, np.maximum(self.discount * types_, 0.5) / np.maximum(tokens_, 1), 1.0))
-        self.paths = stored(walked(docs.withColumn("held_out", F.lit(False)) if rows is None else rows, self.counts, self.state()), "class-paths")
+        # counts add up to N, so no more than SENT words can have N / SENT or more
+        sent = self.counts.where(F.col("c") * SENT >= F.lit(self.N)).orderBy("h").toArrow()
+        self.sent = tuple(sent.column(c).to_numpy() for c in ("h", "k", "c"))
+        self.paths = stored(walked(rows, self.counts, self.state()), "class-paths")
         between = class_bigrams(self.paths.where("not held_out"))
         before, after = between.sum(axis=1, keepdims=True), between.sum(axis=0)
         plain = (after + 0.5) / (after.sum() + 0.5 * CLASSES)
@@ -339,37 +405,31 @@ class Model:
         return {k: v for k, v in self.__dict__.items() if k not in ("counts", "paths")}
 
 
+def word_scores(words: list[bytes], answers: tuple[np.ndarray, ...], model: dict) -> tuple[np.ndarray, ...]:
+    """Count, class, base and emission of each word."""
+    hashes = word_hashes(words)
+    (k, c), (k2, c2) = looked_up(hashes, model["sent"], -1), looked_up(hashes, answers, -1)
+    k, c = np.where(k >= 0, k, k2).astype(np.int64), np.maximum(np.maximum(c, c2), 0)
+    for i in np.flatnonzero(k < 0).tolist():
+        k[i] = model["class_of"][ending(words[i])]
+    seen = np.log10(np.maximum(c - model["discount"][k], 1e-3) / np.maximum(model["class_tokens"][k], 1))
+    base = np.log10((c + 0.1) / (model["N"] + 0.1 * (model["V"] + 1)))
+    return c, k, base, np.where(c > 0, seen, model["log_unseen"][k])
+
+
 def score_bucket(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
     """The documents of one bucket with the counts of their words."""
     held = np.argsort(answers.column("h").to_numpy(), kind="stable")
-    known, counts, types_ = (answers.column(k).to_numpy()[held] for k in ("h", "c", "ending"))
-    index: dict[bytes, int] = {}
-    per_doc = []
-    for text in byte_texts(docs.column("text").combine_chunks()):
-        ws = tokens(text)
-        per_doc.append(np.fromiter((index.setdefault(w, len(index)) for w in ws), np.int64, len(ws)))
-    hashes = np.fromiter(map(word_hash, index), np.int64, len(index))
-    at = np.searchsorted(known, hashes)
-    c, kinds = np.zeros(len(index), np.int64), np.zeros(len(index), np.int64)
-    if len(known):
-        at = np.minimum(at, len(known) - 1)
-        found = known[at] == hashes
-        c, kinds = np.where(found, counts[at], 0), np.where(found, types_[at], 0)
-    for i, w in enumerate(index):
-        if not kinds[i]:
-            kinds[i] = ending(w)
-    own = model["class_of"][kinds]
-    with np.errstate(divide="ignore"):
-        seen = np.log10(np.maximum(c - model["discount"][own], 1e-3) / np.maximum(model["class_tokens"][own], 1))
-    emit = np.where(c > 0, seen, model["log_unseen"][own])
+    index = Index()
+    per_doc = [index.numbers(text) - 1 for text in byte_texts(docs.column("text").combine_chunks())]
+    c, own, base, emit = word_scores(index.take(), tuple(answers.column(x).to_numpy()[held] for x in ("h", "k", "c")), model)
     total = model["N"] + 0.1 * (model["V"] + 1)
-    base = np.log10((c + 0.1) / total)
     end_base = float(np.log10((model["n_docs"] + 0.1) / total))
+    end = 0.0 if model["n_docs"] else float(model["log_unseen"][0])
     rows = []
     for ids in per_doc:
         path = own[ids].astype(np.uint8).tobytes()
-        value = emit[ids].sum() + (0.0 if model["n_docs"] else model["log_unseen"][0])
-        rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (model["n_docs"] > 0), model["N"], float(base[ids].sum()) + end_base, float(value), path))
+        rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (model["n_docs"] > 0), model["N"], float(base[ids].sum()) + end_base, float(emit[ids].sum()) + end, path))
     types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()]
     columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "emitted", "path"]
@@ -378,17 +438,19 @@ def score_bucket(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
 
 def walked(rows: DataFrame, counts: DataFrame, state: dict) -> DataFrame:
     """Every document with the score of its words in their classes, and the classes as bytes."""
-    buckets = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, sent = state["buckets"], rows.sparkSession.sparkContext.broadcast(state)
     rows = rows.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out")
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("doc_id", "text"), F.lit(buckets)).cast("int")).repartition(buckets, "b")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: dict[int, set[bytes]] = {}
+        known = sent.value["sent"]
 
         def out() -> Iterator[pa.RecordBatch]:
             for b, ws in asked.items():
-                h = pa.array([word_hash(w) for w in ws], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(h), pa.int32()), h], ["b", "h"])
+                h = word_hashes(ws)
+                h = h[looked_up(h, known[:2], -1)[0] < 0]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h)], ["b", "h"])
             asked.clear()
 
         for batch in pieces(batches):
@@ -399,13 +461,13 @@ def walked(rows: DataFrame, counts: DataFrame, state: dict) -> DataFrame:
         yield from out()
 
     # all columns, so that both sides read one shuffle of the texts
-    answers = dealt.mapInArrow(ask, "b int, h long").join(counts, "h").select("b", "h", "c", "ending")
+    answers = dealt.mapInArrow(ask, "b int, h long").join(counts, "h").select("b", "h", "k", "c")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, emitted double, path binary"
-    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(lambda d, a: score_bucket(d, a, state), schema)
+    return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(lambda d, a: score_bucket(d, a, sent.value), schema)
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id")).alias("held_out"))
     model = Model(rows.where("not held_out"), rows)
     log_next = model.log_next
@@ -418,4 +480,11 @@ def score(docs: DataFrame) -> DataFrame:
                 value.append(emitted + float(log_next[own[:-1], own[1:]].sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(value, pa.float64())], [*batch.schema.names[:6], "score"])
 
-    return model.paths.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = model.paths.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
+
+
+def perplexity(scored: DataFrame) -> DataFrame:
+    """held_out, n_tokens, base and model perplexity of both sides."""
+    of = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return scored.groupBy("held_out").agg(F.sum("n_tokens").alias("n_tokens"), of("base_score").alias("base"), of("score").alias("model"))
