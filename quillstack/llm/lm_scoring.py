@@ -7,9 +7,10 @@ however rare, joins the class of greatest gain by its own counts of classes befo
 tokens; only words that training never saw have the class of their bucket. Class bigrams are then counted anew over all
 training tokens with the classes of the words.
 
-Two passes over the training texts count: words, then what stands beside them (and type bigrams). A row per type or word
-is stored, so that clustering and classes read no text. What comes to the driver is bounded by TYPES squared; words stay
-distributed. Transitions are smoothed by absolute discounting towards class frequencies; emissions by a discount per
+Two passes over the training texts count: words, then what stands beside them (and type bigrams). The sums are stored, so
+that clustering and classes read no text. What comes to the driver is bounded by TYPES squared; words stay distributed.
+Between stages words travel packed: a task sends one row of arrays to each bucket of words (a word's bucket is its hash
+modulo their number), never a row a word; a bucket is of the size of its share of the vocabulary. Transitions are smoothed by absolute discounting towards class frequencies; emissions by a discount per
 class, whose mass stands for an unseen word.
 
 For scoring, words of a share of 1 / ``SENT`` of all tokens or more, so ``SENT`` of them at most, go to every worker with
@@ -43,10 +44,8 @@ SENT = 1 << 18
 BUCKET_BYTES = 16 << 20
 #: Distinct words, and tokens, that a task counts before it hands them on.
 FLUSH_WORDS, FLUSH_TOKENS = 400_000, 3_000_000
-#: A type beside a word (TYPES more if it is after the word) and how often.
-BESIDE = np.dtype([("k", "<u2"), ("n", "<u4")])
-#: Entries whose gains are summed at once.
-GAIN_ROWS = 20_000
+#: Words that are given their classes at once, and entries whose gains are summed at once.
+PART, GAIN_ROWS = 4096, 20_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -73,25 +72,59 @@ def ending(word: bytes) -> int:
     return 1 + zlib.crc32(word[-2:], kind) % ENDINGS
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """h, c of the words in texts (one column)."""
+def _bytes(x: np.ndarray, kind: str) -> bytes:
+    return x.astype(kind).tobytes()
+
+
+def _arrays(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The arrays of all rows one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
+
+
+def by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that puts words of a bucket together, by hash within, and where each bucket begins and ends."""
+    own = h % buckets  # of the sign of the divisor, as NumPy has it
+    order = np.lexsort((h, own))
+    return order, np.searchsorted(own[order], np.arange(buckets + 1))
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sum of each."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: Counter[bytes] = Counter()
+
+def most_frequent(docs: DataFrame, buckets: int) -> list:
+    """h, c of the ``WORDS`` most frequent words in texts (one column); of equals those of lesser hash."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(word_hashes(count)), pa.array(np.fromiter(count.values(), np.int64, len(count)))], ["h", "n"])
+            h, n = word_hashes(found), np.fromiter(found.values(), np.int64, len(found))
+            order, at = by_bucket(h, buckets)
+            h, n = _bytes(h[order], "<i8"), _bytes(n[order], "<u4")
+            full = np.flatnonzero(np.diff(at))
+            rows = [(h[8 * at[b] : 8 * at[b + 1]], n[4 * at[b] : 4 * at[b + 1]]) for b in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["w", "h", "n"])
 
         for batch in pieces(batches):
             for text in byte_texts(batch.column(0)):
-                count.update(tokens(text))
-            if len(count) >= FLUSH_WORDS:
+                found.update(tokens(text))
+            if len(found) >= FLUSH_WORDS:
                 yield out()
-                count.clear()
-        if count:
+                found.clear()
+        if found:
             yield out()
 
-    return docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
+    def top(rows: pa.Table) -> pa.Table:
+        h, c = summed(_arrays(rows.column("h"), "<i8"), _arrays(rows.column("n"), "<u4").astype(np.int64))
+        best = np.lexsort((h, -c))[:WORDS]
+        return pa.table({"h": h[best], "c": c[best]})
+
+    return docs.mapInArrow(count, "w int, h binary, n binary").groupBy("w").applyInArrow(top, "h long, c long").orderBy(F.desc("c"), "h").limit(WORDS).collect()
 
 
 class Index(dict):
@@ -125,31 +158,20 @@ def looked_up(keys: np.ndarray, table: tuple[np.ndarray, ...], missing: int = 0)
     return [np.where(hit, c[at], missing) for c in columns]
 
 
-def _binaries(entries: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum(sizes * BESIDE.itemsize)]).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(entries.tobytes())])
-
-
-def _rows(kind: str, keys: np.ndarray, code: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """code: row * 2 * TYPES + entry, in order; keys: of each row. Rows without entries are left out."""
-    row, first = np.unique(code // (2 * TYPES), return_index=True)
-    entries = np.empty(len(code), BESIDE)
-    entries["k"], entries["n"] = code % (2 * TYPES), n
-    ends = np.append(first, len(code))
-    for at in range(0, len(row), 50_000):  # what a row batch may hold is far below 2 GB
-        upto = min(at + 50_000, len(row))
-        beside = _binaries(entries[ends[at] : ends[upto]], np.diff(ends[at : upto + 1]))
-        yield pa.RecordBatch.from_arrays([pa.array([kind] * (upto - at)), pa.array(keys[row[at:upto]].astype(np.int64)), beside], ["kind", "h", "beside"])
-
-
 def contexts(docs: DataFrame, top: dict[int, int], buckets: int) -> DataFrame:
-    """kind, h, beside: a row per type (kind t, h its number; only what comes after it) and per word without a type (kind w).
+    """A row a bucket of words (w): h, the words without a type in order, ``size``, how many entries each has, and their
+    ``k`` and ``n``: a type beside the word (TYPES more if it is after it) and how often. Beside them a part of the type
+    bigrams: ``code`` (type * TYPES + next) and ``many``.
 
-    The end token stands before the first and after the last word of a text. A task hands on what it has counted; the
-    rows of a type or word then meet, sorted, and are summed one after the other.
+    The end token stands before the first and after the last word of a text.
     """
     hashes = np.array(sorted(top), np.int64)
     numbers = np.array([top[h] for h in hashes.tolist()], np.int64)
+    names = ["w", "h", "size", "k", "n", "code", "many"]
+    schema = "w int, h binary, size binary, k binary, n binary, code binary, many binary"
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, bigrams = Index(), np.zeros(TYPES * TYPES, np.int64)
@@ -157,8 +179,22 @@ def contexts(docs: DataFrame, top: dict[int, int], buckets: int) -> DataFrame:
         types, hashed = np.zeros(2 * FLUSH_WORDS, np.int64), np.zeros(2 * FLUSH_WORDS, np.int64)
 
         def out() -> Iterator[pa.RecordBatch]:
-            code, n = np.unique(np.concatenate(own), return_counts=True)
-            yield from _rows("w", hashed, code, n)
+            rare = 1 + np.flatnonzero((types[1 : len(index) + 1] > 0) & (types[1 : len(index) + 1] <= ENDINGS))
+            order, at = by_bucket(hashed[rare], buckets)
+            words = rare[order]
+            place = np.zeros(len(index) + 1, np.int64)
+            place[words] = np.arange(len(words))
+            code = np.concatenate(own)
+            code = place[code // (2 * TYPES)] * (2 * TYPES) + code % (2 * TYPES)
+            code, n = np.unique(code, return_counts=True)
+            word, k = code // (2 * TYPES), code % (2 * TYPES)
+            size = np.bincount(word, minlength=len(words))
+            ends = np.searchsorted(word, at)
+            h, size, k, n = _bytes(hashed[words], "<i8"), _bytes(size, "<u4"), _bytes(k, "<u2"), _bytes(n, "<u4")
+            part = lambda x, width, lo, hi: x[width * lo : width * hi]
+            full = np.flatnonzero(np.diff(at)).tolist()
+            if full:
+                yield packed([(b, part(h, 8, at[b], at[b + 1]), part(size, 4, at[b], at[b + 1]), part(k, 2, ends[b], ends[b + 1]), part(n, 4, ends[b], ends[b + 1]), b"", b"") for b in full])
 
         for batch in pieces(batches):
             path = [np.zeros(1, np.int32)]
@@ -187,60 +223,27 @@ def contexts(docs: DataFrame, top: dict[int, int], buckets: int) -> DataFrame:
                 own, held = [np.zeros(0, np.int64)], 0
         yield from out()
         code = np.flatnonzero(bigrams)
-        yield from _rows("t", np.arange(TYPES), code // TYPES * (2 * TYPES) + TYPES + code % TYPES, bigrams[code])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[bool, int, bytes]] = []
-        last = None  # the key that the next batch may go on with
-
-        for batch in pieces(batches, 4096):
-            kind, h = (batch.column(0).to_numpy(zero_copy_only=False) == "w"), batch.column(1).to_numpy()
-            beside = batch.column(2).to_pylist()
-            first = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (kind[1:] != kind[:-1])]))
-            ends = np.append(first[1:], len(h))
-            for a, b in zip(first.tolist(), ends.tolist(), strict=True):
-                if last is not None and last[0] == kind[a] and last[1] == h[a]:
-                    last[2].extend(beside[a:b])
-                else:
-                    if last is not None:
-                        done.append((last[0], last[1], _sum(last[2])))
-                    last = (kind[a], h[a], beside[a:b])
-            if len(done) >= 20_000:
-                yield _told(done)
-                done.clear()
-        if last is not None:
-            done.append((last[0], last[1], _sum(last[2])))
-        if done:
-            yield _told(done)
-
-    schema = "kind string, h long, beside binary"
-    dealt = docs.mapInArrow(count, schema).repartition(buckets, "kind", "h").sortWithinPartitions("kind", "h")
-    return dealt.mapInArrow(add, schema)
-
-
-def _sum(parts: list[bytes]) -> bytes:
-    """Entries of one key, each type once."""
-    if len(parts) == 1:
-        return parts[0]
-    each = np.frombuffer(b"".join(parts), BESIDE)
-    k, where = np.unique(each["k"], return_inverse=True)
-    out = np.empty(len(k), BESIDE)
-    out["k"], out["n"] = k, np.bincount(where, each["n"], len(k))
-    return out.tobytes()
-
-
-def _told(rows: list[tuple[bool, int, bytes]]) -> pa.RecordBatch:
-    kind, h, beside = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(["w" if x else "t" for x in kind]), pa.array(h, pa.int64()), pa.array(beside, pa.binary())], ["kind", "h", "beside"])
+        bucket = code % buckets
+        yield packed([(b, b"", b"", b"", b"", _bytes(code[bucket == b], "<i4"), _bytes(bigrams[code[bucket == b]], "<i8")) for b in np.unique(bucket).tolist()])
+
+    def add(rows: pa.Table) -> pa.Table:
+        h, size = _arrays(rows.column("h"), "<i8"), _arrays(rows.column("size"), "<u4").astype(np.int64)
+        words, which = np.unique(h, return_inverse=True)
+        code = np.repeat(which.astype(np.int64), size) * (2 * TYPES) + _arrays(rows.column("k"), "<u2")
+        code, n = summed(code, _arrays(rows.column("n"), "<u4").astype(np.int64))
+        size = np.bincount(code // (2 * TYPES), minlength=len(words))
+        pair, many = summed(_arrays(rows.column("code"), "<i4"), _arrays(rows.column("many"), "<i8"))
+        return pa.Table.from_batches([packed([(rows.column("w")[0].as_py(), _bytes(words, "<i8"), _bytes(size, "<u4"), _bytes(code % (2 * TYPES), "<u2"), _bytes(n, "<u4"), _bytes(pair, "<i4"), _bytes(many, "<i8"))])])
+
+    return docs.mapInArrow(count, schema).groupBy("w").applyInArrow(add, schema)
 
 
 def type_bigrams(found: DataFrame) -> np.ndarray:
-    """Counts of (type, next type): a row per type, at most TYPES of them."""
-    out = np.zeros((TYPES, TYPES), np.int64)
-    for h, beside in found.where("kind = 't'").select("h", "beside").toLocalIterator():
-        each = np.frombuffer(bytes(beside), BESIDE)
-        out[h, each["k"].astype(np.int64) - TYPES] += each["n"]
-    return out
+    """Counts of (type, next type): TYPES squared numbers whatever the corpus."""
+    out = np.zeros(TYPES * TYPES, np.int64)
+    for code, many in found.select("code", "many").toLocalIterator():
+        out[np.frombuffer(bytes(code), "<i4")] += np.frombuffer(bytes(many), "<i8")
+    return out.reshape(TYPES, TYPES)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -318,28 +321,49 @@ def best_class(before: np.ndarray, after: np.ndarray, old: np.ndarray, into: np.
 
 
 def assigned(found: DataFrame, class_of: np.ndarray, into: np.ndarray, out: np.ndarray) -> DataFrame:
-    """h, k (class), c of each word without a type."""
+    """A row a bucket: w, and h, k (class), c of its words; ``stats``: per class its tokens, words, words seen once and twice."""
     which = class_of[:TYPES]
     # words seen once differ only in the classes before and after them
     pair = np.eye(CLASSES)
     once = np.concatenate([best_class(np.repeat(pair[i : i + 1], CLASSES, 0), pair, np.full(CLASSES, 1), into, out) for i in range(CLASSES)]).reshape(CLASSES, CLASSES)
 
+    def classes(size: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.repeat(np.arange(len(size)), size) * (2 * CLASSES) + k // TYPES * CLASSES + which[k % TYPES]
+        beside = np.bincount(at, n, len(size) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
+        before, after = beside[:, :CLASSES], beside[:, CLASSES:]
+        c = before.sum(axis=1).astype(np.int64)
+        kind = once[before.argmax(axis=1), after.argmax(axis=1)]
+        often = np.flatnonzero(c > 1)
+        kind[often] = best_class(before[often], after[often], np.ones(len(often), np.int64), into, out)
+        return kind, c
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, 4096):
-            own = batch.column(1).to_pylist()
-            each = np.frombuffer(b"".join(own), BESIDE)
-            word = np.repeat(np.arange(len(own)), [len(x) // BESIDE.itemsize for x in own])
-            k = each["k"].astype(np.int64)
-            at = word * (2 * CLASSES) + k // TYPES * CLASSES + which[k % TYPES]
-            beside = np.bincount(at, each["n"], len(own) * 2 * CLASSES).reshape(-1, 2 * CLASSES)
-            before, after = beside[:, :CLASSES], beside[:, CLASSES:]
-            c = before.sum(axis=1)
-            kind = once[before.argmax(axis=1), after.argmax(axis=1)]
-            often = np.flatnonzero(c > 1)
-            kind[often] = best_class(before[often], after[often], np.ones(len(often), np.int64), into, out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kind.astype(np.int32)), pa.array(c.astype(np.int64))], ["h", "k", "c"])
-
-    return found.where("kind = 'w'").select("h", "beside").mapInArrow(run, "h long, k int, c long")
+        for batch in batches:
+            for row in range(batch.num_rows):
+                w, h, size, k, n = (batch.column(i)[row].as_py() for i in range(5))
+                size, k, n = np.frombuffer(size, "<u4").astype(np.int64), np.frombuffer(k, "<u2").astype(np.int64), np.frombuffer(n, "<u4")
+                ends = np.concatenate([[0], np.cumsum(size)])
+                parts = [classes(size[a : a + PART], k[ends[a] : ends[min(a + PART, len(size))]], n[ends[a] : ends[min(a + PART, len(size))]]) for a in range(0, len(size), PART)]
+                kind, c = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
+                count = lambda weight=None: np.bincount(kind, weight, CLASSES).astype(np.int64)  # noqa: B023, E731
+                stats = np.stack([count(c), count(), count(c == 1), count(c == 2)], axis=1)
+                cells = [[h], [_bytes(kind, "u1")], [_bytes(c, "<i8")], [_bytes(stats, "<i8")]]
+                yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), *(pa.array(x, pa.binary()) for x in cells)], ["w", "h", "k", "c", "stats"])
+
+    return found.select("w", "h", "size", "k", "n").mapInArrow(run, "w int, h binary, k binary, c binary, stats binary")
+
+
+def word_rows(counts: DataFrame, least: int = 1) -> DataFrame:
+    """h, k, c of the words seen ``least`` times or more, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                h, k, c = (np.frombuffer(batch.column(i)[row].as_py(), kind) for i, kind in enumerate(("<i8", "u1", "<i8")))
+                at = c >= least
+                yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(k[at].astype(np.int32)), pa.array(c[at])], ["h", "k", "c"])
+
+    return counts.select("h", "k", "c").mapInArrow(run, "h long, k int, c long")
 
 
 def class_bigrams(paths: DataFrame) -> np.ndarray:
@@ -367,33 +391,34 @@ class Model:
         self.n_docs = docs.count()
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         self.buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-        most = word_counts(texts).orderBy(F.desc("c"), "h").limit(WORDS).collect()
+        most = most_frequent(texts, self.buckets)
         top = {r.h: 1 + ENDINGS + i for i, r in enumerate(most)}
         found = stored(contexts(texts, top, self.buckets), "contexts")
         bigrams = type_bigrams(found)
         self.class_of = exchange(bigrams)
         member = np.eye(CLASSES)[self.class_of]
         single = member * (np.arange(TYPES) > ENDINGS)[:, None]
-        words = assigned(found, self.class_of, single.T @ bigrams.T @ member, single.T @ bigrams @ member)
-        own = docs.sparkSession.createDataFrame([(r.h, int(self.class_of[top[r.h]]), r.c) for r in most], "h long, k int, c long")
-        self.counts = stored(words.unionByName(own), "word-counts")
+        self.counts = stored(assigned(found, self.class_of, single.T @ bigrams.T @ member, single.T @ bigrams @ member), "word-counts")
         discard(found)
         # class statistics of the words: tokens, types, types seen once and twice
         stats = np.zeros((CLASSES, 4))
         stats[0] = (self.n_docs, 1, 0, 0)
-        once = lambda k: F.sum((F.col("c") == k).cast("long"))
-        kinds = self.counts.groupBy("k").agg(F.sum("c"), F.count(F.lit(1)), once(1), once(2)).collect()
-        for r in kinds:
-            stats[r[0]] += r[1:]
-        self.V, self.N = sum(r[2] for r in kinds) + (self.n_docs > 0), sum(r[1] for r in kinds) + self.n_docs
+        for (own,) in self.counts.select("stats").toLocalIterator():
+            stats += np.frombuffer(bytes(own), "<i8").reshape(CLASSES, 4)
+        for r in most:
+            stats[self.class_of[top[r.h]]] += (r.c, 1, r.c == 1, r.c == 2)
+        self.N = int(stats[:, 0].sum())
+        self.V = int(stats[:, 1].sum()) - (self.n_docs == 0)
         tokens_, types_, once_, twice_ = stats.T
         self.discount = np.clip((once_ + 0.5) / (once_ + 2 * twice_ + 1), 0.05, 0.95)
         self.class_tokens = np.maximum(tokens_, 0)
         # an unseen word of a class without words at all has the whole class
         self.log_unseen = np.log10(np.where(tokens_ > 0, np.maximum(self.discount * types_, 0.5) / np.maximum(tokens_, 1), 1.0))
-        # counts add up to N, so no more than SENT words can have N / SENT or more
-        sent = self.counts.where(F.col("c") * SENT >= F.lit(self.N)).orderBy("h").toArrow()
-        self.sent = tuple(sent.column(c).to_numpy() for c in ("h", "k", "c"))
+        # counts add up to N, so no more than SENT words can have N / SENT or more; the words with types are among those sent
+        sent = word_rows(self.counts, -(-self.N // SENT)).toArrow()
+        extra = ([r.h for r in most], [int(self.class_of[top[r.h]]) for r in most], [r.c for r in most])
+        h, k, c = (np.concatenate([sent.column(x).to_numpy(), np.array(y, np.int64)]) for x, y in zip(("h", "k", "c"), extra, strict=True))
+        self.sent = tuple(x[np.argsort(h)] for x in (h, k, c))
         self.paths = stored(walked(rows, self.counts, self.state()), "class-paths")
         between = class_bigrams(self.paths.where("not held_out"))
         before, after = between.sum(axis=1, keepdims=True), between.sum(axis=0)
@@ -419,10 +444,11 @@ def word_scores(words: list[bytes], answers: tuple[np.ndarray, ...], model: dict
 
 def score_bucket(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
     """The documents of one bucket with the counts of their words."""
-    held = np.argsort(answers.column("h").to_numpy(), kind="stable")
+    told = [_arrays(answers.column(x), kind) for x, kind in (("h", "<i8"), ("k", "u1"), ("c", "<i8"))]
+    held = np.argsort(told[0], kind="stable")
     index = Index()
     per_doc = [index.numbers(text) - 1 for text in byte_texts(docs.column("text").combine_chunks())]
-    c, own, base, emit = word_scores(index.take(), tuple(answers.column(x).to_numpy()[held] for x in ("h", "k", "c")), model)
+    c, own, base, emit = word_scores(index.take(), tuple(x[held].astype(np.int64) for x in told), model)
     total = model["N"] + 0.1 * (model["V"] + 1)
     end_base = float(np.log10((model["n_docs"] + 0.1) / total))
     end = 0.0 if model["n_docs"] else float(model["log_unseen"][0])
@@ -450,7 +476,9 @@ def walked(rows: DataFrame, counts: DataFrame, state: dict) -> DataFrame:
             for b, ws in asked.items():
                 h = word_hashes(ws)
                 h = h[looked_up(h, known[:2], -1)[0] < 0]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h)], ["b", "h"])
+                order, at = by_bucket(h, buckets)
+                h, full = _bytes(h[order], "<i8"), np.flatnonzero(np.diff(at)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([b] * len(full), pa.int32()), pa.array([h[8 * at[w] : 8 * at[w + 1]] for w in full], pa.binary())], ["w", "b", "h"])
             asked.clear()
 
         for batch in pieces(batches):
@@ -460,8 +488,19 @@ def walked(rows: DataFrame, counts: DataFrame, state: dict) -> DataFrame:
                 yield from out()
         yield from out()
 
+    def answer(asks: pa.Table, words: pa.Table) -> pa.Table:
+        known = [_arrays(words.column(x), kind) for x, kind in (("h", "<i8"), ("k", "u1"), ("c", "<i8"))]
+        rows = []
+        for b, h in zip(asks.column("b").to_pylist(), asks.column("h").to_pylist(), strict=True):
+            own = np.frombuffer(h, "<i8")
+            k, c = looked_up(own, (known[0], known[1], known[2]))
+            hit = c > 0
+            rows.append((b, _bytes(own[hit], "<i8"), _bytes(k[hit], "u1"), _bytes(c[hit], "<i8")))
+        return pa.table({"b": pa.array([r[0] for r in rows], pa.int32())} | {x: pa.array([r[i] for r in rows], pa.binary()) for i, x in ((1, "h"), (2, "k"), (3, "c"))})
+
     # all columns, so that both sides read one shuffle of the texts
-    answers = dealt.mapInArrow(ask, "b int, h long").join(counts, "h").select("b", "h", "k", "c")
+    asks = dealt.mapInArrow(ask, "w int, b int, h binary").groupBy("w")
+    answers = asks.cogroup(counts.select("w", "h", "k", "c").groupBy("w")).applyInArrow(answer, "b int, h binary, k binary, c binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, emitted double, path binary"
     return dealt.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(lambda d, a: score_bucket(d, a, sent.value), schema)
 

@@ -297,7 +297,7 @@ def test_lm_score_by_definition(docs):
     own = [(r.doc_id, r.held_out, lm_scoring.tokens((r.text or "").encode())) for r in split.collect()]
     train = [w for _, h, w in own if not h]
     c = Counter(x for w in train for x in w)
-    kind = {r.h: (r.k, r.c) for r in m.counts.collect()}
+    kind = {r.h: (r.k, r.c) for r in lm_scoring.word_rows(m.counts).collect()} | {h: (k, n) for h, k, n in zip(*(x.tolist() for x in m.sent))}
     assert {h: n for h, (_, n) in kind.items()} == {lm_scoring.word_hash(w): n for w, n in c.items()}
     k = lm_scoring.CLASSES
     tokens_, types_, once, twice = (np.zeros(k) for _ in range(4))
@@ -356,9 +356,9 @@ def test_class_model_sums_to_one(spark):
 
     assert np.allclose((10 ** m.log_next).sum(axis=1), 1, atol=1e-6)
     mass = 10 ** m.log_unseen
-    for r in m.counts.collect():
-        k = r.k
-        mass[k] += max(r.c - m.discount[k], 1e-3) / m.class_tokens[k]
+    every = {r.h: (r.k, r.c) for r in lm_scoring.word_rows(m.counts).collect()} | {h: (k, n) for h, k, n in zip(*(x.tolist() for x in m.sent))}
+    for k, c in every.values():
+        mass[k] += max(c - m.discount[k], 1e-3) / m.class_tokens[k]
     used = (m.class_tokens > 1) & (np.arange(len(mass)) > 0)
     assert np.allclose(mass[used], 1, atol=0.5 / m.class_tokens[used].min() + 1e-6)
 

@@ -17,7 +17,7 @@ def test_words_by_their_neighbours(spark):
         own += [f"{rare['a'][i]} {frequent['b'][j]} {frequent['a'][j]} {rare['b'][i]}" for j in range(4)]
     df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
     model = lm_scoring.Model(df)
-    types = {r.h: (r.k, r.c) for r in model.counts.collect()}
+    types = {r.h: (r.k, r.c) for r in lm_scoring.word_rows(model.counts).collect()}
     kind = lambda w: types[lm_scoring.word_hash(w.encode())][0]
     assert len({lm_scoring.ending(w.encode()) for w in rare["a"] + rare["b"]}) == 1
     assert all(types[lm_scoring.word_hash(w.encode())][1] == 4 for w in rare["a"] + rare["b"])
