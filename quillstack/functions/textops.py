@@ -58,6 +58,15 @@ def chunk_tokens(tokens: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.slice(tokens, i * size + 1, F.lit(size)))
 
 
+def text_chunks(text: Column, tokens: Column, size: int) -> Column:
+    """array<struct<n_tokens,text>>: the text as it is if its tokens fit, else slices of `size` tokens joined by blanks.
+
+    tokens may be any tokenizer's array of strings.
+    """
+    cut = F.transform(chunk_tokens(tokens, size), lambda w: F.struct(F.size(w).alias("n_tokens"), F.array_join(w, " ").alias("text")))
+    return F.when(F.size(tokens) <= size, F.array(F.struct(F.size(tokens).alias("n_tokens"), text.alias("text")))).otherwise(cut)
+
+
 def fill_prompt(prompt: Sequence[tuple[str, str]], text: Column, hole: str = "<prompt_template>") -> Column:
     """array<struct<role,content>> with the hole filled in every message."""
     return F.array(*(F.struct(F.lit(role).alias("role"), F.replace(F.lit(content), F.lit(hole), text).alias("content")) for role, content in prompt))
@@ -95,7 +104,8 @@ def title_pattern(book: Column) -> Column:
 
 
 def clean_page(text: Column, book: Column) -> Column:
-    t = delete_patterns(text)
+    """Blanks off both ends come first, so that a page number after them is at the start."""
+    t = delete_patterns(strip(text))
     t = F.regexp_replace(t, r"\n\d+\n", "\n")
     t = F.regexp_replace(t, title_pattern(book), F.lit(""))
     t = F.regexp_replace(t, r"\A\d+[.: \n]", "")

@@ -6,33 +6,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def page_chunks(pages: DataFrame, limit: int) -> DataFrame:
-    """book, page_idx, page_number, text, n_tokens -> book, chunk, start_page, end_page, n_pages, text.
+def chunk_cuts(pages: DataFrame, limit: int) -> DataFrame:
+    """(book, chunk, upto_page): the last page_idx of every chunk.
 
-    A page is added, and only when the sum then exceeds the limit is the chunk closed with it. A chunk is labelled as
-    starting at the page that closed the chunk before it. A last chunk without tokens is left out. The running sum
-    starts anew at every cut, so it is a fold over a book's pages, in order; a book is one row while it is folded.
+    The running sum starts anew at every cut, so it is a fold over a book's page numbers and token counts, without the
+    texts; it keeps a number per chunk.
     """
-    page = F.struct("page_idx", "page_number", "n_tokens", "text")
-    books = pages.groupBy("book").agg(F.array_sort(F.collect_list(page)).alias("pages"))
-    start = F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("chunk"), F.array().cast("array<int>").alias("of"))
+    books = pages.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("page_idx", "n_tokens"))).alias("pages"))
+    at = F.array().cast(f"array<{pages.schema['page_idx'].dataType.simpleString()}>")
+    start = F.struct(F.lit(0).cast("bigint").alias("sum"), at.alias("cuts"))
 
     def step(s, p):
         total = s["sum"] + p["n_tokens"]
         over = total > limit
-        return F.struct(F.when(over, F.lit(0).cast("bigint")).otherwise(total).alias("sum"), (s["chunk"] + over.cast("int")).alias("chunk"), F.concat(s["of"], F.array(s["chunk"])).alias("of"))
+        return F.struct(F.when(over, F.lit(0).cast("bigint")).otherwise(total).alias("sum"), F.when(over, F.concat(s["cuts"], F.array(p["page_idx"]))).otherwise(s["cuts"]).alias("cuts"))
+
+    folded = books.select("book", F.element_at("pages", -1)["page_idx"].alias("last"), F.aggregate("pages", start, step).alias("fold"))
+    # what comes after the last cut is a chunk if it has tokens
+    ends = F.when(F.col("fold.sum") > 0, F.concat("fold.cuts", F.array("last"))).otherwise(F.col("fold.cuts"))
+    return folded.select("book", F.posexplode(ends).alias("chunk", "upto_page"))
+
+
+def page_chunks(pages: DataFrame, limit: int) -> DataFrame:
+    """book, page_idx, page_number, text, n_tokens -> book, chunk, start_page, end_page, n_pages, text.
 
-    folded = books.select("book", "pages", F.aggregate("pages", start, step).alias("fold"))
-    each = folded.select("book", F.col("fold.sum").alias("rest"), F.col("fold.chunk").alias("open"), F.explode(F.zip_with("pages", F.col("fold.of"), lambda p, c: F.struct(c.alias("chunk"), p.alias("p")))).alias("x"))
-    each = each.select("book", "rest", "open", F.col("x.chunk").alias("chunk"), "x.p.*").where("chunk < open or rest > 0")
+    A page is added, and only when the sum then exceeds the limit is the chunk closed with it. A chunk is labelled as
+    starting at the page that closed the chunk before it. A last chunk without tokens is left out. page_idx is a whole
+    number and unique in a book. Texts meet their chunk, not their book.
+    """
+    from pyspark.sql import Window
+
+    cuts = chunk_cuts(pages, limit)
+    # a page's chunk: the cuts before it, counted over the book's page numbers alone
+    marks = cuts.select("book", F.col("upto_page").alias("page_idx"), F.lit(1).alias("cut"))
+    before = F.coalesce(F.sum("cut").over(Window.partitionBy("book").orderBy("page_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = pages.select("book", "page_idx").join(marks, ["book", "page_idx"], "left").select("book", "page_idx", before.cast("int").alias("chunk"))
+    numbers = numbers.join(cuts.groupBy("book").agg(F.max("chunk").alias("most")), "book").where("chunk <= most").select("book", "page_idx", "chunk")
+    each = pages.select("book", "page_idx", "page_number", "text").join(numbers, ["book", "page_idx"])
     chunks = each.groupBy("book", "chunk").agg(
         F.min_by("page_number", "page_idx").alias("first_page"), F.max_by("page_number", "page_idx").alias("end_page"), F.count(F.lit(1)).alias("n_pages"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "text"))), lambda x: x["text"]), "").alias("text"),
     )
-    from pyspark.sql import Window
-
-    before = F.lag("end_page").over(Window.partitionBy("book").orderBy("chunk"))
-    return chunks.select("book", "chunk", F.coalesce(before, "first_page").alias("start_page"), "end_page", "n_pages", "text")
+    # a chunk starts with the number of the page that closed the one before: a join of page numbers, not of texts
+    closing = cuts.join(pages.select("book", F.col("page_idx").alias("upto_page"), F.col("page_number").alias("closed_by")), ["book", "upto_page"])
+    closing = closing.select("book", (F.col("chunk") + 1).alias("chunk"), "closed_by")
+    return chunks.join(closing, ["book", "chunk"], "left").select("book", "chunk", F.coalesce("closed_by", "first_page").alias("start_page"), "end_page", "n_pages", "text")
 
 
 def reassemble(chunks: DataFrame, keys: list[str], index: str, text: str, sep: str = " ") -> DataFrame:

@@ -38,6 +38,15 @@ def conversation(turns: Column) -> Column:
     return F.flatten(each)
 
 
+def turns_of(conversations: Column) -> Column:
+    """array<struct<user,assistant>> of array<struct<from,value>>, image tags off; an odd last turn has no partner and is
+    left out, roles that don't alternate from human are an error."""
+    at = F.floor(F.size(conversations) / 2).cast("int")
+    places = F.when(at > 0, F.sequence(F.lit(0), at - 1)).otherwise(F.array().cast("array<int>"))
+    said = lambda i, who: F.when(F.get(conversations, i)["from"] == who, F.get(conversations, i)["value"]).otherwise(F.raise_error(F.lit(f"a turn is not from {who}")))
+    return F.transform(places, lambda i: F.struct(T.strip_image_tag(said(i * 2, "human")).alias("user"), T.strip(said(i * 2 + 1, "gpt")).alias("assistant")))
+
+
 def qa_mismatch(turns: DataFrame, conv: str, role: str, human: str, assistant: str) -> DataFrame:
     """Conversations with unequal numbers of questions and answers."""
     count = lambda who: F.sum((F.col(role) == who).cast("bigint"))

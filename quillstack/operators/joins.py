@@ -31,11 +31,13 @@ def first_rejects(joined: DataFrame, most: int = 10) -> DataFrame:
 
 def with_original(chunks: DataFrame, originals: DataFrame, phrase: str) -> DataFrame:
     """chunks (book_name, page_number, chunk_idx, text): where the text has the phrase and the chunk is the first left of
-    its page, the original text replaces it; without an original the chunk is dropped."""
+    its page, the original text replaces it; without an original the chunk is dropped. Of several originals of a page the one
+    with the greatest ``ordinal`` counts (the greatest text, where there is no such column)."""
     first = F.row_number().over(Window.partitionBy("book_name", "page_number").orderBy("chunk_idx")) == 1
     flagged = chunks.withColumn("wants", F.col("text").contains(phrase))
     # a first chunk without its original goes, and the next becomes the first: settled before ranks are given
-    source = originals.select("book_name", "page_number", F.col("text").alias("original"))
+    last = F.max_by("text", "ordinal") if "ordinal" in originals.columns else F.max("text")
+    source = originals.groupBy("book_name", "page_number").agg(last.alias("original"))
     joined = flagged.join(source, ["book_name", "page_number"], "left")
     dropped = F.col("wants") & F.col("original").isNull()
     lead = F.min(F.when(~dropped, F.col("chunk_idx"))).over(Window.partitionBy("book_name", "page_number"))

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a bucket should have, and buckets at most.
+ROWS, MOST = 100_000, 1024
 
-def _ranked(df: DataFrame, bucket: Column, order: Sequence[Column], within: Sequence[str], name: str) -> DataFrame:
+
+def _ranked(df: DataFrame, bucket: Column, order: Sequence[Column], within: Sequence[str], name: str, counted: DataFrame | None = None) -> DataFrame:
+    """counted: a table with the same rows that is cheaper to read; buckets are counted there."""
     keys = [*within, "__bucket"]
-    rows = df.withColumn("__bucket", bucket)
     before = Window.partitionBy(*within).orderBy("__bucket") if within else Window.partitionBy(F.lit(0)).orderBy("__bucket")
-    counts = rows.groupBy(*keys).count()  # a row a bucket
+    counts = (df if counted is None else counted).groupBy(*within, bucket.alias("__bucket")).count()  # a row a bucket
     offsets = counts.select(*keys, (F.sum("count").over(before) - F.col("count")).alias("__offset"))
-    own = rows.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    own = df.withColumn("__bucket", bucket).withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return own.join(offsets, keys).withColumn(name, F.col("__offset") + F.col("__rank").cast("bigint") - 1).drop("__bucket", "__offset", "__rank")
 
 
@@ -23,15 +27,54 @@ def hash_rank(df: DataFrame, key: str, tie: str, within: Sequence[str] = (), nam
     return _ranked(df, F.substring(key, 1, 2), [F.col(key), F.col(tie)], within, name)
 
 
-def score_rank(df: DataFrame, score: str, key: str, tie: str, name: str = "rank", buckets: int = 64) -> DataFrame:
-    """0-based rank by (score, key, tie). Bounds from approximate quantiles only deal out the work; equal scores that
-    fill whole buckets are dealt out again by their hash."""
-    cuts = sorted(set(df.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []))
-    no = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(score))) if cuts else F.lit(0)
-    on_cut = F.array_contains(F.array(*(F.lit(c) for c in cuts)), F.col(score)) if cuts else F.lit(False)
+def quantile_cuts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, list]]:
+    """The number of rows, and per column values that part them into buckets of about ``ROWS``. One job for all columns.
+
+    The cuts are approximate quantiles; they only deal out the work, ranks don't depend on them.
+    """
+    points = [i / MOST for i in range(1, MOST)]
+    found = df.agg(F.count(F.lit(1)), *(F.percentile_approx(c, points, 10_000) for c in columns)).first()
+    n = found[0]
+    parts = min(MOST, max(1, math.ceil(n / ROWS)))
+    every = {c: found[i + 1] or [] for i, c in enumerate(columns)}
+    return n, {c: sorted({values[k * MOST // parts - 1] for k in range(1, parts)} if values else set()) for c, values in every.items()}
+
+
+def cuts_upto(c: Column, cuts: Sequence) -> Column:
+    """How many of the sorted cuts are not above the value, by halving."""
+    if not cuts:
+        return F.lit(0)
+    values, span = F.array(*(F.lit(x) for x in cuts)), F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi"))
+
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.get(values, mid) <= c)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(cuts).bit_length()))
+    return F.coalesce(F.aggregate(steps, span, halve)["lo"], F.lit(0))
+
+
+def score_rank(df: DataFrame, score: str, key: str, tie: str, name: str = "rank", cuts: Sequence | None = None, counted: DataFrame | None = None) -> DataFrame:
+    """0-based rank by (score, key, tie). Equal scores that fill whole buckets are dealt out again by their hash."""
+    cuts = quantile_cuts(df, [score])[1][score] if cuts is None else cuts
+    no = cuts_upto(F.col(score), cuts)
     # rows that equal a cut come first in their bucket, so their hash orders them
+    on_cut = F.coalesce(F.get(F.array(*(F.lit(x) for x in cuts)), no - 1) == F.col(score), F.lit(False)) if cuts else F.lit(False)
     bucket = F.concat(F.lpad(no.cast("string"), 4, "0"), F.when(on_cut, F.concat(F.lit("0"), F.substring(key, 1, 2))).otherwise(F.lit("1")))
-    return _ranked(df, bucket, [F.col(score), F.col(key), F.col(tie)], (), name)
+    return _ranked(df, bucket, [F.col(score), F.col(key), F.col(tie)], (), name, counted)
+
+
+def ordered_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """0-based rank by columns, the first of which deals out the rows: a bounded sample of its values gives the cuts."""
+    keyed = df.withColumn("__first", order[0])
+    parts = min(MOST, max(1, math.ceil(df.count() / ROWS)))
+    cuts: list = []
+    if parts > 1:  # by hash, so that the sample is the same wherever the rows are
+        found = sorted(r[0] for r in keyed.where("__first is not null").select("__first").orderBy(F.xxhash64("__first")).limit(50 * parts).collect())
+        cuts = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
+    bucket = F.lpad(cuts_upto(F.col("__first"), cuts).cast("string"), 4, "0")
+    return _ranked(keyed, bucket, list(order), (), name).drop("__first")
 
 
 def tile(rank: Column, n: Column, tiles: int) -> Column:
@@ -39,3 +82,7 @@ def tile(rank: Column, n: Column, tiles: int) -> Column:
     small, extra = F.floor(n / tiles), n % tiles
     head = extra * (small + 1)
     return F.when(rank < head, F.floor(rank / (small + 1))).otherwise(extra + F.floor((rank - head) / F.greatest(small, F.lit(1)))).cast("int") + 1
+
+
+def tile_sizes(n: int, tiles: int) -> list[int]:
+    return [n // tiles + (k < n % tiles) for k in range(tiles)]

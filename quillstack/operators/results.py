@@ -11,6 +11,13 @@ from pyspark.sql import functions as F
 RUN_NAME = r"^tl_(.+)_(staged|competence)_ep(\d+)_([^_]+)lm_([^_]+)_seed(\d+)_(.+)$"
 RUN_FIELDS = ("order", "schedule", "epochs", "lm_init", "modality", "seed", "run_id")
 CONDITION = ("epochs", "lm_init", "modality", "order", "schedule")
+# Tasks in report order, the label that is not what stands before the slash, orders without a schedule, those
+# that are staged only, and names in figures.
+REPORTED = ("blimp/blimp_filtered", "blimp/supplement_filtered", "ewok/ewok_filtered", "entity_tracking/entity_tracking", "comps/comps")
+OVERRIDE = ("blimp/supplement_filtered", "supplement")
+FREE = ("random",)
+CONTROLS = ("randomblock", "qwenppl", "gemmappl")
+NAMES = {"antidevelopmental": "anti-developmental", "randomblock": "random-block", "qwenppl": "perplexity (Qwen3)", "gemmappl": "perplexity (Gemma)"}
 ACCURACY = r"### AVERAGE ACCURACY\n([\d.]+)"
 
 
@@ -54,22 +61,61 @@ def mean_sd(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count(value).alias("n"))
 
 
+def task_label(task: Column) -> Column:
+    """A reported task's short name: what stands before the slash, with one override; null for tasks that are not reported."""
+    short = F.when(task == OVERRIDE[0], OVERRIDE[1]).otherwise(F.substring_index(task, "/", 1))
+    return F.when(task.isin(*REPORTED), short)
+
+
+def text_tasks(df: DataFrame, task: str = "task") -> DataFrame:
+    """The rows of reported tasks, with ``label`` and ``task_order``, their place in the report."""
+    place = F.array_position(F.array(*(F.lit(t) for t in REPORTED)), F.col(task))
+    return df.where(F.col(task).isin(*REPORTED)).withColumns({"label": task_label(F.col(task)), "task_order": place.cast("int")})
+
+
+def panels(df: DataFrame) -> DataFrame:
+    """Rows under the ``panel`` (staged, competence) that shows them: an order that has no schedule is staged and stands in
+    both panels, controls that are only staged stand there alone, others in that of their schedule."""
+    shown = df.where(~F.col("order").isin(*FREE, *CONTROLS) | (F.col("schedule") == "staged"))
+    panel = F.when(F.col("order").isin(*FREE), F.array(F.lit("staged"), F.lit("competence"))).otherwise(F.array("schedule"))
+    return shown.select("*", F.explode(panel).alias("panel"))
+
+
+def order_label() -> Column:
+    """An order's name in figures; the schedule's first four letters follow unless the order is shown without."""
+    name = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in NAMES.items() for x in kv)), F.col("order")), F.col("order"))
+    return F.when(F.col("order").isin(*FREE, *CONTROLS), name).otherwise(F.concat(name, F.lit("/"), F.substring("schedule", 1, 4)))
+
+
+def against_random(df: DataFrame, value: str) -> DataFrame:
+    """(epochs, order, schedule, mean, baseline): condition means beside the mean of the random order of as many epochs."""
+    means = df.groupBy("epochs", "order", "schedule").agg(F.avg(value).alias("mean"))
+    random = df.where("`order` = 'random'").groupBy("epochs").agg(F.avg(value).alias("baseline"))
+    return means.join(random, "epochs", "left").select("epochs", "order", "schedule", "mean", "baseline")
+
+
+def require_unique(df: DataFrame, by: Sequence[str], path: str = "path") -> None:
+    """Fails with the key and both files of a repeated result."""
+    found = duplicate_pairs(df, by, path).limit(1).collect()
+    if found:
+        r = found[0]
+        raise ValueError(f"{r.n} results of {'/'.join(str(r[c]) for c in by)}: {r['first']} and {r['second']}")
+
+
 def pivot_means(df: DataFrame, by: Sequence[str], task: str, tasks: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*by).agg(*(F.avg(F.when(F.col(task) == t, F.col(value))).alias(t) for t in tasks))
 
 
-def markdown(table: DataFrame, labels: Sequence[str], tasks: Sequence[str]) -> list[str]:
-    """The collated table as Markdown lines, a dash where a task is missing. One row a condition."""
+def markdown(table: DataFrame, labels: Sequence[str], tasks: Sequence[str], most: int = 10_000) -> list[str]:
+    """The collated table as Markdown lines, a dash where a task is missing. One row a condition, ``most`` of them."""
+    if table.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} conditions are no table to read")
     lines = ["| condition | " + " | ".join(tasks) + " |", "|" + "---|" * (len(tasks) + 1)]
     for r in table.orderBy(*labels).collect():
         lines.append("| " + "/".join(str(r[c]) for c in labels) + " | " + " | ".join("—" if r[t] is None else f"{r[t]:.2f}" for t in tasks) + " |")
     return lines
 
 
-def duplicate_runs(df: DataFrame, by: Sequence[str], path: str = "path") -> DataFrame:
-    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list(path)), ";").alias("paths")).where("n > 1")
-
-
 def duplicate_pairs(df: DataFrame, by: Sequence[str], path: str = "path") -> DataFrame:
     """(by, n, first, second): groups of more than one row with their two least paths. No state grows with a group."""
     least = df.select(*by, path, F.row_number().over(Window.partitionBy(*by).orderBy(path)).alias("place")).where("place <= 2")

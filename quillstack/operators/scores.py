@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstack.operators.ranking import score_rank
+from quillstack.operators.ranking import quantile_cuts, score_rank
+from quillstack.operators.stored import stored
 
 
 def unigram_nll(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -21,23 +22,26 @@ def unigram_nll(df: DataFrame, id_: str, text: str) -> DataFrame:
     return df.select(id_).join(scored, id_, "left").select(id_, (F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(1))).alias("nll"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
 
-def _ranks(df: DataFrame, id_: str, a: str, b: str) -> DataFrame:
-    keyed = df.select(id_, a, b, F.md5(F.col(id_).cast("string").cast("binary")).alias("tie"))
-    return score_rank(score_rank(keyed, a, "tie", id_, "ra"), b, "tie", id_, "rb")
+def _ranks(df: DataFrame, id_: str, a: str, b: str) -> tuple[int, DataFrame]:
+    """The number of rows, and their ranks ``ra`` and ``rb``. The scores are read once and stored."""
+    base = stored(df.select(id_, a, b, F.md5(F.col(id_).cast("string").cast("binary")).alias("tie")))
+    n, cuts = quantile_cuts(base, [a, b])
+    first = score_rank(base, a, "tie", id_, "ra", cuts[a], base)
+    return n, score_rank(first, b, "tie", id_, "rb", cuts[b], base)
 
 
 def spearman(df: DataFrame, id_: str, a: str, b: str) -> DataFrame:
     """Pearson correlation of ordinal ranks; ties by the id's hash."""
-    return _ranks(df, id_, a, b).agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
+    return _ranks(df, id_, a, b)[1].agg(F.corr("ra", "rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def quartile_overlap(df: DataFrame, id_: str, a: str, b: str) -> DataFrame:
-    n = df.count()
+    n, ranks = _ranks(df, id_, a, b)
     q = n // 4
     if not q:
         raise ValueError("fewer than four rows")
     share = lambda c: F.sum(c.cast("bigint")) / F.lit(q)
-    return _ranks(df, id_, a, b).agg(share((F.col("ra") < q) & (F.col("rb") < q)).alias("lowest"), share((F.col("ra") >= n - q) & (F.col("rb") >= n - q)).alias("highest"))
+    return ranks.agg(share((F.col("ra") < q) & (F.col("rb") < q)).alias("lowest"), share((F.col("ra") >= n - q) & (F.col("rb") >= n - q)).alias("highest"))
 
 
 def band_means(df: DataFrame, a: str, b: str) -> DataFrame:

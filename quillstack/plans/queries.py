@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstack.functions import textops as T
-from quillstack.operators import chunking, convert, curriculum, joins, labels, manifest, pages, results, scores, validate
-
+from quillstack.operators import artifacts, chunking, cleaning, convert, curriculum, joins, labels, manifest, pages, results, scores, validate
+from quillstack.operators.ranking import ordered_rank
 from quillstack.plans import tables as D
 from quillstack.schemas import BANDS, LABEL_BANDS, TASKS
 
@@ -37,11 +37,12 @@ def ocr_english_filter(spark, d):
 
 
 @query(r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '\S+') AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(0, greatest(1, CAST(ceil(len(w) / 512.0) AS BIGINT)))) AS i FROM t)
-SELECT doc_id, CAST(i AS INTEGER) AS chunk, CAST(len(w[i * 512 + 1 : i * 512 + 512]) AS BIGINT) AS n_tokens, md5(array_to_string(w[i * 512 + 1 : i * 512 + 512], ' ')) AS digest FROM c""")
+SELECT doc_id, CAST(i AS INTEGER) AS chunk, CAST(len(w[i * 512 + 1 : i * 512 + 512]) AS BIGINT) AS n_tokens,
+  md5(CASE WHEN len(w) <= 512 THEN text ELSE array_to_string(w[i * 512 + 1 : i * 512 + 512], ' ') END) AS digest FROM c JOIN documents USING (doc_id)""")
 def token_chunk(spark, d):
     words = F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0))
-    each = D.table(spark, d, "documents").select("doc_id", F.posexplode(T.chunk_tokens(words, 512)).alias("chunk", "w"))
-    return each.select("doc_id", "chunk", F.size("w").cast("bigint").alias("n_tokens"), F.md5(F.array_join("w", " ").cast("binary")).alias("digest"))
+    each = D.table(spark, d, "documents").select("doc_id", F.posexplode(T.text_chunks(F.col("text"), words, 512)).alias("chunk", "part"))
+    return each.select("doc_id", "chunk", F.col("part.n_tokens").cast("bigint").alias("n_tokens"), F.md5(F.col("part.text").cast("binary")).alias("digest"))
 
 
 PROMPT = (("user", "Clean this text.\n<prompt_template>==="), ("assistant", "Cleaned:\n"))
@@ -76,21 +77,21 @@ def ocr_extract(spark, d):
     return u.select("doc_id", F.md5(T.extract_cleaned(F.col("t")).cast("binary")).alias("digest"))
 
 
-DIRTY = "SELECT doc_id, 'Tales' AS book, CASE doc_id % 4 WHEN 0 THEN 'Tale''s: ' || text || ' 12.' WHEN 1 THEN '17. ' || text || chr(10) || '23' || chr(10) || 'end (Page Number: 7)' WHEN 2 THEN 'THE BALDWIN LIBRARY ' || text || ' (Digitized by Google)' ELSE '  ' || text || repeat(chr(10), 6) || 'x ' END AS t FROM documents"
+DIRTY = "SELECT doc_id, 'Tales' AS book, CASE doc_id % 4 WHEN 0 THEN 'Tale''s: ' || text || ' 12.' WHEN 1 THEN chr(10) || '17. ' || text || chr(10) || '23' || chr(10) || 'end (Page Number: 7)' WHEN 2 THEN 'THE BALDWIN LIBRARY ' || text || ' (Digitized by Google)' ELSE '  ' || text || repeat(chr(10), 6) || 'x ' END AS t FROM documents"
 
 
-@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, 'Digitized by Google', '', 'gi'), 'The Baldwin Library', '', 'gi'), '\n{{5,}}', '', 'g') AS t FROM ({DIRTY})),
+@query(rf"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, 'Digitized by Google', '', 'gi'), 'The Baldwin Library', '', 'gi'), '\n{{5,}}', '', 'g') AS t FROM (SELECT doc_id, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM ({DIRTY}))),
 b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\n\d+\n', chr(10), 'g'), '^Tale''?s[\n:. ]', '', 'i'), '^\d+[.: \n]', '') AS t FROM a),
 c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\d+\.?\n?$', ''), '\(?Page Number: \d+\)?$', '', 'i') AS t FROM b)
 SELECT doc_id, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS digest FROM c""")
 def ocr_clean_rules(spark, d):
     k, t = F.pmod(F.col("doc_id"), F.lit(4)), F.col("text")
-    dirty = F.when(k == 0, F.concat(F.lit("Tale's: "), t, F.lit(" 12."))).when(k == 1, F.concat(F.lit("17. "), t, F.lit("\n23\nend (Page Number: 7)"))).when(k == 2, F.concat(F.lit("THE BALDWIN LIBRARY "), t, F.lit(" (Digitized by Google)"))).otherwise(F.concat(F.lit("  "), t, F.lit("\n" * 6 + "x ")))
+    dirty = F.when(k == 0, F.concat(F.lit("Tale's: "), t, F.lit(" 12."))).when(k == 1, F.concat(F.lit("\n17. "), t, F.lit("\n23\nend (Page Number: 7)"))).when(k == 2, F.concat(F.lit("THE BALDWIN LIBRARY "), t, F.lit(" (Digitized by Google)"))).otherwise(F.concat(F.lit("  "), t, F.lit("\n" * 6 + "x ")))
     return D.table(spark, d, "documents").select("doc_id", F.md5(T.clean_page(dirty, F.lit("Tales")).cast("binary")).alias("digest"))
 
 
 @query("""WITH c AS (SELECT source AS book, doc_id // 3 AS page, doc_id % 3 AS i, CASE WHEN doc_id % 7 = 0 THEN 'This text does not contain any OCR errors that require cleaning.' ELSE text END AS t, doc_id FROM documents),
-j AS (SELECT c.*, t = 'This text does not contain any OCR errors that require cleaning.' AS wants, o.text AS original FROM c LEFT JOIN (SELECT source AS book, doc_id // 3 AS page, text FROM documents WHERE doc_id % 3 = 1) o USING (book, page)),
+j AS (SELECT c.*, t = 'This text does not contain any OCR errors that require cleaning.' AS wants, o.text AS original FROM c LEFT JOIN (SELECT source AS book, doc_id // 3 AS page, arg_max(text, doc_id) AS text FROM documents WHERE doc_id % 3 <> 2 GROUP BY ALL) o USING (book, page)),
 l AS (SELECT *, min(i) FILTER (WHERE NOT (wants AND original IS NULL)) OVER (PARTITION BY book, page) AS lead FROM j),
 k AS (SELECT * FROM l WHERE NOT (wants AND original IS NULL AND (lead IS NULL OR i < lead))),
 f AS (SELECT book, page, i, CASE WHEN wants AND i = lead THEN original ELSE t END AS t FROM k)
@@ -99,11 +100,43 @@ def chunk_reassemble(spark, d):
     docs = D.table(spark, d, "documents")
     page, i = F.floor(F.col("doc_id") / 3).cast("bigint"), F.pmod(F.col("doc_id"), F.lit(3))
     chunks = docs.select(F.col("source").alias("book_name"), page.alias("page_number"), i.alias("chunk_idx"), F.when(F.pmod(F.col("doc_id"), F.lit(7)) == 0, T.NO_ERRORS).otherwise(F.col("text")).alias("text"))
-    originals = docs.where(i == 1).select(F.col("source").alias("book_name"), page.alias("page_number"), "text")
+    originals = docs.where(i != 2).select(F.col("source").alias("book_name"), page.alias("page_number"), "text", F.col("doc_id").alias("ordinal"))
     out = chunking.reassemble(joins.with_original(chunks, originals, T.NO_ERRORS), ["book_name", "page_number"], "chunk_idx", "text")
     return out.select(F.col("book_name").alias("book"), F.col("page_number").alias("page"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+JOB = """SELECT source AS book, doc_id // 3 AS page, doc_id AS i, CASE doc_id % 7 WHEN 0 THEN 'Cleaned:' || chr(10) || 'This text does not contain any OCR errors that require cleaning.===' WHEN 1 THEN 'The provided OCR text is empty.' || text
+  WHEN 2 THEN 'Cleaned:' || chr(10) || '     ' || source || ': ' || text || '===' || text WHEN 3 THEN chr(10) || '12. ' || text || ' (Page Number: 7)===' WHEN 4 THEN text ELSE 'Cleaned:' || chr(10) || text || chr(10) || '23' || chr(10) || 'end 7.===' END AS g FROM documents"""
+
+
+@query(rf"""WITH u AS (SELECT * FROM ({JOB}) WHERE NOT contains(g, 'The provided OCR text is empty.')),
+s AS (SELECT *, CASE WHEN starts_with(g, 'Cleaned:' || chr(10) || '     ') THEN 14 WHEN starts_with(g, 'Cleaned:' || chr(10)) THEN 9 ELSE 0 END AS skip, instr(g, '===') AS spot FROM u),
+e AS (SELECT book, page, i, substr(g, skip + 1, greatest(0, CASE WHEN spot > 0 THEN spot - 1 ELSE length(g) - 1 END - skip)) AS t FROM s),
+o AS (SELECT source AS book, doc_id // 3 AS page, arg_max(text, doc_id) AS original FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL),
+j AS (SELECT e.*, contains(t, 'This text does not contain any OCR errors that require cleaning.') AS wants, original FROM e LEFT JOIN o USING (book, page)),
+l AS (SELECT *, min(i) FILTER (WHERE NOT (wants AND original IS NULL)) OVER (PARTITION BY book, page) AS lead FROM j),
+k AS (SELECT book, page, i, CASE WHEN wants AND i = lead THEN original ELSE t END AS t FROM l WHERE NOT (wants AND original IS NULL AND (lead IS NULL OR i < lead))),
+a AS (SELECT book, page, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '^\s+|\s+$', '', 'g'), 'Digitized by Google', '', 'gi'), 'The Baldwin Library', '', 'gi'), 'Printed on title', '', 'gi'), '\n{{5,}}', '', 'g') AS t FROM k),
+b AS (SELECT book, page, i, regexp_replace(regexp_replace(regexp_replace(t, '\n\d+\n', chr(10), 'g'), '^' || book || '[\n:. ]', '', 'i'), '^\d+[.: \n]', '') AS t FROM a),
+c AS (SELECT book, page, i, regexp_replace(regexp_replace(t, '\d+\.?\n?$', ''), '\(?Page Number: \d+\)?$', '', 'i') AS t FROM b)
+SELECT book, page, md5(string_agg(regexp_replace(t, '^\s+|\s+$', '', 'g'), ' ' ORDER BY i)) AS digest FROM c GROUP BY book, page""")
+def clean_library(spark, d):
+    docs, text, k = D.table(spark, d, "documents"), F.col("text"), F.pmod(F.col("doc_id"), F.lit(7))
+    page = F.floor(F.col("doc_id") / 3).cast("bigint")
+    g = (
+        F.when(k == 0, F.lit("Cleaned:\n" + T.NO_ERRORS + "==="))
+        .when(k == 1, F.concat(F.lit("The provided OCR text is empty."), text))
+        .when(k == 2, F.concat(F.lit("Cleaned:\n     "), "source", F.lit(": "), text, F.lit("==="), text))
+        .when(k == 3, F.concat(F.lit("\n12. "), text, F.lit(" (Page Number: 7)===")))
+        .when(k == 4, text)
+        .otherwise(F.concat(F.lit("Cleaned:\n"), text, F.lit("\n23\nend 7.===")))
+    )
+    rows = docs.select(F.col("source").alias("book_name"), page.alias("page_number"), F.col("doc_id").alias("chunk_idx"), g.alias("generated_text"), F.lit("stop").alias("finish_reason"))
+    originals = docs.where("doc_id % 2 = 0").select(F.col("source").alias("book_name"), page.alias("page_number"), "text", F.col("doc_id").alias("ordinal"))
+    out = cleaning.clean_library(rows, originals)
+    return out.select(F.col("book_name").alias("book"), F.col("page_number").alias("page"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 @query(rf"""WITH RECURSIVE p AS (SELECT book, page_number, text, CAST(len(regexp_extract_all(text, '\S+')) AS BIGINT) AS n, row_number() OVER (PARTITION BY book ORDER BY page) AS r FROM ({D.PAGES})),
 f AS (SELECT book, r, page_number, text, n AS s, 0 AS chunk FROM p WHERE r = 1 UNION ALL
   SELECT p.book, p.r, p.page_number, p.text, CASE WHEN f.s > 5000 THEN 0 ELSE f.s END + p.n, f.chunk + CASE WHEN f.s > 5000 THEN 1 ELSE 0 END FROM f JOIN p ON p.book = f.book AND p.r = f.r + 1),
@@ -224,6 +257,12 @@ def order_grid(spark, d):
     return curriculum.order_specs(spark).select("order", "schedule", "epochs", "seed")
 
 
+@query(f"""SELECT "order", schedule, epochs, count(*) AS n_sequences, CAST(sum(CASE WHEN epochs = 10 AND schedule = 'staged' AND "order" IN ('random', 'developmental', 'perplexity') THEN 2 ELSE 1 END) AS BIGINT) AS n_configurations FROM ({GRID}) GROUP BY ALL""")
+def order_coverage(spark, d):
+    """How many training configurations the sequences serve: 72 over all rows."""
+    return curriculum.order_specs(spark).groupBy("order", "schedule", "epochs").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum(F.size("modalities")).alias("n_configurations"))
+
+
 @query(f"""SELECT coalesce(a."order", b."order") AS "order", CASE WHEN b."order" IS NULL THEN 'missing' ELSE 'unexpected' END AS side FROM (SELECT DISTINCT "order" FROM ({GRID})) a FULL JOIN (SELECT unnest(['developmental', 'random', 'other']) AS "order") b ON a."order" = b."order" WHERE a."order" IS NULL OR b."order" IS NULL""")
 def grid_reconcile(spark, d):
     return joins.reconcile(curriculum.order_specs(spark), spark.createDataFrame([("developmental",), ("random",), ("other",)], "order string"), ["order"])
@@ -249,36 +288,48 @@ INSTRUCTIONS = ("Describe the image.\n<image>", "<image>\nTell what you see.", "
 UNIT = "CAST(('0x' || substr(md5({0}), 1, 8)) AS BIGINT)"
 
 
-@query(rf"""WITH g AS (SELECT source || '_' || CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 4 WHEN 0 THEN text || chr(10) || '===' || chr(10) || 'more' WHEN 1 THEN text || chr(10) || 'orange ' || text WHEN 2 THEN text || '======---' ELSE ' ===' || text END AS t FROM documents WHERE NOT contains(text, 'xyz')),
-a AS (SELECT id, regexp_replace(replace(t, chr(10) || '===', ''), '^\s+|\s+$', '', 'g') AS t FROM g), b AS (SELECT id, regexp_replace(split_part(t, '===', 1), '^\s+|\s+$', '', 'g') AS t FROM a),
+@query(rf"""WITH g AS (SELECT source || '_' || CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 4 WHEN 0 THEN text || chr(10) || '===' || chr(10) || 'more' WHEN 1 THEN text || chr(10) || 'orange ' || text WHEN 2 THEN text || '======---' ELSE ' ===' || text END || CASE WHEN doc_id % 6 = 1 THEN ' I HOPE THIS helps. ' || text ELSE '' END || CASE WHEN doc_id % 9 = 0 THEN ' ERROR: no image' ELSE '' END AS t FROM documents),
+h AS (SELECT id, regexp_split_to_array(regexp_split_to_array(t, '(?i)I hope this')[1], '(?i)is the')[1] AS t FROM g WHERE NOT contains(t, 'ERROR: no image')),
+a AS (SELECT id, regexp_replace(replace(t, chr(10) || '===', ''), '^\s+|\s+$', '', 'g') AS t FROM h), b AS (SELECT id, regexp_replace(split_part(t, '===', 1), '^\s+|\s+$', '', 'g') AS t FROM a),
 c AS (SELECT id, regexp_replace(regexp_split_to_array(t, '(?i)\n+Or')[1], '^\s+|\s+$', '', 'g') AS t FROM b), e AS (SELECT id, regexp_replace(regexp_replace(regexp_replace(t, '=+$', ''), '-+$', ''), '\n+$', '') AS t FROM c)
 SELECT id, id || '.jpg' AS image, ['Describe the image.' || chr(10) || '<image>', '<image>' || chr(10) || 'Tell what you see.', 'Summarize.' || chr(10) || '<image>'][{UNIT.format("'42:instruct:' || id")} % 3 + 1] AS instruction, md5(t) AS digest FROM e WHERE t <> ''""")
 def caption_convert(spark, d):
-    k, t = F.pmod(F.col("doc_id"), F.lit(4)), F.col("text")
+    k, t, m = F.pmod(F.col("doc_id"), F.lit(4)), F.col("text"), lambda n: F.pmod(F.col("doc_id"), F.lit(n))
     g = F.when(k == 0, F.concat(t, F.lit("\n===\nmore"))).when(k == 1, F.concat(t, F.lit("\norange "), t)).when(k == 2, F.concat(t, F.lit("======---"))).otherwise(F.concat(F.lit(" ==="), t))
-    rows = D.table(spark, d, "documents").select(F.col("source").alias("book_name"), F.col("doc_id").cast("string").alias("page_number"), g.alias("generated_text"), "text").where(~F.col("text").contains("xyz"))
-    return convert.caption_records(rows, (), (), INSTRUCTIONS).select("id", "image", "instruction", F.md5(F.col("caption").cast("binary")).alias("digest"))
+    tail = F.when(m(6) == 1, F.concat(F.lit(" I HOPE THIS helps. "), t)).otherwise("")
+    error = F.when(m(9) == 0, " ERROR: no image").otherwise("")
+    rows = D.table(spark, d, "documents").select(F.col("source").alias("book_name"), F.col("doc_id").cast("string").alias("page_number"), F.concat(g, tail, error).alias("generated_text"))
+    out = convert.caption_records(rows, ("I hope this", "is the"), ("ERROR: no image",), INSTRUCTIONS)
+    return out.select("id", "image", "instruction", F.md5(F.col("caption").cast("binary")).alias("digest"))
 
 
-DIALOGUE = """SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Child: ' WHEN 'assistant' THEN 'AI: ' ELSE 'Note ' END || text || chr(10), '' ORDER BY turn, role, text) AS t FROM conversations GROUP BY conv_id"""
+DIALOGUE = """SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'Child: ' WHEN 'assistant' THEN 'AI: ' ELSE 'Note ' END || text || CASE WHEN turn % 7 = 2 THEN ' of The Description' ELSE '' END
+  || CASE WHEN turn % 3 = 1 THEN chr(10) || '===' || chr(10) || chr(10) WHEN turn % 3 = 2 THEN chr(10) || '===' || chr(10) ELSE chr(10) END, '' ORDER BY turn, role, text)
+  || CASE WHEN conv_id % 6 = 1 THEN 'STOP HERE Child: x AI: y' ELSE '' END || CASE WHEN conv_id % 11 = 0 THEN 'ERR!' ELSE '' END AS t FROM conversations GROUP BY conv_id"""
 
 
 def dialogue_texts(spark, d):
     mark = F.when(F.col("role") == "user", "Child: ").when(F.col("role") == "assistant", "AI: ").otherwise("Note ")
-    turns = D.table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.concat(mark, "text", F.lit("\n")).alias("said"))
+    m = lambda c, n: F.pmod(F.col(c), F.lit(n))
+    end = F.when(m("turn", 3) == 1, "\n===\n\n").when(m("turn", 3) == 2, "\n===\n").otherwise("\n")
+    said = F.concat(mark, "text", F.when(m("turn", 7) == 2, " of The Description").otherwise(""), end)
+    turns = D.table(spark, d, "conversations").select("conv_id", "turn", "role", "text", said.alias("said"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text", "said"))), lambda x: x["said"])
-    return turns.groupBy("conv_id").agg(F.array_join(ordered, "").alias("t"))
+    whole = F.concat("t", F.when(m("conv_id", 6) == 1, "STOP HERE Child: x AI: y").otherwise(""), F.when(m("conv_id", 11) == 0, "ERR!").otherwise(""))
+    return turns.groupBy("conv_id").agg(F.array_join(ordered, "").alias("t")).withColumn("t", whole)
 
 
-@query(rf"""WITH s AS (SELECT conv_id, regexp_split_to_array(t, '(?i)Individual: |Assistant: |Child: |AI: ') AS a FROM ({DIALOGUE})),
+@query(rf"""WITH h AS (SELECT conv_id, replace(replace(regexp_split_to_array(t, '(?i)stop here')[1], chr(10) || '===' || chr(10) || chr(10), ' '), chr(10) || '===' || chr(10), chr(10)) AS t FROM ({DIALOGUE}) WHERE NOT contains(t, 'ERR!')),
+s AS (SELECT conv_id, regexp_split_to_array(t, '(?i)Individual: |Assistant: |Child: |AI: ') AS a FROM h),
 n AS (SELECT conv_id, a, (len(a) - 1) // 2 AS k FROM s), p AS (SELECT conv_id, unnest(range(0, k)) AS i, a FROM n),
-q AS (SELECT conv_id, i, regexp_replace(a[2 * i + 2], '^\s+|\s+$', '', 'g') AS u0, regexp_replace(regexp_replace(regexp_replace(regexp_replace(a[2 * i + 3], '^\s+|\s+$', '', 'g'), '=+$', ''), '-+$', ''), '\n+$', '') AS v FROM p),
+q AS (SELECT conv_id, i, replace(regexp_replace(a[2 * i + 2], '^\s+|\s+$', '', 'g'), chr(10) || '===', '') AS u0,
+  regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(a[2 * i + 3], '^\s+|\s+$', '', 'g'), chr(10) || '===', ''), '=+$', ''), '-+$', ''), '\n+$', '') AS v FROM p),
 r AS (SELECT conv_id, i, CASE WHEN i = 0 AND NOT contains(u0, '<image>') THEN CASE WHEN {UNIT.format("'42:image:b_' || CAST(conv_id AS VARCHAR)")} % 2 = 0 THEN '<image>' || chr(10) || u0 ELSE u0 || chr(10) || '<image>' END ELSE u0 END AS u, v FROM q),
 w AS (SELECT conv_id, i, u, v, sum(len(regexp_extract_all(u, '\S+')) + len(regexp_extract_all(v, '\S+'))) OVER (PARTITION BY conv_id ORDER BY i) AS c FROM r WHERE NOT contains(lower(u), 'the description') AND NOT contains(lower(v), 'the description'))
 SELECT 'b_' || CAST(conv_id AS VARCHAR) AS id, count(*) FILTER (WHERE c <= 60) AS n_pairs, md5(coalesce(string_agg(u || '|' || v, '#' ORDER BY i) FILTER (WHERE c <= 60), '')) AS digest FROM w GROUP BY conv_id""")
 def dialogue_convert(spark, d):
     rows = dialogue_texts(spark, d).select(F.lit("b").alias("book_name"), F.col("conv_id").cast("string").alias("page_number"), F.col("t").alias("generated_text"))
-    out = convert.dialogue_records(rows, (), (), budget=60)
+    out = convert.dialogue_records(rows, ("Stop here",), ("ERR!",), budget=60)
     return out.select("id", F.size("turns").cast("bigint").alias("n_pairs"), F.md5(F.array_join(F.transform("turns", lambda p: F.concat_ws("|", p["user"], p["assistant"])), "#").cast("binary")).alias("digest"))
 
 
@@ -370,7 +421,7 @@ def sample_mapping(spark, d):
 
 
 def stage_sql(score: str) -> str:
-    return f"SELECT *, CAST(ntile(4) OVER (ORDER BY {score}, {KEY.format(0, -1)}, id) AS INTEGER) AS stage FROM ({D.RECORDS})"
+    return f"""SELECT *, CAST(ntile(4) OVER (ORDER BY {score}, {KEY.format(0, "'tie0'")}, id) AS INTEGER) AS stage FROM ({D.RECORDS})"""
 
 
 BAND_STAGE = f"SELECT *, CAST(list_position(['3_5', '6_8', '9_12', '12'], age_band) AS INTEGER) AS stage FROM ({D.RECORDS})"
@@ -386,66 +437,84 @@ def stage_assign_bands(spark, d):
     return curriculum.stages(D.records(spark, d), "developmental", 0).select("id", "stage")
 
 
-def order_sql(staged: str, epochs: int = 2, seed: int = 0) -> str:
+EPOCHS = 5
+
+
+def order_sql(staged: str, epochs: int = EPOCHS, seed: int = 0) -> str:
     return f"""SELECT CAST(e * count(*) OVER (PARTITION BY e) + row_number() OVER (PARTITION BY e ORDER BY stage, {KEY.format(seed, 'e')}, id) - 1 AS BIGINT) AS position, idx AS sample_index FROM ({staged}), (SELECT unnest(range(0, {epochs})) AS e)"""
 
 
 RANDOM = order_sql(f"SELECT *, 1 AS stage FROM ({D.RECORDS})")
-STAGED = order_sql(stage_sql("nll"))
+#: Rows tied at a stage's edge fall anew in every epoch.
+STAGED = f"""SELECT CAST(e * count(*) OVER (PARTITION BY e) + row_number() OVER (PARTITION BY e ORDER BY stage, {KEY.format(0, "e")}, id) - 1 AS BIGINT) AS position, idx AS sample_index FROM (
+  SELECT *, ntile(4) OVER (PARTITION BY e ORDER BY nll, {KEY.format(0, "'tie' || e")}, id) AS stage FROM ({D.RECORDS}), (SELECT unnest(range(0, {EPOCHS})) AS e))"""
 
 
 @query(RANDOM)
 def order_random(spark, d):
-    return curriculum.build_order(D.records(spark, d), "random", None, 2, 0)
+    return curriculum.build_order(D.records(spark, d), "random", None, EPOCHS, 0)
 
 
 @query(STAGED)
 def order_staged(spark, d):
-    return curriculum.build_order(D.records(spark, d), "perplexity", "staged", 2, 0)
+    return curriculum.build_order(D.records(spark, d), "perplexity", "staged", EPOCHS, 0)
 
 
 @query(order_sql(f"SELECT *, 5 - stage AS stage2 FROM ({BAND_STAGE})").replace("ORDER BY stage,", "ORDER BY stage2,"))
 def order_antidevelopmental(spark, d):
-    return curriculum.build_order(D.records(spark, d), "antidevelopmental", "staged", 2, 0)
+    return curriculum.build_order(D.records(spark, d), "antidevelopmental", "staged", EPOCHS, 0)
 
 
 @query(order_sql(f"""SELECT * EXCLUDE (cum), 1 + (m1 <= cum)::INT + (m1 + m2 <= cum)::INT + (m1 + m2 + m3 <= cum)::INT AS stage FROM (
   SELECT *, sum(t) OVER (ORDER BY {KEY.format(0, -1)}, id) AS cum, coalesce(sum(t) FILTER (WHERE age_band = '3_5') OVER (), 0) AS m1, coalesce(sum(t) FILTER (WHERE age_band = '6_8') OVER (), 0) AS m2, coalesce(sum(t) FILTER (WHERE age_band = '9_12') OVER (), 0) AS m3
   FROM (SELECT *, CASE WHEN n_tokens = 0 THEN CAST(floor(n_words * 1.35) AS BIGINT) ELSE n_tokens END AS t FROM ({D.RECORDS})))"""))
 def order_randomblock(spark, d):
-    return curriculum.build_order(D.records(spark, d), "randomblock", "staged", 2, 0)
+    return curriculum.build_order(D.records(spark, d), "randomblock", "staged", EPOCHS, 0)
+
 
+COMPETENCE = f"""WITH n AS (SELECT count(*) AS n FROM documents), r AS (SELECT idx, row_number() OVER (ORDER BY nll, {KEY.format(0, -1)}, id) - 1 AS rank FROM ({D.RECORDS})),
+t AS (SELECT unnest(range(0, n * {EPOCHS})) AS t, n FROM n), dr AS (SELECT t, CAST(floor({UNIT.format("'0:draw:' || CAST(t AS VARCHAR)")} / 4294967296.0::DOUBLE * greatest(floor(n * sqrt(t::DOUBLE / (n * {EPOCHS}) * (1 - 0.1::DOUBLE * 0.1::DOUBLE) + 0.1::DOUBLE * 0.1::DOUBLE)), 1)) AS BIGINT) AS rank FROM t)
+SELECT t AS position, idx AS sample_index FROM dr JOIN r USING (rank)"""
 
-@query(f"""WITH n AS (SELECT count(*) AS n FROM documents), r AS (SELECT idx, row_number() OVER (ORDER BY nll, {KEY.format(0, -1)}, id) - 1 AS rank FROM ({D.RECORDS})),
-t AS (SELECT unnest(range(0, n * 2)) AS t, n FROM n), dr AS (SELECT t, CAST(floor({UNIT.format("'0:draw:' || CAST(t AS VARCHAR)")} / 4294967296.0::DOUBLE * greatest(floor(n * sqrt(t::DOUBLE / (n * 2) * (1 - 0.1::DOUBLE * 0.1::DOUBLE) + 0.1::DOUBLE * 0.1::DOUBLE)), 1)) AS BIGINT) AS rank FROM t)
-SELECT t AS position, idx AS sample_index FROM dr JOIN r USING (rank)""")
+
+@query(COMPETENCE)
 def order_competence(spark, d):
-    return curriculum.build_order(D.records(spark, d), "perplexity", "competence", 2, 0)
+    return curriculum.build_order(D.records(spark, d), "perplexity", "competence", EPOCHS, 0)
 
 
 def staged(spark, d):
     r = D.records(spark, d)
-    return r, curriculum.build_order(r, "perplexity", "staged", 2, 0)
+    return r, curriculum.build_order(r, "perplexity", "staged", EPOCHS, 0)
 
 
 @query(f"""SELECT part, round(avg(list_position(['3_5', '6_8', '9_12', '12'], age_band) - 1), 3) AS mean_band FROM (SELECT CAST(ntile(10) OVER (ORDER BY position) AS INTEGER) AS part, age_band FROM ({STAGED}) o JOIN ({D.RECORDS}) r ON r.idx = o.sample_index) GROUP BY part""")
 def order_summary(spark, d):
     r, o = staged(spark, d)
-    return curriculum.summarize(o, r, r.count() * 2)
+    return curriculum.summarize(o, r, r.count() * EPOCHS)
 
 
-@query(f"""WITH o AS ({RANDOM}), k AS (SELECT idx, count(o.position) AS k FROM (SELECT doc_id AS idx FROM documents) r LEFT JOIN (SELECT * FROM o WHERE position % 3 = 0) o ON o.sample_index = r.idx GROUP BY idx)
+@query(f"""WITH o AS ({COMPETENCE}), k AS (SELECT idx, count(o.position) AS k FROM (SELECT doc_id AS idx FROM documents) r LEFT JOIN o ON o.sample_index = r.idx GROUP BY idx)
 SELECT CAST(sum(k) AS BIGINT) AS draws, count(*) FILTER (WHERE k > 0) AS unique_samples, count(*) FILTER (WHERE k = 0) AS omitted, count(*) FILTER (WHERE k > 1) AS repeated, min(k) AS min_exposure, max(k) AS max_exposure FROM k""")
 def exposure(spark, d):
     r = D.records(spark, d)
-    o = curriculum.build_order(r, "random", None, 2, 0)
-    return curriculum.exposure(o.where("position % 3 = 0"), r.count())
+    return curriculum.exposure(curriculum.build_order(r, "perplexity", "competence", EPOCHS, 0), r.count())
+
 
+#: A sequence with numbers out of range, samples twice in an epoch and draws beyond its length.
+UNSOUND = f"""SELECT position, CASE WHEN position % 97 = 5 THEN sample_index + 1 WHEN position % 101 = 7 THEN -1 ELSE sample_index END AS sample_index FROM ({RANDOM})
+UNION ALL SELECT position + {EPOCHS} * (SELECT count(*) FROM documents), sample_index FROM ({RANDOM}) WHERE sample_index < 3"""
 
-@query("SELECT 'permutation' AS rule, CAST(1 AS BIGINT) AS n WHERE false")
+
+@query(f"""WITH o AS ({UNSOUND}), n AS (SELECT count(*) AS n FROM documents)
+SELECT * FROM (SELECT 'range' AS rule, count(*) FILTER (WHERE sample_index < 0 OR sample_index >= n) AS n FROM o, n
+UNION ALL SELECT 'length', abs(count(*) - max(n) * {EPOCHS}) FROM o, n
+UNION ALL SELECT 'permutation', count(*) FROM (SELECT position // n AS e, sample_index FROM o, n GROUP BY ALL HAVING count(*) > 1)) WHERE n > 0""")
 def validate_sequence(spark, d):
-    r, o = staged(spark, d)
-    return curriculum.sequence_violations(o, r.count(), 2, True)
+    r = D.records(spark, d)
+    n, o, at = r.count(), curriculum.build_order(r, "random", None, EPOCHS, 0), F.col("position")
+    drawn = F.when(F.pmod(at, F.lit(97)) == 5, F.col("sample_index") + 1).when(F.pmod(at, F.lit(101)) == 7, -1).otherwise(F.col("sample_index"))
+    broken = o.select("position", drawn.alias("sample_index")).unionByName(o.where("sample_index < 3").select((at + n * EPOCHS).alias("position"), "sample_index"))
+    return curriculum.sequence_violations(broken, n, EPOCHS, True)
 
 
 @query(f"SELECT position, sample_index FROM ({STAGED}) WHERE position % 4 = 1")
@@ -453,7 +522,7 @@ def rank_shard(spark, d):
     return curriculum.shard(staged(spark, d)[1], 1, 4)
 
 
-@query(f"""SELECT s AS total_tokens, CAST(greatest(floor(0.97::DOUBLE * s / 4096), 1) AS BIGINT) AS steps FROM (SELECT CAST(sum(2 * (CASE WHEN n_tokens = 0 THEN CAST(floor(n_words * 1.35) AS BIGINT) ELSE n_tokens END + 210 + 20)) AS BIGINT) AS s FROM ({D.RECORDS}))""")
+@query(f"""SELECT s AS total_tokens, CAST(greatest(floor(0.97::DOUBLE * s / 4096), 1) AS BIGINT) AS steps FROM (SELECT CAST(sum({EPOCHS} * (CASE WHEN n_tokens = 0 THEN CAST(floor(n_words * 1.35) AS BIGINT) ELSE n_tokens END + 210 + 20)) AS BIGINT) AS s FROM ({D.RECORDS}))""")
 def step_budget(spark, d):
     r, o = staged(spark, d)
     return curriculum.step_budget(o, r, 210, 4096)
@@ -476,12 +545,39 @@ def validate_records(spark, d):
     return validate.record_violations(r, ("fk_grade", "nll"))
 
 
-@query(f"""WITH a AS (SELECT id, CASE WHEN idx % 7 = 0 THEN n_words + 1 ELSE n_words END AS n_words, image FROM ({D.RECORDS}) WHERE idx % 5 <> 0), m AS (SELECT id, n_words, image FROM ({D.RECORDS}) WHERE idx % 3 <> 0)
-SELECT coalesce(a.id, m.id) AS id, CASE WHEN m.id IS NULL THEN 'unexpected' WHEN a.id IS NULL THEN 'missing' ELSE 'n_words mismatch' END AS reason FROM a FULL JOIN m ON a.id = m.id WHERE a.id IS NULL OR m.id IS NULL OR a.n_words <> m.n_words""")
+@query(f"""WITH a AS (SELECT CASE WHEN idx % 5 = 0 THEN 'other_' || id ELSE id END AS id, CASE WHEN idx % 7 = 0 THEN n_words + 1 ELSE n_words END AS n_words, image, CASE WHEN idx % 11 = 0 THEN 'vqa' ELSE task END AS task FROM ({D.RECORDS})), m AS (SELECT id, n_words, image, task FROM ({D.RECORDS}))
+SELECT coalesce(a.id, m.id) AS id, CASE WHEN m.id IS NULL THEN 'unexpected' WHEN a.id IS NULL THEN 'missing' WHEN a.task <> m.task THEN 'task mismatch' ELSE 'n_words mismatch' END AS reason FROM a FULL JOIN m ON a.id = m.id WHERE a.id IS NULL OR m.id IS NULL OR a.n_words <> m.n_words OR a.task <> m.task""")
 def annotation_diff(spark, d):
     r, m = D.records(spark, d), lambda k: F.pmod(F.col("idx"), F.lit(k)) == 0
-    a = r.where(~m(5)).withColumn("n_words", F.col("n_words") + m(7).cast("bigint"))
-    return validate.annotation_diff(a, r.where(~m(3)), ["image", "n_words"])
+    other = F.when(m(5), F.concat(F.lit("other_"), "id")).otherwise(F.col("id"))
+    a = r.withColumns({"n_words": F.col("n_words") + m(7).cast("bigint"), "task": F.when(m(11), "vqa").otherwise(F.col("task")), "id": other})
+    return validate.annotation_diff(a, r, ["image", "task", "n_words"])
+
+
+@query(f"""SELECT id, position, manifest_index FROM (SELECT id, CASE WHEN idx % 20 = 3 THEN idx + 1 WHEN idx % 20 = 4 THEN idx - 1 ELSE idx END AS position, idx AS manifest_index FROM ({D.RECORDS})) WHERE position <> manifest_index""")
+def annotation_order(spark, d):
+    """Neighbours that have changed places."""
+    r, m = D.records(spark, d), F.pmod(F.col("idx"), F.lit(20))
+    a = r.select("id", (F.col("idx") + F.when(m == 3, 1).when(m == 4, -1).otherwise(0)).alias("position"))
+    return artifacts.order_violations(a, r.select("id", F.col("idx").alias("manifest_index")))
+
+
+@query(f"""WITH s AS ({SPLIT}), p AS (SELECT id FROM s WHERE split = 'train' AND idx % 50 <> 0 UNION ALL SELECT id FROM s WHERE split = 'validation' OR idx % 30 = 7 UNION ALL SELECT 'other_' || id FROM s WHERE idx < 3)
+SELECT coalesce(r.id, p.id) AS id, CASE WHEN r.id IS NULL THEN -count(p.id) ELSE count(p.id) END AS n FROM ({D.RECORDS}) r FULL JOIN p ON r.id = p.id GROUP BY r.id, p.id HAVING r.id IS NULL OR count(p.id) <> 1""")
+def split_check(spark, d):
+    """Records that a broken split leaves out or has twice, and ids that are no records."""
+    parts = curriculum.split_records(D.records(spark, d))
+    m = lambda k: F.pmod(F.col("idx"), F.lit(k))
+    train = parts.where((F.col("split") == "train") & (m(50) != 0))
+    validation = parts.where((F.col("split") == "validation") | (m(30) == 7)).select("id").unionByName(parts.where("idx < 3").select(F.concat(F.lit("other_"), "id").alias("id")))
+    return artifacts.split_violations(D.records(spark, d), {"train": train, "validation": validation})
+
+
+@query(f"""SELECT split, count(*) AS actual, CAST(CASE split WHEN 'train' THEN 126247 ELSE 2576 END AS BIGINT) AS expected FROM ({SPLIT}) GROUP BY split""")
+def split_counts(spark, d):
+    """The released sizes against those of these tables."""
+    expected = spark.createDataFrame([("train", 126247), ("validation", 2576)], "split string, n bigint")
+    return artifacts.count_violations(curriculum.split_records(D.records(spark, d)).groupBy("split").agg(F.count(F.lit(1)).alias("n")), expected, "split")
 
 
 @query(f"""SELECT DISTINCT run, "order", schedule, epochs, lm_init, modality, seed, run_id FROM ({D.RUN_SQL})""")
@@ -508,14 +604,49 @@ def collect_pivot(spark, d):
     return results.pivot_means(r, ["order", "schedule"], "task", tasks, "score").select("order", "schedule", *(F.round(t, 6).alias(t) for t in tasks))
 
 
-@query(f"""SELECT run, task, count(*) AS n, string_agg(path, ';' ORDER BY path) AS paths FROM ({D.RUNS}) WHERE event_id % 10 = 0 GROUP BY ALL HAVING count(*) > 1""")
+@query(f"""SELECT run, task, count(*) AS n, min(path) AS first, (array_agg(path ORDER BY path))[2] AS second FROM ({D.RUNS}) GROUP BY ALL HAVING count(*) > 1""")
 def duplicate_runs(spark, d):
-    return results.duplicate_runs(D.runs(spark, d).where(F.pmod(F.col("event_id"), F.lit(10)) == 0), ["run", "task"])
+    return results.duplicate_pairs(D.runs(spark, d), ["run", "task"])
 
 
-@query(f"""SELECT run, task, count(*) AS n, min(path) AS first, (array_agg(path ORDER BY path))[2] AS second FROM ({D.RUNS}) GROUP BY ALL HAVING count(*) > 1""")
-def duplicate_runs_all(spark, d):
-    return results.duplicate_pairs(D.runs(spark, d), ["run", "task"])
+@query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY run, task ORDER BY event_id) AS p FROM ({D.RUNS}))
+SELECT a.run, a.task, a.n, 'f:' || a.first AS first, 'f:' || b.event_id AS again FROM (SELECT run, task, count(*) AS n, min(event_id) AS first FROM r GROUP BY ALL HAVING count(*) > 1) a JOIN r b ON a.run = b.run AND a.task = b.task AND b.p = 2""")
+def repeated_keys(spark, d):
+    lines = D.runs(spark, d).select("run", "task", F.lit("f").alias("file"), F.col("event_id").alias("line"))
+    return artifacts.repeated_keys(lines, ["run", "task"])
+
+
+FULL_TASKS = f"SELECT *, ['blimp/blimp_filtered', 'blimp/supplement_filtered', 'ewok/ewok_filtered', 'entity_tracking/entity_tracking', 'comps/comps', 'other/other'][event_id % 6 + 1] AS full_task FROM ({D.RUN_SQL})"
+
+
+def full_tasks(spark, d):
+    tasks = T.lit_array((*results.REPORTED, "other/other"))
+    return results.parse_runs(D.runs(spark, d)).withColumn("full_task", F.element_at(tasks, (F.pmod(F.col("event_id"), F.lit(6)) + 1).cast("int")))
+
+
+@query(f"""SELECT CASE WHEN full_task = 'blimp/supplement_filtered' THEN 'supplement' ELSE split_part(full_task, '/', 1) END AS label, CAST(min(event_id % 6) + 1 AS INTEGER) AS task_order, round(avg(score), 6) AS mean, count(*) AS n FROM ({FULL_TASKS}) WHERE full_task <> 'other/other' GROUP BY ALL""")
+def task_report(spark, d):
+    """Reported tasks alone, under their short labels, in the report's order."""
+    shown = results.text_tasks(full_tasks(spark, d), "full_task")
+    return shown.groupBy("label", "task_order").agg(F.round(F.avg("score"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+PANEL_ORDERS = f"""SELECT *, CASE WHEN "order" = 'readability' THEN 'randomblock' ELSE "order" END AS o FROM ({D.RUN_SQL})"""
+
+
+@query(f"""WITH p AS (SELECT o AS "order", schedule, score, unnest(CASE WHEN o = 'random' THEN ['staged', 'competence'] ELSE [schedule] END) AS panel FROM ({PANEL_ORDERS}) WHERE o NOT IN ('random', 'randomblock') OR schedule = 'staged')
+SELECT panel, CASE "order" WHEN 'random' THEN 'random' WHEN 'randomblock' THEN 'random-block' ELSE "order" || '/' || substr(schedule, 1, 4) END AS label, round(avg(score), 6) AS mean, count(*) AS n FROM p GROUP BY ALL""")
+def order_panels(spark, d):
+    runs = results.parse_runs(D.runs(spark, d)).withColumn("order", F.when(F.col("order") == "readability", "randomblock").otherwise(F.col("order")))
+    shown = results.panels(runs).withColumn("label", results.order_label())
+    return shown.groupBy("panel", "label").agg(F.round(F.avg("score"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH m AS (SELECT epochs, "order", schedule, avg(score) AS mean FROM ({D.RUN_SQL}) GROUP BY ALL), b AS (SELECT epochs, avg(score) AS baseline FROM ({D.RUN_SQL}) WHERE "order" = 'random' GROUP BY epochs)
+SELECT epochs, "order", schedule, round(mean, 6) AS mean, round(baseline, 6) AS baseline FROM m LEFT JOIN b USING (epochs)""")
+def random_baseline(spark, d):
+    out = results.against_random(results.parse_runs(D.runs(spark, d)), "score")
+    return out.select("epochs", "order", "schedule", F.round("mean", 6).alias("mean"), F.round("baseline", 6).alias("baseline"))
 
 
 @query(f"""SELECT "order", schedule, CAST(replace(step_name, 'step_', '') AS BIGINT) AS step, task, round(avg(score), 6) AS mean, round(coalesce(stddev_samp(score), 0.0), 6) AS sd, count(*) AS n FROM ({D.RUN_SQL}) GROUP BY ALL""")
@@ -532,19 +663,16 @@ def latest_checkpoint(spark, d):
 
 @query(f"""SELECT "order", schedule, round(avg(score), 6) AS mean, CAST(row_number() OVER (ORDER BY round(avg(score), 6) DESC, "order", schedule) AS INTEGER) AS place FROM ({D.RUN_SQL}) WHERE epochs = 10 GROUP BY "order", schedule""")
 def condition_rank(spark, d):
-    from pyspark.sql import Window
-
     r = results.filter_runs(results.parse_runs(D.runs(spark, d)), epochs=10).groupBy("order", "schedule").agg(F.round(F.avg("score"), 6).alias("mean"))
-    # one row a condition
-    return r.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("mean"), "order", "schedule")))
+    return ordered_rank(r, [-F.col("mean"), F.col("order"), F.col("schedule")], "place").select("order", "schedule", "mean", (F.col("place") + 1).cast("int").alias("place"))
 
 
-AUDIT = rf"""WITH v AS (SELECT book, pos, CASE WHEN r = '' THEN 'unparsed' ELSE r END AS label FROM (SELECT *, regexp_extract(answer, '(12\+|9-12|6-8|3-5|9\+)', 1) AS r FROM ({D.VOTES})) WHERE pos % 2 = 0),
+AUDIT = rf"""WITH v AS (SELECT book, pos, CASE WHEN r = '' THEN 'unparsed' ELSE r END AS label FROM (SELECT *, regexp_extract(answer, '(12\+|9-12|6-8|3-5|9\+)', 1) AS r FROM ({D.SECOND_VOTES}))),
 p AS (SELECT book, arg_max(label, n * 1000000000 - first) AS pred FROM (SELECT book, label, count(*) AS n, min(pos) AS first FROM v GROUP BY ALL) GROUP BY book), j AS (SELECT p.book, pred, age_group AS gold FROM p LEFT JOIN ({MAJORITY}) m USING (book))"""
 
 
 def audited(spark, d):
-    v = D.votes(spark, d).where(F.pmod(F.col("pos"), F.lit(2)) == 0).withColumn("label", T.audit_label(F.col("answer")))
+    v = D.second_votes(spark, d).withColumn("label", T.audit_label(F.col("answer")))
     return labels.first_majority(v, "book", "label", "pos").join(labels.majority(labelled(spark, d)).withColumnRenamed("age_group", "gold"), "book", "left")
 
 
@@ -567,29 +695,6 @@ def audit_odd(spark, d):
     return labels.odd_predictions(audited(spark, d))
 
 
-AUDIT_ALL = AUDIT.replace(D.VOTES, D.SECOND_VOTES, 1).replace(" WHERE pos % 2 = 0", "", 1)
-
-
-def audited_all(spark, d):
-    v = D.second_votes(spark, d).withColumn("label", T.audit_label(F.col("answer")))
-    return labels.first_majority(v, "book", "label", "pos").join(labels.majority(labelled(spark, d)).withColumnRenamed("age_group", "gold"), "book", "left")
-
-
-@query(SQL["audit_agreement"].replace(AUDIT, AUDIT_ALL))
-def audit_agreement_all(spark, d):
-    return labels.agreement(audited_all(spark, d)).select("n", F.round("exact", 6).alias("exact"), F.round("adjacent", 6).alias("adjacent"))
-
-
-@query(SQL["audit_confusion"].replace(AUDIT, AUDIT_ALL))
-def audit_confusion_all(spark, d):
-    return labels.confusion(audited_all(spark, d))
-
-
-@query(SQL["audit_odd"].replace(AUDIT, AUDIT_ALL))
-def audit_odd_all(spark, d):
-    return labels.odd_predictions(audited_all(spark, d))
-
-
 @query("SELECT item_id, md5('q ' || text || '|q ' || reverse(text) || '|q none') AS digest, CAST(3 AS INTEGER) AS n FROM benchmark")
 def completion_items(spark, d):
     c = results.candidates(F.lit("q"), F.col("text"), F.array(F.reverse("text"), F.lit("none")))
@@ -608,10 +713,12 @@ def caption_prefix(spark, d):
     return D.table(spark, d, "documents").select("doc_id", F.md5(T.caption_prefix(t).cast("binary")).alias("digest"))
 
 
-@query("SELECT doc_id, doc_id % 6 = 0 AS unfinished, contains(text, '...') OR contains(text, '---') AS marked FROM documents")
+@query("SELECT doc_id, doc_id % 6 = 0 AS unfinished, doc_id % 8 < 2 OR contains(text, '...') OR contains(text, '---') AS marked FROM documents")
 def quality_flags(spark, d):
-    docs = D.table(spark, d, "documents").withColumn("finish_reason", F.when(F.pmod(F.col("doc_id"), F.lit(6)) == 0, "length").otherwise("stop"))
-    return docs.select("doc_id", (F.col("finish_reason") != "stop").alias("unfinished"), T.contains_any(F.col("text"), ("...", "---")).alias("marked"))
+    m = lambda k: F.pmod(F.col("doc_id"), F.lit(k))
+    text = F.concat("text", F.when(m(8) == 0, " and so on...").when(m(8) == 1, "---").otherwise(""))
+    docs = D.table(spark, d, "documents").select("doc_id", text.alias("text"), F.when(m(6) == 0, "length").otherwise("stop").alias("finish_reason"))
+    return cleaning.flagged(docs).select("doc_id", "unfinished", "marked")
 
 
 @query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'user' WHEN 'assistant' THEN 'assistant' END AS mapped FROM conversations")
@@ -641,16 +748,16 @@ def env_diff(spark, d):
 
 @query(f"SELECT CAST(row_number() OVER (ORDER BY run) - 1 AS INTEGER) AS i, run FROM (SELECT DISTINCT run FROM ({D.RUNS}))")
 def job_pick(spark, d):
-    from pyspark.sql import Window
-
-    # one row a run
-    return D.runs(spark, d).select("run").distinct().select((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("run")) - 1).alias("i"), "run")
+    return ordered_rank(D.runs(spark, d).select("run").distinct(), [F.col("run")], "i").select(F.col("i").cast("int").alias("i"), "run")
 
 
-@query("SELECT conv_id, turn, md5(text) AS digest, CAST(0 AS INTEGER) AS n_images FROM conversations")
+@query("""SELECT 'c' || CAST(conv_id AS VARCHAR) AS id, turn, md5(text) AS digest, CAST(CASE WHEN conv_id % 2 = 0 THEN 0 ELSE 1 + turn % 2 END AS INTEGER) AS n_images FROM conversations""")
 def text_only_view(spark, d):
-    c = D.table(spark, d, "conversations").withColumn("images", F.array(F.lit("x.jpg"))).withColumn("images", F.array().cast("array<string>"))
-    return c.select("conv_id", "turn", F.md5(F.col("text").cast("binary")).alias("digest"), F.size("images").alias("n_images"))
+    """Every second conversation in its text-only form: the same turns in the same order, no images."""
+    c = D.table(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("id"), "conv_id", "turn", "text", F.array_repeat(F.lit("x.jpg"), F.pmod(F.col("turn"), F.lit(2)).cast("int") + 1).alias("images"))
+    half = F.pmod(F.col("conv_id"), F.lit(2)) == 0
+    both = curriculum.text_only(c.where(half)).unionByName(c.where(~half))
+    return both.select("id", "turn", F.md5(F.col("text").cast("binary")).alias("digest"), F.size("images").alias("n_images"))
 
 
 @query("SELECT (SELECT count(*) FROM documents) AS n_inputs, (SELECT count(*) FROM labels) AS n_results, (SELECT count(*) FROM labels) > (SELECT count(*) FROM documents) AS too_many")
@@ -659,9 +766,59 @@ def count_guards(spark, d):
     return n.crossJoin(D.table(spark, d, "labels").agg(F.count(F.lit(1)).alias("n_results"))).withColumn("too_many", F.col("n_results") > F.col("n_inputs"))
 
 
-@query("SELECT doc_id, sha256(CAST(doc_id AS VARCHAR) || chr(10) || source) AS digest FROM documents")
+@query("""SELECT shard, n_inputs, n_outputs FROM (SELECT doc_id % 50 AS shard, count(*) AS n_inputs FROM documents GROUP BY ALL) RIGHT JOIN (SELECT doc_id % 50 AS shard, count(*) AS n_outputs FROM (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE doc_id % 50 < 5) GROUP BY ALL) USING (shard) WHERE n_outputs > n_inputs""")
+def shard_overflow(spark, d):
+    """Shards with more results than inputs: those of which a second run has written a part again."""
+    docs = D.table(spark, d, "documents").select(F.pmod(F.col("doc_id"), F.lit(50)).alias("shard"))
+    return artifacts.too_many(docs, docs.unionByName(docs.where("shard < 5")), "shard")
+
+
+@query("SELECT (row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1) // 300 AS shard FROM documents".join(["SELECT shard, count(*) AS n FROM (", ") GROUP BY shard"]))
+def shard_counts(spark, d):
+    return shard_assign(spark, d).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT 'ids' AS what, sha256(string_agg(id, chr(10) ORDER BY idx)) AS digest FROM ({D.RECORDS})")
 def column_digest(spark, d):
-    return D.table(spark, d, "documents").select("doc_id", F.sha2(F.concat_ws("\n", F.col("doc_id").cast("string"), "source").cast("binary"), 256).alias("digest"))
+    """One digest of all ids in manifest order."""
+    return spark.createDataFrame([("ids", artifacts.column_digest(D.records(spark, d).select("idx", "id"), "idx", "id"))], "what string, digest string")
+
+
+FILE_ROWS = r"""SELECT a.conv_id, ['caption', 'vqa', 'reasoning'][a.conv_id % 3 + 1] AS task, ['3_5', '6_8', '9_12', '12'][a.conv_id % 4 + 1] AS band, a.turn, regexp_replace(a.t, '^\s+|\s+$', '', 'g') AS u, regexp_replace(b.t, '^\s+|\s+$', '', 'g') AS v
+  FROM (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE role = 'user' GROUP BY ALL) a JOIN (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE role = 'assistant' GROUP BY ALL) b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
+FILES = f"""SELECT task || '_' || band || '_' || CAST(conv_id AS VARCHAR) AS id, task, band, conv_id, string_agg(u || ' ' || v, ' ' ORDER BY turn) AS joined, bool_and(u <> '' AND v <> '') AND conv_id % 5 <> 0 AS kept FROM ({FILE_ROWS}) GROUP BY conv_id, task, band"""
+
+
+def file_rows(spark, d):
+    """Conversations as the rows of twelve annotation files, and the images that there are."""
+    said = D.table(spark, d, "conversations").groupBy("conv_id", "turn", "role").agg(F.min("text").alias("t"))
+    user = said.where("role = 'user'").select("conv_id", "turn", F.concat(F.lit("<image>\n"), "t").alias("u"))
+    reply = said.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("t").alias("v"))
+    grouped = user.join(reply, ["conv_id", "turn"]).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "u", "v"))).alias("p"))
+    turns = F.transform("p", lambda x: F.struct(x["u"].alias("user"), x["v"].alias("assistant")))
+    pick = lambda values, k: F.element_at(T.lit_array(values), (F.pmod(F.col("conv_id"), F.lit(k)) + 1).cast("int"))
+    name = F.concat(pick(TASKS, 3), F.lit("_"), pick(BANDS, 4), F.lit(".json"))
+    image = F.concat(F.col("conv_id").cast("string"), F.lit(".jpg"))
+    rows = grouped.select(name.alias("file_name"), F.col("conv_id").alias("row"), F.col("conv_id").cast("string").alias("id"), image.alias("image"), convert.conversation(turns).alias("conversations"))
+    return rows, rows.where(F.pmod(F.col("row"), F.lit(5)) != 0).select(F.col("image").alias("path"))
+
+
+@query(rf"""SELECT id, row_number() OVER (ORDER BY list_position(['caption', 'vqa', 'reasoning'], task), list_position(['3_5', '6_8', '9_12', '12'], band), conv_id) - 1 AS manifest_index, CAST(len(regexp_extract_all(joined, '\S+')) AS BIGINT) AS n_words FROM ({FILES}) WHERE kept""")
+def manifest_files(spark, d):
+    return manifest.from_rows(*file_rows(spark, d))[0].select("id", "manifest_index", "n_words")
+
+
+@query(rf"""SELECT count(*) FILTER (WHERE kept) AS n_out, count(*) FILTER (WHERE NOT kept) AS n_skipped, CAST(coalesce(sum(len(regexp_extract_all(joined, '\S+'))) FILTER (WHERE kept), 0) AS BIGINT) AS words FROM ({FILES})""")
+def manifest_totals(spark, d):
+    return manifest.from_rows(*file_rows(spark, d))[1]
+
+
+@query(r"""SELECT doc_id, md5('q' || chr(10)) AS prompt, md5('q' || chr(10) || text || chr(10) || 'r' || chr(10) || text) AS full FROM documents""")
+def scoring_pairs(spark, d):
+    """The prompt and the whole text that a teacher scores."""
+    pair = lambda q: F.struct(F.lit(q).alias("user"), F.col("text").alias("assistant"))
+    docs = D.table(spark, d, "documents").select("doc_id", F.array(pair("q"), pair("r")).alias("texts"))
+    return docs.select("doc_id", *manifest.scoring_texts()).select("doc_id", F.md5(F.col("prompt").cast("binary")).alias("prompt"), F.md5(F.col("full").cast("binary")).alias("full"))
 
 
 @query(f"SELECT idx, row_number() OVER (ORDER BY age_ord, idx) - 1 AS manifest_index FROM (SELECT idx, list_position(['3_5', '6_8', '9_12', '12'], age_band) AS age_ord FROM ({D.RECORDS}))")

@@ -7,7 +7,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-Backend = Callable[[list[str]], list[str]]
+#: From a batch's values (texts, or bytes of images) to as many answers.
+Backend = Callable[[list], list[str]]
+
+
+def by_length(df: DataFrame, length: str, parts: int | None = None) -> DataFrame:
+    """Rows of like length together, in parts of about as many rows: a batch wastes little padding."""
+    from pyspark.sql import functions as F
+
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, F.col(length)).sortWithinPartitions(length)
 
 
 def generate(prompts: DataFrame, column: str, make_backend: Callable[[], Backend], out: str = "generated_text", batch: int = 5000) -> DataFrame:

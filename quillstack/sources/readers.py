@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import tarfile
 from collections.abc import Iterator
 
@@ -44,20 +43,51 @@ def annotations(spark: SparkSession, path: str, books: DataFrame) -> DataFrame:
     return df.select(F.regexp_replace("file_name", r"\.json$", "").alias("book_name"), "row", "page_number", "bounding_box").join(books.select(F.col("book").alias("book_name")).distinct(), "book_name", "left_semi")
 
 
-def tar_shards(spark: SparkSession, path: str) -> DataFrame:
-    """url, key, jpg of tar shards on any file system Spark reads; unreadable members are skipped."""
+def flat_images(spark: SparkSession, path: str) -> DataFrame:
+    """position and path of the .jpg files of one folder, in order of their paths."""
+    from quillstack.operators.ranking import ordered_rank
+
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(path).select("path")
+    return ordered_rank(found, [F.col("path")], "position")
+
+
+def pages_by_folder(found: DataFrame) -> DataFrame:
+    """(folder, n) of the files in nested folders."""
+    return found.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def tar_shards(spark: SparkSession, path: str, members: int = 64) -> DataFrame:
+    """url, key, jpg of tar shards; a shard is read as a stream, ``members`` at a time, and left where it is unreadable.
+
+    Paths may be of any file system that Arrow opens (local, HDFS, S3, GCS).
+    """
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from quillstack.sources.writers import _file_system
 
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for url, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    with tarfile.open(fileobj=io.BytesIO(raw)) as tar:
-                        found = [(m.name, tar.extractfile(m).read()) for m in tar if m.isfile() and m.name.endswith(".jpg")]
-                except tarfile.TarError:
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([url] * len(found), pa.string()), pa.array([n[:-4] for n, _ in found], pa.string()), pa.array([b for _, b in found], pa.binary())], ["url", "key", "jpg"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(members, "url string, key string, jpg binary")
+            for url in batch.column(0).to_pylist():
+                files, at = _file_system(url)
+                rows: list[tuple[str, bytes]] = []
+                with files.open_input_stream(at) as source:
+                    try:
+                        with tarfile.open(fileobj=source, mode="r|*") as tar:
+                            for m in tar:
+                                if m.isfile() and m.name.endswith(".jpg"):
+                                    rows.append((m.name[:-4], tar.extractfile(m).read()))
+                                if len(rows) == members:
+                                    yield _members(url, rows)
+                                    rows = []
+                    except tarfile.TarError:
+                        pass  # what came before the damage stays
+                if rows:
+                    yield _members(url, rows)
+
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(stream, "url string, key string, jpg binary")
+
+
+def _members(url: str, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([url] * len(rows)), pa.array([n for n, _ in rows]), pa.array([b for _, b in rows], pa.binary())], ["url", "key", "jpg"])
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -32,21 +32,97 @@ def is_empty_folder(spark: SparkSession, path: str) -> bool:
     return not fs.exists(at) or len(fs.listStatus(at)) == 0
 
 
-def tar_blocks(samples: DataFrame, rows_per_shard: int) -> DataFrame:
-    """index, key, jpg -> (shard, tar): a tar a shard, built in one worker from a bounded group."""
-
-    def pack(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["index"])
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w") as tar:
-            for r in rows:
-                info = tarfile.TarInfo(f"{r['key']}.jpg")
-                info.size = len(r["jpg"])
-                tar.addfile(info, io.BytesIO(r["jpg"]))
-        return pa.table({"shard": pa.array([rows[0]["shard"]], pa.int64()), "tar": pa.array([out.getvalue()], pa.binary())})
-
-    sharded = samples.withColumn("shard", F.floor(F.col("index") / rows_per_shard).cast("bigint")).select("shard", "index", "key", "jpg")
-    return sharded.groupBy("shard").applyInArrow(pack, "shard bigint, tar binary")
+def _file_system(path: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def write_tar_shards(samples: DataFrame, folder: str, rows_per_shard: int) -> DataFrame:
+    """index, key, jpg -> (shard, rows): tars ``library-NNNNNN.tar`` in the folder; one that is there stays as it is.
+
+    Members stream one by one into a file beside the shard, which takes its name when it is complete: a task that is lost
+    leaves no half shard, and its successor writes it anew.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _file_system(folder)
+        files.create_dir(root, recursive=True)
+        shard, tar, sink, rows = None, None, None, 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if tar is not None:
+                tar.close()
+                sink.close()
+                files.move(f"{name}.part", name)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([rows], pa.int64())], ["shard", "rows"])
+
+        name = ""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                own, key, jpg = (batch.column(c)[at].as_py() for c in (0, 2, 3))
+                if own != shard:
+                    yield from close()
+                    shard, rows, tar = own, 0, None
+                    name = f"{root}/library-{own:06d}.tar"
+                    if files.get_file_info(name).type == _not_found():
+                        sink = files.open_output_stream(f"{name}.part")
+                        tar = tarfile.open(fileobj=sink, mode="w|")
+                if tar is not None:
+                    info = tarfile.TarInfo(f"{key}.jpg")
+                    info.size = len(jpg)
+                    tar.addfile(info, io.BytesIO(jpg))
+                    rows += 1
+        yield from close()
+
+    sharded = samples.select(F.floor(F.col("index") / rows_per_shard).cast("bigint").alias("shard"), "index", "key", "jpg")
+    return sharded.repartition("shard").sortWithinPartitions("shard", "index").mapInArrow(pack, "shard bigint, rows bigint")
+
+
+def _not_found():
+    from pyarrow import fs
+
+    return fs.FileType.NotFound
+
+
+def copy_images(images: DataFrame, folder: str) -> DataFrame:
+    """path, name -> (name): each file copied to its flat name in the folder, in pieces; what is there is replaced."""
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to, root = _file_system(folder)
+        to.create_dir(root, recursive=True)
+        for batch in batches:
+            for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files, at = _file_system(path)
+                with files.open_input_stream(at) as source, to.open_output_stream(f"{root}/{name}") as sink:
+                    while piece := source.read(1 << 20):
+                        sink.write(piece)
+            yield pa.RecordBatch.from_arrays([batch.column(1)], ["name"])
+
+    return images.select(F.col("path").cast("string"), F.col("name").cast("string")).mapInArrow(copy, "name string")
+
+
+def json_array(df: DataFrame, path: str, order: str) -> None:
+    """One JSON array in a new file, in order: rows stream through the driver, which writes them one by one."""
+    import json
+
+    files, at = _file_system(path)
+    if files.get_file_info(at).type != _not_found():
+        raise FileExistsError(path)
+    with files.open_output_stream(at) as sink:
+        sink.write(b"[")
+        for i, (row,) in enumerate(df.orderBy(order).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).toLocalIterator()):
+            text = json.dumps(json.loads(row), ensure_ascii=False, indent=2, allow_nan=False)
+            sink.write((("," if i else "") + "\n  " + text.replace("\n", "\n  ")).encode())
+        sink.write(b"\n]\n")
+
+
+def finite_json(df: DataFrame, path: str) -> None:
+    """JSON lines in a new folder; a number that is not finite fails the job."""
+    from quillstack.operators.validate import finite
+
+    sound = {f.name: finite(F.col(f.name), f.name) for f in df.schema if f.dataType.simpleString() in ("double", "float")}
+    exclusive(df.withColumns(sound) if sound else df, path, "json")
 
 
 def sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:

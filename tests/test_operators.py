@@ -27,6 +27,7 @@ def test_text_quirks(spark):
     assert one(spark, "Thai: rice", T.speaker_turns) == ["rice"]
     assert one(spark, "Age group: 9+", T.age_label) is None and one(spark, "a\nAge group: 9-12+", T.age_label) == "9-12"
     assert one(spark, "is 9+ or 12+", T.audit_label) == "9+" and one(spark, "?", T.audit_label) == "unparsed"
+    assert one(spark, "\n12. x", lambda c: T.clean_page(c, F.lit("b"))) == "x"
     assert one(spark, "Tale's Of Foxes: once 3.", lambda c: T.clean_page(c, F.lit("Tales Of Foxes"))) == "once"
     assert one(spark, "out/book-a.jsonl", T.book_key) == "book-a"
     assert one(spark, "a_b_7", lambda c: T.split_key(c, "_")) == ("a_b", "7")
@@ -113,10 +114,12 @@ def test_files(spark, tmp_path):
     (tmp_path / "x.json").write_text(json.dumps([{"a": 1}, {"a": 2}]))
     assert [(r.row, r.a) for r in readers.json_array(spark, str(tmp_path / "x.json"), "a int").collect()] == [(0, 1), (1, 2)]
     samples = spark.createDataFrame([(i, f"b/{i}", bytes([i])) for i in range(5)], "index int, key string, jpg binary")
-    os.makedirs(tmp_path / "tar")
-    for r in writers.tar_blocks(samples, 2).collect():
-        (tmp_path / "tar" / f"{r.shard}.tar").write_bytes(bytes(r.tar))
-    assert sorted((r.key, bytes(r.jpg)) for r in readers.tar_shards(spark, str(tmp_path / "tar")).collect()) == [(f"b/{i}", bytes([i])) for i in range(5)]
+    assert sorted(map(tuple, writers.write_tar_shards(samples, str(tmp_path / "tar"), 2).collect())) == [(0, 2), (1, 2), (2, 1)]
+    assert sorted(os.listdir(tmp_path / "tar")) == [f"library-00000{i}.tar" for i in range(3)]
+    (tmp_path / "tar" / "library-000001.tar").unlink()
+    assert [tuple(r) for r in writers.write_tar_shards(samples, str(tmp_path / "tar"), 2).collect()] == [(1, 2)]  # the others are there
+    (tmp_path / "tar" / "library-000009.tar").write_bytes(b"no tar at all")
+    assert sorted((r.key, bytes(r.jpg)) for r in readers.tar_shards(spark, str(tmp_path / "tar"), members=1).collect()) == [(f"b/{i}", bytes([i])) for i in range(5)]
     writers.exclusive(samples, str(tmp_path / "once"))
     with pytest.raises(Exception, match="exists"):
         writers.exclusive(samples, str(tmp_path / "once"))
