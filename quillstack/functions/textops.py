@@ -147,7 +147,8 @@ def caption_prefix(text: Column) -> Column:
 
 def truncate_at(text: Column, patterns: Sequence[str]) -> Column:
     """Cut before each pattern in turn, in what the patterns before it have left."""
-    return F.aggregate(lit_array(patterns), text, lambda t, p: F.element_at(F.split(t, F.concat(F.lit(r"(?iu)\Q"), p, F.lit(r"\E")), 2), 1)) if patterns else text
+    return F.aggregate(lit_array(patterns), text, lambda t,
+        p: F.element_at(F.split(t, F.concat(F.lit(r"(?iu)\Q"), p, F.lit(r"\E")), 2), 1)) if patterns else text
 
 
 def caption_separators(text: Column) -> Column:
@@ -172,8 +173,11 @@ def turn_pairs(turns: Column) -> Column:
     """array<struct<user,assistant>> of adjacent turns, an odd last one left out."""
     n = F.floor(F.size(turns) / 2).cast("int")
     at = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    ended = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(strip(t), F.lit("\n==="), F.lit("")), r"=+\z", ""), r"-+\z", ""), r"\n+\z", "")
-    return F.transform(at, lambda i: F.struct(F.replace(strip(F.element_at(turns, i * 2 + 1)), F.lit("\n==="), F.lit("")).alias("user"), ended(F.element_at(turns, i * 2 + 2)).alias("assistant")))
+    ended = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(strip(t), F.lit("\n==="), F.lit("")), r"=+\z", ""), r"-+\z", ""),
+        r"\n+\z", "")
+    return F.transform(at,
+        lambda i: F.struct(F.replace(strip(F.element_at(turns, i * 2 + 1)), F.lit("\n==="), F.lit("")).alias("user"),
+            ended(F.element_at(turns, i * 2 + 2)).alias("assistant")))
 
 
 def with_image_token(pairs: Column, bit: Column) -> Column:
@@ -181,7 +185,8 @@ def with_image_token(pairs: Column, bit: Column) -> Column:
 
     def one(p: Column, i: Column) -> Column:
         placed = F.when(bit == 0, F.concat(F.lit("<image>\n"), p["user"])).otherwise(F.concat(p["user"], F.lit("\n<image>")))
-        return F.struct(F.when((i == 0) & ~p["user"].contains("<image>"), placed).otherwise(p["user"]).alias("user"), p["assistant"].alias("assistant"))
+        return F.struct(F.when((i == 0) & ~p["user"].contains("<image>"), placed).otherwise(p["user"]).alias("user"),
+            p["assistant"].alias("assistant"))
 
     return F.transform(pairs, one)
 

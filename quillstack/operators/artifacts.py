@@ -35,7 +35,8 @@ def count_violations(actual: DataFrame, expected: DataFrame, on: str) -> DataFra
 def too_many(inputs: DataFrame, outputs: DataFrame, on: str) -> DataFrame:
     """(on, n_inputs, n_outputs) of the shards with more results than inputs."""
     count = lambda df, name: df.groupBy(on).agg(F.count(F.lit(1)).alias(name))
-    both = count(outputs, "n_outputs").join(count(inputs, "n_inputs"), on, "left").select(on, F.coalesce("n_inputs", F.lit(0)).alias("n_inputs"), "n_outputs")
+    both = count(outputs, "n_outputs").join(count(inputs, "n_inputs"), on, "left").select(on, F.coalesce("n_inputs", F.lit(0)).alias("n_inputs"),
+        "n_outputs")
     return both.where("n_outputs > n_inputs")
 
 

@@ -19,7 +19,8 @@ def chunk_cuts(pages: DataFrame, limit: int) -> DataFrame:
     def step(s, p):
         total = s["sum"] + p["n_tokens"]
         over = total > limit
-        return F.struct(F.when(over, F.lit(0).cast("bigint")).otherwise(total).alias("sum"), F.when(over, F.concat(s["cuts"], F.array(p["page_idx"]))).otherwise(s["cuts"]).alias("cuts"))
+        return F.struct(F.when(over, F.lit(0).cast("bigint")).otherwise(total).alias("sum"),
+            F.when(over, F.concat(s["cuts"], F.array(p["page_idx"]))).otherwise(s["cuts"]).alias("cuts"))
 
     folded = books.select("book", F.element_at("pages", -1)["page_idx"].alias("last"), F.aggregate("pages", start, step).alias("fold"))
     # what comes after the last cut is a chunk if it has tokens
@@ -44,13 +45,15 @@ def page_chunks(pages: DataFrame, limit: int) -> DataFrame:
     numbers = numbers.join(cuts.groupBy("book").agg(F.max("chunk").alias("most")), "book").where("chunk <= most").select("book", "page_idx", "chunk")
     each = pages.select("book", "page_idx", "page_number", "text").join(numbers, ["book", "page_idx"])
     chunks = each.groupBy("book", "chunk").agg(
-        F.min_by("page_number", "page_idx").alias("first_page"), F.max_by("page_number", "page_idx").alias("end_page"), F.count(F.lit(1)).alias("n_pages"),
+        F.min_by("page_number", "page_idx").alias("first_page"), F.max_by("page_number", "page_idx").alias("end_page"),
+            F.count(F.lit(1)).alias("n_pages"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_idx", "text"))), lambda x: x["text"]), "").alias("text"),
     )
     # a chunk starts with the number of the page that closed the one before: a join of page numbers, not of texts
     closing = cuts.join(pages.select("book", F.col("page_idx").alias("upto_page"), F.col("page_number").alias("closed_by")), ["book", "upto_page"])
     closing = closing.select("book", (F.col("chunk") + 1).alias("chunk"), "closed_by")
-    return chunks.join(closing, ["book", "chunk"], "left").select("book", "chunk", F.coalesce("closed_by", "first_page").alias("start_page"), "end_page", "n_pages", "text")
+    return chunks.join(closing, ["book", "chunk"], "left").select("book", "chunk", F.coalesce("closed_by", "first_page").alias("start_page"),
+        "end_page", "n_pages", "text")
 
 
 def reassemble(chunks: DataFrame, keys: list[str], index: str, text: str, sep: str = " ") -> DataFrame:

@@ -34,7 +34,9 @@ def dialogue_records(responses: DataFrame, patterns: Sequence[str], errors: Sequ
 
 def conversation(turns: Column) -> Column:
     """array<struct<from,value>> from pairs."""
-    each = F.transform(turns, lambda p: F.array(F.struct(F.lit("human").alias("from"), p["user"].alias("value")), F.struct(F.lit("gpt").alias("from"), p["assistant"].alias("value"))))
+    each = F.transform(turns,
+        lambda p: F.array(F.struct(F.lit("human").alias("from"), p["user"].alias("value")),
+            F.struct(F.lit("gpt").alias("from"), p["assistant"].alias("value"))))
     return F.flatten(each)
 
 
@@ -43,8 +45,10 @@ def turns_of(conversations: Column) -> Column:
     left out, roles that don't alternate from human are an error."""
     at = F.floor(F.size(conversations) / 2).cast("int")
     places = F.when(at > 0, F.sequence(F.lit(0), at - 1)).otherwise(F.array().cast("array<int>"))
-    said = lambda i, who: F.when(F.get(conversations, i)["from"] == who, F.get(conversations, i)["value"]).otherwise(F.raise_error(F.lit(f"a turn is not from {who}")))
-    return F.transform(places, lambda i: F.struct(T.strip_image_tag(said(i * 2, "human")).alias("user"), T.strip(said(i * 2 + 1, "gpt")).alias("assistant")))
+    said = lambda i, who: F.when(F.get(conversations, i)["from"] == who,
+        F.get(conversations, i)["value"]).otherwise(F.raise_error(F.lit(f"a turn is not from {who}")))
+    return F.transform(places,
+        lambda i: F.struct(T.strip_image_tag(said(i * 2, "human")).alias("user"), T.strip(said(i * 2 + 1, "gpt")).alias("assistant")))
 
 
 def qa_mismatch(turns: DataFrame, conv: str, role: str, human: str, assistant: str) -> DataFrame:

@@ -26,7 +26,8 @@ def reject_report(joined: DataFrame) -> DataFrame:
 def first_rejects(joined: DataFrame, most: int = 10) -> DataFrame:
     """The first examples of every reason, in input order. A limit by rank is planned as a partial top-k per task."""
     order = F.row_number().over(Window.partitionBy("status").orderBy("idx"))
-    return joined.where("status <> 'written'").withColumn("place", order).where(F.col("place") <= most).select("status", F.col("place").cast("bigint").alias("place"), F.concat_ws("/", "book_name", "page_number").alias("example"))
+    return joined.where("status <> 'written'").withColumn("place", order).where(F.col("place") <= most).select("status",
+        F.col("place").cast("bigint").alias("place"), F.concat_ws("/", "book_name", "page_number").alias("example"))
 
 
 def with_original(chunks: DataFrame, originals: DataFrame, phrase: str) -> DataFrame:
@@ -56,7 +57,8 @@ def duplicates(df: DataFrame, on: list[str]) -> DataFrame:
 def reconcile(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
     """(key columns, side): keys of one side only; empty if the sets are equal."""
     a, b = expected.select(*on).distinct().withColumn("l", F.lit(1)), actual.select(*on).distinct().withColumn("r", F.lit(1))
-    return a.join(b, on, "full_outer").where("l is null or r is null").select(*on, F.when(F.col("r").isNull(), "missing").otherwise("unexpected").alias("side"))
+    return a.join(b, on, "full_outer").where("l is null or r is null").select(*on,
+        F.when(F.col("r").isNull(), "missing").otherwise("unexpected").alias("side"))
 
 
 def merge_scores(base: DataFrame, other: DataFrame, name: str) -> DataFrame:
@@ -64,4 +66,5 @@ def merge_scores(base: DataFrame, other: DataFrame, name: str) -> DataFrame:
     alt = other.select("manifest_index", F.col("image").alias("image_alt"), F.col("nll").alias(f"nll_{name}"))
     joined = base.join(alt, "manifest_index", "full_outer")
     bad = F.col("image").isNull() | F.col("image_alt").isNull() | (F.col("image") != F.col("image_alt"))
-    return joined.withColumn(f"nll_{name}", F.when(bad, F.raise_error(F.lit("scores do not align")).cast("double")).otherwise(F.col(f"nll_{name}"))).drop("image_alt")
+    return joined.withColumn(f"nll_{name}",
+        F.when(bad, F.raise_error(F.lit("scores do not align")).cast("double")).otherwise(F.col(f"nll_{name}"))).drop("image_alt")

@@ -11,7 +11,8 @@ from quillstack.schemas import LABEL_BANDS
 
 def vote_counts(votes: DataFrame, book: str = "book", label: str = "label") -> DataFrame:
     """One row a book: the votes of every band, 0 if none."""
-    return votes.groupBy(book).agg(*(F.coalesce(F.sum((F.col(label) == b).cast("bigint")), F.lit(0)).alias(f"n_{i}") for i, b in enumerate(LABEL_BANDS)))
+    return votes.groupBy(book).agg(*(F.coalesce(F.sum((F.col(label) == b).cast("bigint")), F.lit(0)).alias(f"n_{i}") for i,
+        b in enumerate(LABEL_BANDS)))
 
 
 def majority(votes: DataFrame, book: str = "book", label: str = "label") -> DataFrame:
@@ -45,7 +46,8 @@ def agreement(pairs: DataFrame, gold: str = "gold", pred: str = "pred") -> DataF
     """Exact and adjacent agreement over books whose labels are both canonical."""
     known = pairs.where(F.col(gold).isin(*LABEL_BANDS) & F.col(pred).isin(*LABEL_BANDS))
     gap = F.abs(label_ordinal(F.col(gold)) - label_ordinal(F.col(pred)))
-    return known.agg(F.count(F.lit(1)).alias("n"), F.avg((gap == 0).cast("double")).alias("exact"), F.avg((gap <= 1).cast("double")).alias("adjacent"))
+    return known.agg(F.count(F.lit(1)).alias("n"), F.avg((gap == 0).cast("double")).alias("exact"),
+        F.avg((gap <= 1).cast("double")).alias("adjacent"))
 
 
 def odd_predictions(pairs: DataFrame, pred: str = "pred") -> DataFrame:

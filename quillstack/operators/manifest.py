@@ -15,7 +15,8 @@ def manifest(records: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
     sound = F.forall("texts", lambda p: (p["user"] != "") & (p["assistant"] != ""))
     joined = F.array_join(F.transform("texts", lambda p: F.concat_ws(" ", p["user"], p["assistant"])), " ")
     kept = records.withColumn("texts", bare).where((F.size("texts") > 0) & sound).withColumn("joined", joined)
-    return kept.select(*also, "id", "image", "texts", "task", "age_band", T.word_count(F.col("joined")).alias("n_words"), T.fk_grade(F.col("joined")).alias("fk_grade"))
+    return kept.select(*also, "id", "image", "texts", "task", "age_band", T.word_count(F.col("joined")).alias("n_words"),
+        T.fk_grade(F.col("joined")).alias("fk_grade"))
 
 
 def indexed(records: DataFrame, task: str = "task", band: str = "age_band", row: str = "row") -> DataFrame:
@@ -41,11 +42,13 @@ def from_rows(rows: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]
     task = F.regexp_extract(named, r"^([a-z]+)_", 1)
     band = F.regexp_extract(named, r"^[a-z]+_(.*)\.json$", 1)
     shown = rows.join(images.select(F.col("path").alias("image")), "image", "left_semi")
-    placed = shown.select(F.concat_ws("_", task, band, F.col("id")).alias("id"), "image", task.alias("task"), band.alias("age_band"), "row", turns_of(F.col("conversations")).alias("turns"))
+    placed = shown.select(F.concat_ws("_", task, band, F.col("id")).alias("id"), "image", task.alias("task"), band.alias("age_band"), "row",
+        turns_of(F.col("conversations")).alias("turns"))
     kept = indexed(placed.where(_sound()), row="row")
     out = manifest(kept, ("manifest_index",))
     words = out.agg(F.count(F.lit(1)).alias("n_out"), F.coalesce(F.sum("n_words"), F.lit(0)).alias("words"))
-    return out, words.crossJoin(rows.agg(F.count(F.lit(1)).alias("n_rows"))).select("n_out", (F.col("n_rows") - F.col("n_out")).alias("n_skipped"), "words")
+    return out, words.crossJoin(rows.agg(F.count(F.lit(1)).alias("n_rows"))).select("n_out", (F.col("n_rows") - F.col("n_out")).alias("n_skipped"),
+        "words")
 
 
 def _sound():
@@ -56,7 +59,8 @@ def band_words(records: DataFrame) -> DataFrame:
     """Samples and words of every band, 0 for absent ones."""
     counts = records.groupBy("age_band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_words").alias("words"))
     bands = records.sparkSession.createDataFrame([(b,) for b in BANDS], "age_band string")
-    return bands.join(counts, "age_band", "left").select("age_band", F.coalesce("n", F.lit(0)).alias("n_samples"), F.coalesce("words", F.lit(0)).alias("words"))
+    return bands.join(counts, "age_band", "left").select("age_band", F.coalesce("n", F.lit(0)).alias("n_samples"),
+        F.coalesce("words", F.lit(0)).alias("words"))
 
 
 def scoring_texts(texts: str = "texts") -> list:

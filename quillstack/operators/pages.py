@@ -17,7 +17,8 @@ def box_area(box: Column) -> Column:
 def text_share(pages: DataFrame, boxes: DataFrame) -> DataFrame:
     """pages (book_name, page_number, height, width) with ``text_area``: overlaps count twice, 0 without boxes."""
     areas = boxes.groupBy("book_name", "page_number").agg(F.sum(box_area(F.col("bounding_box"))).alias("area"))
-    return pages.join(areas, ["book_name", "page_number"], "left").withColumn("text_area", F.coalesce("area", F.lit(0.0)) / (F.col("height") * F.col("width"))).drop("area")
+    return pages.join(areas, ["book_name", "page_number"], "left").withColumn("text_area",
+        F.coalesce("area", F.lit(0.0)) / (F.col("height") * F.col("width"))).drop("area")
 
 
 def edge_score(edges: Column, pixels: Column) -> Column:

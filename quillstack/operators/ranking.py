@@ -55,7 +55,8 @@ def cuts_upto(c: Column, cuts: Sequence) -> Column:
     return F.coalesce(F.aggregate(steps, span, halve)["lo"], F.lit(0))
 
 
-def score_rank(df: DataFrame, score: str, key: str, tie: str, name: str = "rank", cuts: Sequence | None = None, counted: DataFrame | None = None) -> DataFrame:
+def score_rank(df: DataFrame, score: str, key: str, tie: str, name: str = "rank", cuts: Sequence | None = None,
+    counted: DataFrame | None = None) -> DataFrame:
     """0-based rank by (score, key, tie). Equal scores that fill whole buckets are dealt out again by their hash."""
     cuts = quantile_cuts(df, [score])[1][score] if cuts is None else cuts
     no = cuts_upto(F.col(score), cuts)

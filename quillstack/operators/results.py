@@ -24,14 +24,16 @@ ACCURACY = r"### AVERAGE ACCURACY\n([\d.]+)"
 def parse_runs(df: DataFrame, name: str = "run") -> DataFrame:
     """The fields of every run name that has the form; others are left out."""
     typed = lambda f, c: c.cast("int") if f in ("epochs", "seed") else c
-    return df.where(F.col(name).rlike(RUN_NAME)).select("*", *(typed(f, F.regexp_extract(name, RUN_NAME, i + 1)).alias(f) for i, f in enumerate(RUN_FIELDS)))
+    return df.where(F.col(name).rlike(RUN_NAME)).select("*",
+        *(typed(f, F.regexp_extract(name, RUN_NAME, i + 1)).alias(f) for i, f in enumerate(RUN_FIELDS)))
 
 
 def run_name(order: Column, schedule: Column, epochs: Column, lm_init: Column, modality: Column, seed: Column, run_id: Column) -> Column:
     return F.format_string("tl_%s_%s_ep%d_%slm_%s_seed%d_%s", order, schedule, epochs, lm_init, modality, seed, run_id)
 
 
-def filter_runs(df: DataFrame, epochs: int | None = None, lm_init: str | None = None, modality: str | None = None, name_regex: str | None = None, name: str = "run") -> DataFrame:
+def filter_runs(df: DataFrame, epochs: int | None = None, lm_init: str | None = None, modality: str | None = None, name_regex: str | None = None,
+    name: str = "run") -> DataFrame:
     for c, v in (("epochs", epochs), ("lm_init", lm_init), ("modality", modality)):
         df = df if v is None else df.where(F.col(c) == v)
     return df if name_regex is None else df.where(F.col(name).rlike(rf"\A(?:{name_regex})\z"))

@@ -18,8 +18,12 @@ def unigram_nll(df: DataFrame, id_: str, text: str) -> DataFrame:
     own = words.groupBy(id_, "w").agg(F.count(F.lit(1)).alias("n"))
     total = own.groupBy("w").agg(F.sum("n").alias("c"))
     mass = total.agg(F.sum("c").alias("total_words"))  # one row
-    scored = own.join(total, "w").crossJoin(F.broadcast(mass)).groupBy(id_).agg(F.sum(F.col("n") * -F.log(F.col("c") / F.col("total_words"))).alias("s"), F.sum("n").alias("n_tokens"))
-    return df.select(id_).join(scored, id_, "left").select(id_, (F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(1))).alias("nll"), F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    scored = own.join(total,
+        "w").crossJoin(F.broadcast(mass)).groupBy(id_).agg(F.sum(F.col("n") * -F.log(F.col("c") / F.col("total_words"))).alias("s"),
+            F.sum("n").alias("n_tokens"))
+    return df.select(id_).join(scored, id_, "left").select(id_,
+        (F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(1))).alias("nll"),
+            F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
 
 
 def _ranks(df: DataFrame, id_: str, a: str, b: str) -> tuple[int, DataFrame]:
@@ -41,7 +45,8 @@ def quartile_overlap(df: DataFrame, id_: str, a: str, b: str) -> DataFrame:
     if not q:
         raise ValueError("fewer than four rows")
     share = lambda c: F.sum(c.cast("bigint")) / F.lit(q)
-    return ranks.agg(share((F.col("ra") < q) & (F.col("rb") < q)).alias("lowest"), share((F.col("ra") >= n - q) & (F.col("rb") >= n - q)).alias("highest"))
+    return ranks.agg(share((F.col("ra") < q) & (F.col("rb") < q)).alias("lowest"),
+        share((F.col("ra") >= n - q) & (F.col("rb") >= n - q)).alias("highest"))
 
 
 def band_means(df: DataFrame, a: str, b: str) -> DataFrame:

@@ -20,8 +20,10 @@ def jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False, boo
 
 def json_array(spark: SparkSession, path: str, item: str) -> DataFrame:
     """One JSON array a file: its items with file_name and row, their place."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"), F.from_json("value", f"array<struct<{item}>>").alias("items"))
-    return whole.select("file_name", F.posexplode("items").alias("row", "item")).select("file_name", F.col("row").cast("bigint").alias("row"), "item.*")
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file_name"),
+        F.from_json("value", f"array<struct<{item}>>").alias("items"))
+    return whole.select("file_name", F.posexplode("items").alias("row", "item")).select("file_name", F.col("row").cast("bigint").alias("row"),
+        "item.*")
 
 
 def first_rows(df: DataFrame, order: str, n: int = 10) -> DataFrame:
@@ -33,14 +35,16 @@ def images(spark: SparkSession, path: str, content: bool = False) -> DataFrame:
     """book and page of .jpg files in nested folders."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").option("recursiveFileLookup", True).load(path)
     parts = F.split("path", "/")
-    found = df.select("path", F.element_at(parts, -2).alias("book"), F.regexp_replace(F.element_at(parts, -1), r"\.jpg$", "").alias("page"), *(["content"] if content else []))
+    found = df.select("path", F.element_at(parts, -2).alias("book"), F.regexp_replace(F.element_at(parts, -1), r"\.jpg$", "").alias("page"),
+        *(["content"] if content else []))
     return found
 
 
 def annotations(spark: SparkSession, path: str, books: DataFrame) -> DataFrame:
     """OCR boxes (one JSON array a book), of the given books only."""
     df = json_array(spark, path, "page_number string, bounding_box array<array<double>>")
-    return df.select(F.regexp_replace("file_name", r"\.json$", "").alias("book_name"), "row", "page_number", "bounding_box").join(books.select(F.col("book").alias("book_name")).distinct(), "book_name", "left_semi")
+    return df.select(F.regexp_replace("file_name", r"\.json$", "").alias("book_name"), "row", "page_number",
+        "bounding_box").join(books.select(F.col("book").alias("book_name")).distinct(), "book_name", "left_semi")
 
 
 def flat_images(spark: SparkSession, path: str) -> DataFrame:
@@ -87,7 +91,8 @@ def tar_shards(spark: SparkSession, path: str, members: int = 64) -> DataFrame:
 
 
 def _members(url: str, rows: list[tuple[str, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([url] * len(rows)), pa.array([n for n, _ in rows]), pa.array([b for _, b in rows], pa.binary())], ["url", "key", "jpg"])
+    return pa.RecordBatch.from_arrays([pa.array([url] * len(rows)), pa.array([n for n, _ in rows]), pa.array([b for _, b in rows], pa.binary())],
+        ["url", "key", "jpg"])
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -98,7 +103,8 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation reports with what their path says: run, revision, task, dataset."""
     parts = F.split(F.col("_metadata.file_path"), "/")
     at = lambda k: F.element_at(parts, -k)
-    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), at(7).alias("run"), at(6).alias("revision"), at(3).alias("task"), at(2).alias("dataset"), F.col("value").alias("body"))
+    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"),
+        at(7).alias("run"), at(6).alias("revision"), at(3).alias("task"), at(2).alias("dataset"), F.col("value").alias("body"))
 
 
 def prompt(text: str, system: str = "") -> list[tuple[str, str]]:
