@@ -15,7 +15,8 @@ from pathlib import Path
 import numpy as np
 
 #: What a tokenizer file must hold for its words to be independent of one another.
-WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_NORMALIZER = {"type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 # Printable ASCII but the apostrophe (contractions) and < (special tokens), and the Latin-1 letters: NFC leaves them be.

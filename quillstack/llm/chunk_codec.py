@@ -158,11 +158,14 @@ def reuse(docs: DataFrame, tokenizer: str, kept_bytes: int = KEPT_BYTES) -> Data
                     if chunks.encoded > encoded:
                         hashes.append(hashlib.blake2b(text[at:end], digest_size=16).digest())
                     at = end
-            yield pa.RecordBatch.from_arrays([pa.array([*hashes, None], pa.binary()), pa.array([0] * len(hashes) + [chunks.reused - before], pa.int64())], ["chunk", "again"])
+            yield pa.RecordBatch.from_arrays([pa.array([*hashes, None], pa.binary()),
+                pa.array([0] * len(hashes) + [chunks.reused - before], pa.int64())], ["chunk", "again"])
 
-    found = by_sketch(_rows(docs)).mapInArrow(run, "chunk binary, again long").groupBy("chunk").agg(F.count("chunk").alias("n"), F.sum("again").alias("again"))
+    found = by_sketch(_rows(docs)).mapInArrow(run, "chunk binary, again long").groupBy("chunk").agg(F.count("chunk").alias("n"),
+        F.sum("again").alias("again"))
     count = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
-    return found.agg((count(F.col("n")) + count(F.col("again"))).alias("chunks"), count(F.col("n")).alias("encoded"), F.count("chunk").alias("distinct"))
+    return found.agg((count(F.col("n")) + count(F.col("again"))).alias("chunks"), count(F.col("n")).alias("encoded"),
+        F.count("chunk").alias("distinct"))
 
 
 def decode_documents(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -191,6 +194,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
                 n.append(len(ids))
                 shas.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 texts.append(hashlib.sha256(enc.decoded(ids).encode("utf-8")).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(texts, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return by_sketch(_rows(docs)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -188,8 +188,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     for more in passes[1:]:
         every = every.unionByName(more)
     # a row a document and block that has hits in it
-    lists = every.groupBy("key").agg(F.max("found.n_words").alias("n_words"), F.flatten(F.collect_list("found.spans")).alias("spans"), F.flatten(F.collect_list("found.items")).alias("items"))
-    joint = stored(lists.select("key", F.struct("n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items")).alias("found")), "all-hits")
+    lists = every.groupBy("key").agg(F.max("found.n_words").alias("n_words"), F.flatten(F.collect_list("found.spans")).alias("spans"),
+        F.flatten(F.collect_list("found.items")).alias("items"))
+    joint = stored(lists.select("key", F.struct("n_words", "spans", F.array_sort(F.array_distinct("items")).alias("items")).alias("found")),
+        "all-hits")
     discard(*passes)
     return numbered.join(joint, "key").select("row", "found")
 
@@ -200,7 +202,8 @@ def hit_words(spans: Column) -> Column:
     return F.aggregate(
         F.array_sort(spans),
         start,
-        lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0), h["stop"] - F.greatest(h["start"], s["end"])).cast("long")).alias("n"), F.greatest(s["end"], h["stop"]).alias("end")),
+        lambda s, h: F.struct((s["n"] + F.greatest(F.lit(0), h["stop"] - F.greatest(h["start"], s["end"])).cast("long")).alias("n"),
+            F.greatest(s["end"], h["stop"]).alias("end")),
     )["n"]
 
 
@@ -245,5 +248,6 @@ def without_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
     done = found.mapInArrow(cut, f"row {names}, text string")
-    changed = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    changed = {"text": F.col("text")} | ({"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs
+        .columns else {})
     return done.select(*(changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -139,7 +139,8 @@ def is_in(key: Column, ordered: Column) -> Column:
         return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
 
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered).cast("double"))).cast("int"))
-    return F.when(F.size(ordered) <= FEW, F.array_contains(ordered, key)).otherwise(F.element_at(ordered, F.aggregate(steps, span, halve)["lo"]) == key)
+    return F.when(F.size(ordered) <= FEW,
+        F.array_contains(ordered, key)).otherwise(F.element_at(ordered, F.aggregate(steps, span, halve)["lo"]) == key)
 
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:

@@ -108,7 +108,8 @@ def most_frequent(docs: DataFrame, buckets: int) -> list:
             h, n = _bytes(h[order], "<i8"), _bytes(n[order], "<u4")
             full = np.flatnonzero(np.diff(at))
             rows = [(h[8 * at[b] : 8 * at[b + 1]], n[4 * at[b] : 4 * at[b + 1]]) for b in full]
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["w", "h", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([x for x, _ in rows], pa.binary()),
+                pa.array([x for _, x in rows], pa.binary())], ["w", "h", "n"])
 
         for batch in pieces(batches):
             for text in byte_texts(batch.column(0)):
@@ -124,7 +125,8 @@ def most_frequent(docs: DataFrame, buckets: int) -> list:
         best = np.lexsort((h, -c))[:WORDS]
         return pa.table({"h": h[best], "c": c[best]})
 
-    return docs.mapInArrow(count, "w int, h binary, n binary").groupBy("w").applyInArrow(top, "h long, c long").orderBy(F.desc("c"), "h").limit(WORDS).collect()
+    return docs.mapInArrow(count, "w int, h binary, n binary").groupBy("w").applyInArrow(top, "h long, c long").orderBy(F.desc("c"),
+        "h").limit(WORDS).collect()
 
 
 class Index(dict):
@@ -171,7 +173,8 @@ def contexts(docs: DataFrame, top: dict[int, int], buckets: int) -> DataFrame:
     schema = "w int, h binary, size binary, k binary, n binary, code binary, many binary"
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names)
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()),
+            *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 7))], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, bigrams = Index(), np.zeros(TYPES * TYPES, np.int64)
@@ -194,7 +197,8 @@ def contexts(docs: DataFrame, top: dict[int, int], buckets: int) -> DataFrame:
             part = lambda x, width, lo, hi: x[width * lo : width * hi]
             full = np.flatnonzero(np.diff(at)).tolist()
             if full:
-                yield packed([(b, part(h, 8, at[b], at[b + 1]), part(size, 4, at[b], at[b + 1]), part(k, 2, ends[b], ends[b + 1]), part(n, 4, ends[b], ends[b + 1]), b"", b"") for b in full])
+                yield packed([(b, part(h, 8, at[b], at[b + 1]), part(size, 4, at[b], at[b + 1]), part(k, 2, ends[b], ends[b + 1]),
+                    part(n, 4, ends[b], ends[b + 1]), b"", b"") for b in full])
 
         for batch in pieces(batches):
             path = [np.zeros(1, np.int32)]
@@ -224,7 +228,8 @@ def contexts(docs: DataFrame, top: dict[int, int], buckets: int) -> DataFrame:
         yield from out()
         code = np.flatnonzero(bigrams)
         bucket = code % buckets
-        yield packed([(b, b"", b"", b"", b"", _bytes(code[bucket == b], "<i4"), _bytes(bigrams[code[bucket == b]], "<i8")) for b in np.unique(bucket).tolist()])
+        yield packed([(b, b"", b"", b"", b"", _bytes(code[bucket == b], "<i4"), _bytes(bigrams[code[bucket == b]], "<i8")) for b in np.unique(bucket)
+            .tolist()])
 
     def add(rows: pa.Table) -> pa.Table:
         h, size = _arrays(rows.column("h"), "<i8"), _arrays(rows.column("size"), "<u4").astype(np.int64)
@@ -233,7 +238,8 @@ def contexts(docs: DataFrame, top: dict[int, int], buckets: int) -> DataFrame:
         code, n = summed(code, _arrays(rows.column("n"), "<u4").astype(np.int64))
         size = np.bincount(code // (2 * TYPES), minlength=len(words))
         pair, many = summed(_arrays(rows.column("code"), "<i4"), _arrays(rows.column("many"), "<i8"))
-        return pa.Table.from_batches([packed([(rows.column("w")[0].as_py(), _bytes(words, "<i8"), _bytes(size, "<u4"), _bytes(code % (2 * TYPES), "<u2"), _bytes(n, "<u4"), _bytes(pair, "<i4"), _bytes(many, "<i8"))])])
+        return pa.Table.from_batches([packed([(rows.column("w")[0].as_py(), _bytes(words, "<i8"), _bytes(size, "<u4"),
+            _bytes(code % (2 * TYPES), "<u2"), _bytes(n, "<u4"), _bytes(pair, "<i4"), _bytes(many, "<i8"))])])
 
     return docs.mapInArrow(count, schema).groupBy("w").applyInArrow(add, schema)
 
@@ -325,7 +331,8 @@ def assigned(found: DataFrame, class_of: np.ndarray, into: np.ndarray, out: np.n
     which = class_of[:TYPES]
     # words seen once differ only in the classes before and after them
     pair = np.eye(CLASSES)
-    once = np.concatenate([best_class(np.repeat(pair[i : i + 1], CLASSES, 0), pair, np.full(CLASSES, 1), into, out) for i in range(CLASSES)]).reshape(CLASSES, CLASSES)
+    once = np.concatenate([best_class(np.repeat(pair[i : i + 1], CLASSES, 0), pair, np.full(CLASSES, 1), into,
+        out) for i in range(CLASSES)]).reshape(CLASSES, CLASSES)
 
     def classes(size: np.ndarray, k: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.repeat(np.arange(len(size)), size) * (2 * CLASSES) + k // TYPES * CLASSES + which[k % TYPES]
@@ -343,12 +350,14 @@ def assigned(found: DataFrame, class_of: np.ndarray, into: np.ndarray, out: np.n
                 w, h, size, k, n = (batch.column(i)[row].as_py() for i in range(5))
                 size, k, n = np.frombuffer(size, "<u4").astype(np.int64), np.frombuffer(k, "<u2").astype(np.int64), np.frombuffer(n, "<u4")
                 ends = np.concatenate([[0], np.cumsum(size)])
-                parts = [classes(size[a : a + PART], k[ends[a] : ends[min(a + PART, len(size))]], n[ends[a] : ends[min(a + PART, len(size))]]) for a in range(0, len(size), PART)]
+                parts = [classes(size[a : a + PART], k[ends[a] : ends[min(a + PART, len(size))]],
+                    n[ends[a] : ends[min(a + PART, len(size))]]) for a in range(0, len(size), PART)]
                 kind, c = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, np.int64) for i in (0, 1))
                 count = lambda weight=None: np.bincount(kind, weight, CLASSES).astype(np.int64)  # noqa: B023, E731
                 stats = np.stack([count(c), count(), count(c == 1), count(c == 2)], axis=1)
                 cells = [[h], [_bytes(kind, "u1")], [_bytes(c, "<i8")], [_bytes(stats, "<i8")]]
-                yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), *(pa.array(x, pa.binary()) for x in cells)], ["w", "h", "k", "c", "stats"])
+                yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), *(pa.array(x, pa.binary()) for x in cells)],
+                    ["w", "h", "k", "c", "stats"])
 
     return found.select("w", "h", "size", "k", "n").mapInArrow(run, "w int, h binary, k binary, c binary, stats binary")
 
@@ -455,7 +464,8 @@ def score_bucket(docs: pa.Table, answers: pa.Table, model: dict) -> pa.Table:
     rows = []
     for ids in per_doc:
         path = own[ids].astype(np.uint8).tobytes()
-        rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (model["n_docs"] > 0), model["N"], float(base[ids].sum()) + end_base, float(emit[ids].sum()) + end, path))
+        rows.append((len(ids) + 1, int((c[ids] > 0).sum()) + (model["n_docs"] > 0), model["N"], float(base[ids].sum()) + end_base,
+            float(emit[ids].sum()) + end, path))
     types = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.binary()]
     columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "emitted", "path"]
@@ -478,7 +488,8 @@ def walked(rows: DataFrame, counts: DataFrame, state: dict) -> DataFrame:
                 h = h[looked_up(h, known[:2], -1)[0] < 0]
                 order, at = by_bucket(h, buckets)
                 h, full = _bytes(h[order], "<i8"), np.flatnonzero(np.diff(at)).tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([b] * len(full), pa.int32()), pa.array([h[8 * at[w] : 8 * at[w + 1]] for w in full], pa.binary())], ["w", "b", "h"])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([b] * len(full), pa.int32()),
+                    pa.array([h[8 * at[w] : 8 * at[w + 1]] for w in full], pa.binary())], ["w", "b", "h"])
             asked.clear()
 
         for batch in pieces(batches):
@@ -496,7 +507,8 @@ def walked(rows: DataFrame, counts: DataFrame, state: dict) -> DataFrame:
             k, c = looked_up(own, (known[0], known[1], known[2]))
             hit = c > 0
             rows.append((b, _bytes(own[hit], "<i8"), _bytes(k[hit], "u1"), _bytes(c[hit], "<i8")))
-        return pa.table({"b": pa.array([r[0] for r in rows], pa.int32())} | {x: pa.array([r[i] for r in rows], pa.binary()) for i, x in ((1, "h"), (2, "k"), (3, "c"))})
+        return pa.table({"b": pa.array([r[0] for r in rows], pa.int32())} | {x: pa.array([r[i] for r in rows], pa.binary()) for i,
+            x in ((1, "h"), (2, "k"), (3, "c"))})
 
     # all columns, so that both sides read one shuffle of the texts
     asks = dealt.mapInArrow(ask, "w int, b int, h binary").groupBy("w")
@@ -519,7 +531,8 @@ def score(docs: DataFrame) -> DataFrame:
                 value.append(emitted + float(log_next[own[:-1], own[1:]].sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(value, pa.float64())], [*batch.schema.names[:6], "score"])
 
-    scored = model.paths.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    scored = model.paths.mapInArrow(run,
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))
 
 

@@ -53,7 +53,8 @@ def sketches(docs: DataFrame) -> DataFrame:
                 out.append(bands(who) if who is not None else None)
                 low.append(who.astype(np.uint8).tobytes() if who is not None else None)
                 size.append(len(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(low, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "node", "bands", "low", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.int64())), pa.array(low, pa.binary()),
+                pa.array(size, pa.int64())], ["doc_id", "node", "bands", "low", "n_bytes"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_node().alias("node"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, node binary, bands array<bigint>, low binary, n_bytes long")
@@ -99,9 +100,12 @@ def block_pairs(tagged: DataFrame) -> DataFrame:
     groups = tagged.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("n_bytes").alias("bytes"))
     total = groups.groupBy("band").agg(F.max(F.struct("k", "label", "bytes")).alias("main"), F.sum("k").alias("k"), F.sum("bytes").alias("bytes"))
     blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1)).cast("int")
-    open_ = total.where(F.col("k") > F.col("main.k")).select("band", F.col("main.label").alias("most"), blocks(F.col("k") - F.col("main.k"), F.col("bytes") - F.col("main.bytes")).alias("p"), blocks(F.col("main.k"), F.col("main.bytes")).alias("q"))
+    open_ = total.where(F.col("k") > F.col("main.k")).select("band", F.col("main.label").alias("most"),
+        blocks(F.col("k") - F.col("main.k"), F.col("bytes") - F.col("main.bytes")).alias("p"),
+            blocks(F.col("main.k"), F.col("main.bytes")).alias("q"))
     outer, own = F.col("label") != F.col("most"), F.xxhash64("node")
-    placed = tagged.join(open_, "band").withColumn("block", F.when(outer, F.pmod(own, F.col("p"))).otherwise(F.col("p") + F.pmod(own, F.col("q"))).cast("int"))
+    placed = tagged.join(open_, "band").withColumn("block",
+        F.when(outer, F.pmod(own, F.col("p"))).otherwise(F.col("p") + F.pmod(own, F.col("q"))).cast("int"))
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(outer, F.col("p") + F.col("q") - 1).otherwise(F.col("p") - 1))))
     return met.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "no", "node", "label", "block")
 
@@ -203,7 +207,9 @@ def report(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """doc_id and class_id, the least doc_id of its class, of every document, and the class's size."""
     found = classes(docs, similar)
     names = stored(found.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "class-names")
-    return found.join(names, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"), F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
+    return found.join(names, "class", "left").select("doc_id",
+        F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"),
+            F.coalesce("n", F.lit(1)).cast("long").alias("class_size"))
 
 
 def dedup(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from quillstack.llm.common import byte_texts, pieces
 
 #: (bytes from, least ratio, greatest ratio).
-BANDS = ((0, 0.0, 99.0), (32, 0.80, 99.0), (64, 0.65, 99.0), (128, 0.57, 0.97), (256, 0.50, 0.86), (512, 0.48, 0.80), (1024, 0.455, 0.74), (2048, 0.44, 0.68), (4096, 0.42, 0.66), (8192, 0.405, 0.65), (16384, 0.385, 0.65))
+BANDS = ((0, 0.0, 99.0), (32, 0.80, 99.0), (64, 0.65, 99.0), (128, 0.57, 0.97), (256, 0.50, 0.86), (512, 0.48, 0.80), (1024, 0.455, 0.74),
+    (2048, 0.44, 0.68), (4096, 0.42, 0.66), (8192, 0.405, 0.65), (16384, 0.385, 0.65))
 CHUNK, TAIL, LEVEL = 2048, 256, 3
 #: A document goes if so great a share of its chunks is out of bounds.
 CHUNK_SHARE = 0.25

@@ -75,10 +75,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 #: One window per position, in the contract's words; items of fewer than 13 words are one window.
 OP2_SQL = r"""
 WITH docs AS (
-  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM documents),
 items AS (
-  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
   FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 starts AS (SELECT item, w, least(13, len(w)) AS k, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p FROM items WHERE len(w) > 0),
 windows AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS win FROM starts),
@@ -94,14 +96,17 @@ FROM docs LEFT JOIN hits USING (r) LEFT JOIN named USING (r)
 """
 
 OP8_SQL = r"""
-WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS d, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, coalesce(doc_id, -9223372036854775808) AS d, string_split(coalesce(text, ''), chr(10))
+  AS lines FROM documents),
 parts AS (SELECT r, d, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS p FROM docs),
 keyed AS (
-  SELECT r, d, p, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  SELECT r, d, p, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS k
   FROM parts),
 losers AS (SELECT k, max(d) AS keeper FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT d) >= 3),
 kept AS (SELECT keyed.*, losers.k IS NOT NULL AND d <> keeper AS gone FROM keyed LEFT JOIN losers USING (k)),
-joined AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE NOT gone), '') AS t FROM kept GROUP BY r)
+joined AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10)
+  ORDER BY p) FILTER (WHERE NOT gone), '') AS t FROM kept GROUP BY r)
 SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(t) AS kept_sha256 FROM docs JOIN joined USING (r)
 """
 

@@ -173,7 +173,8 @@ def prose_probability(token: Column, encoding: Column, n: Column, chi2_p: Column
     changes = named(seen, lambda s: binomial_tail(s["k"], s["m"], s["p"]))
     both = lambda c: F.greatest(F.lit(1e-60), F.greatest(chi2_p, F.lit(1e-60)) * c)
     fisher = named(changes, lambda c: F.least(F.lit(1.0), both(c) * (1.0 - F.log(both(c)))))
-    return F.when(mixed & F.lower(encoding).eqNullSafe("hex"), F.least(chi2_p, F.pow(F.lit(PROSE_HEX), n))).when(mixed & (encoding != "base64"), fisher).otherwise(chi2_p)
+    return F.when(mixed & F.lower(encoding).eqNullSafe("hex"), F.least(chi2_p, F.pow(F.lit(PROSE_HEX), n))).when(mixed & (encoding != "base64"),
+        fisher).otherwise(chi2_p)
 
 
 def battery(token: Column) -> Column:
@@ -187,7 +188,8 @@ def battery(token: Column) -> Column:
         df = size - 1.0
         spread = 2.0 / (9.0 * df)
         uniform_z = (F.pow(F.greatest(chi2, F.lit(1e-9)) / df, F.lit(1.0 / 3)) - (1.0 - spread)) / F.sqrt(spread)
-        lag = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        lag = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a,
+            b: F.struct(a.alias("a"), b.alias("b")))
         high = lambda c: (c.cast("double") >= size / 2).cast("int")
         above = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + high(c))
         runs = 1.0 + F.aggregate(lag, F.lit(0.0), lambda acc, p: acc + F.abs(high(p["a"]) - high(p["b"])))
@@ -202,15 +204,19 @@ def battery(token: Column) -> Column:
         uneven = n * F.greatest(size * PROSE_COINCIDENCE - 1.0, F.lit(0.35))
         prose_z = (chi2 - (df + uneven)) / F.sqrt(2.0 * (df + 2.0 * uneven))
         z = F.struct(uniform_z.alias("uniform"), runs_z.alias("runs"), serial_z.alias("serial"), prose_z.alias("prose"))
-        tails = lambda z: F.struct(upper_tail(z["uniform"]).alias("chi2"), two_sided(z["runs"]).alias("runs"), two_sided(z["serial"]).alias("serial"), normal_cdf(z["prose"]).alias("prose"))
+        tails = lambda z: F.struct(upper_tail(z["uniform"]).alias("chi2"), two_sided(z["runs"]).alias("runs"), two_sided(z["serial"]).alias("serial"),
+            normal_cdf(z["prose"]).alias("prose"))
         return named(named(z, tails), lambda p: F.struct(
-            s["alphabet"]["name"].alias("encoding"), F.size(codes).alias("n"), p["chi2"].alias("chi2_p"), p["runs"].alias("runs_p"), p["serial"].alias("serial_p"),
-            F.least(F.lit(1.0), 3.0 * F.least(p["chi2"], p["runs"], p["serial"])).alias("random_p"), prose_probability(s["token"], s["alphabet"]["name"], n, p["prose"]).alias("prose_p"),
+            s["alphabet"]["name"].alias("encoding"), F.size(codes).alias("n"), p["chi2"].alias("chi2_p"), p["runs"].alias("runs_p"),
+                p["serial"].alias("serial_p"),
+            F.least(F.lit(1.0), 3.0 * F.least(p["chi2"], p["runs"], p["serial"])).alias("random_p"),
+                prose_probability(s["token"], s["alphabet"]["name"], n, p["prose"]).alias("prose_p"),
         ))
 
     coded = named(F.struct(token.alias("token"), alphabet_of(token).alias("alphabet")), lambda s: F.struct(
         s["token"].alias("token"), s["alphabet"].alias("alphabet"), F.char_length(s["alphabet"]["symbols"]).alias("size"),
-        F.transform(F.filter(F.split(s["token"], ""), lambda c: c != ""), lambda c: F.call_function("instr", s["alphabet"]["symbols"], c) - 1).alias("codes"),
+        F.transform(F.filter(F.split(s["token"], ""), lambda c: c != ""), lambda c: F.call_function("instr", s["alphabet"]["symbols"], c) - 1)
+            .alias("codes"),
     ))
     return named(coded, with_codes)
 
@@ -225,7 +231,8 @@ def p_bin(p: Column) -> Column:
 
 def tested(text: Column) -> Column:
     """The candidates' spans with their battery."""
-    one = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["match"].alias("match"), battery(s["match"]).alias("tests"))
+    one = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["match"].alias("match"),
+        battery(s["match"]).alias("tests"))
     return F.transform(spans(text, TOKEN, 3), one)
 
 
@@ -259,11 +266,13 @@ def scan(docs: DataFrame, false_share: float = FALSE_SHARE, least: float = BATTE
     found = matched(docs)
     bins = discovery_bins(found, false_share)
     accepted = F.lit(P_BINS + 1)
-    wanted = lambda t: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in bins.items() for x in kv)), length_class(t["n"])), accepted) if bins else accepted
+    wanted = lambda t: F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in bins.items() for x in kv)), length_class(t["n"])),
+        accepted) if bins else accepted
     fresh = F.filter("candidates", lambda c: (c["tests"]["random_p"] >= least) & (p_bin(c["tests"]["prose_p"]) >= wanted(c["tests"])))
     # few are left now: only these are held against the base spans
     free = F.filter(fresh, lambda c: ~(touched(c, F.col("assign")) | touched(c, F.col("access")) | touched(c, F.col("hex"))))
-    extra = F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["match"].alias("match")))
+    extra = F.transform(free,
+        lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["stop"].alias("stop"), c["match"].alias("match")))
     return found.select("doc_id", F.concat("assign", "access", "hex").alias("base"), extra.alias("extra"))
 
 

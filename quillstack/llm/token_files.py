@@ -38,7 +38,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, b
             lengths = [len(x) for x in ids]
             rows = [[file_no], [block_no], [done], [names], [lengths], [waiting], [simple8b.encode(np.concatenate(ids))]]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)],
+                [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for batch in pieces(batches):
             for name, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
@@ -83,7 +84,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + starts), pa.array(r["doc_tokens"], pa.int64()), pa.array(crc, pa.int64()), lists],
+                    [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + starts), pa.array(r["doc_tokens"], pa.int64()),
+                        pa.array(crc, pa.int64()), lists],
                     ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
@@ -102,7 +104,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
                 starts = ends - r["doc_tokens"]
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + starts), pa.array(r["doc_tokens"], pa.int64()), pa.array(crc, pa.int64())],
+                    [pa.array(r["doc_ids"], pa.int64()), pa.array(r["start"] + starts), pa.array(r["doc_tokens"], pa.int64()),
+                        pa.array(crc, pa.int64())],
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 

@@ -77,7 +77,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_p: int = POSITIVES, most_u:
     key = F.xxhash64("id", "text")
     share = lambda bound, n: 1.0 if n <= bound else 0.9 * bound / n
     part = lambda salt, bound, n: F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 30)) < int((1 << 30) * share(bound, n))
-    picked = flagged.withColumns({"key": key, "toxic": F.col("toxic") & part(1, most_p, n_toxic), "drawn": part(2, most_u, n)}).where("toxic or drawn")
+    picked = flagged.withColumns({"key": key, "toxic": F.col("toxic") & part(1, most_p, n_toxic),
+        "drawn": part(2, most_u, n)}).where("toxic or drawn")
     different = picked.groupBy("key").agg(*(F.first(c).alias(c) for c in ("toxic", "drawn", "text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,8 @@ def sample(docs: DataFrame, labels: DataFrame, most_p: int = POSITIVES, most_u:
 
     found = stored(different.mapInArrow(run, "key long, toxic boolean, drawn boolean, ids array<int>"), "sample")
     # however rows repeat their ids or texts: the bound is kept
-    bounded = {c: F.col(c) & (F.col("key") <= F.lit(last)) for c, bound in (("toxic", most_p), ("drawn", most_u)) if (last := _last(found.where(c), bound)) is not None}
+    bounded = {c: F.col(c) & (F.col("key") <= F.lit(last)) for c,
+        bound in (("toxic", most_p), ("drawn", most_u)) if (last := _last(found.where(c), bound)) is not None}
     out = found.withColumns(bounded) if bounded else found
     out.scratch = found.scratch
     return out, positive / total
@@ -110,14 +112,17 @@ def selected(rows: DataFrame, least_docs: int = LEAST_DOCS) -> list[int]:
         for batch in batches:
             ids, lengths = batch.column(2).flatten().to_numpy(zero_copy_only=False), np.diff(batch.column(2).offsets.to_numpy())
             feature, where = np.unique(ids, return_inverse=True)
-            each = [np.bincount(where, np.repeat(batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64), lengths), len(feature)).astype(np.int64) for i in (0, 1)]
+            each = [np.bincount(where, np.repeat(batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64), lengths), len(feature))
+                .astype(np.int64) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (feature.astype(np.int32), *each)], ["feature", "p", "u"])
 
-    counts = rows.select("toxic", "drawn", "ids").mapInArrow(run, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    counts = rows.select("toxic", "drawn", "ids").mapInArrow(run, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"),
+        F.sum("u").alias("u"))
     in_p, in_u = F.col("p") / n_p, F.greatest("u", F.lit(1)) / n_u
     error = F.sqrt(in_u * F.greatest(1 - in_u, F.lit(1e-9)) / n_p)
     least = min(max(least_docs, LEAST_SHARE * n_p), n_p)
-    return sorted(r[0] for r in counts.where((F.col("p") >= least) & (in_p >= LIFT * in_u) & (in_p - in_u >= SIGNIFICANT * error)).select("feature").collect())
+    return sorted(r[0] for r in counts.where((F.col("p") >= least) & (in_p >= LIFT * in_u) & (in_p - in_u >= SIGNIFICANT * error)).select("feature")
+        .collect())
 
 
 #: Nonzeros of a 0/1 matrix: their rows, their columns, and the number of rows.
@@ -139,7 +144,8 @@ def matrices(rows: DataFrame, features: list[int]) -> tuple[Matrix, Matrix]:
             own = pa.ListArray.from_arrays(pa.array(ends), pa.array(at[kept].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), own], ["toxic", "drawn", "ids"])
 
-    found = rows.orderBy("key").select("toxic", "drawn", "ids").mapInArrow(run, "toxic boolean, drawn boolean, ids array<int>").toArrow().combine_chunks()
+    found = rows.orderBy("key").select("toxic", "drawn", "ids").mapInArrow(run,
+        "toxic boolean, drawn boolean, ids array<int>").toArrow().combine_chunks()
 
     def matrix(c: str) -> Matrix:
         lists = found.filter(found.column(c)).column("ids").combine_chunks()
@@ -235,7 +241,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         scorer = Scorer(*sent.value)
         for batch in pieces(batches):
             found = [scorer.score(x) for x in byte_texts(batch.column(2))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()), pa.array([int(x >= THRESHOLD) for x in found], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64()),
+                pa.array([int(x >= THRESHOLD) for x in found], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -32,7 +32,8 @@ def test_best_class_is_the_greatest_likelihood():
     into, out = (rng.integers(0, 400, (k, k)).astype(float) for _ in range(2))
     before, after = (np.array([rng.multinomial(6, rng.dirichlet(np.full(k, 0.05))) for _ in range(20)], float) for _ in range(2))
     f = lambda x: (x * np.log(np.maximum(x, 1e-12))).sum()
-    likelihood = lambda w, c: sum(f(t[c] + x[w]) - f(t[c]) - f(t[c].sum() + x[w].sum()) + f(t[c].sum()) for t, x in ((into, before), (out, after)))
+    likelihood = lambda w, c: sum(f(t[c] + x[w]) - f(t[c]) - f(t[c].sum() + x[w].sum()) + f(t[c].sum()) for t,
+        x in ((into, before), (out, after)))
     found = lm_scoring.best_class(before, after, np.ones(20, int), into, out)
     assert [max(range(1, k), key=lambda c: likelihood(w, c)) for w in range(20)] == found.tolist()
 
@@ -57,4 +58,5 @@ def test_secret_scan_recall_by_encoding(spark):
         got[key] = got.get(key, 0) + bool(r.extra or any(b.kind == 2 for b in r.base))
     recall = {k: round(got[k] / of[k], 3) for k in of}
     print(recall)
-    assert all(v <= 0.002 if k[0] == "prose" else v >= (0.9 if k[0] in ("hex", "HEX") else 0.35 if k[1] == 20 else 0.8) for k, v in recall.items()), recall
+    assert all(v <= 0.002 if k[0] == "prose" else v >= (0.9 if k[0] in ("hex", "HEX") else 0.35 if k[1] == 20 else 0.8) for k,
+        v in recall.items()), recall
