@@ -123,14 +123,14 @@ def upper_tail(z: Column) -> Column:
     """
     x = F.least(F.lit(37.0), F.abs(z))
     density = F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)
-    ratio = F.aggregate(F.sequence(F.lit(60), F.lit(1), F.lit(-1)), x + 0.0, lambda acc, k: x + k.cast("double") / acc)
+    ratio = F.aggregate(F.sequence(F.lit(48), F.lit(1), F.lit(-1)), x + 0.0, lambda acc, k: x + k.cast("double") / acc)
     start = F.struct(x.alias("term"), x.alias("sum"))
 
     def add(s: Column, k: Column) -> Column:
         term = s["term"] * x * x / (2.0 * k + 1.0)
         return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
-    middle = 0.5 - density * F.aggregate(F.sequence(F.lit(1), F.lit(40)), start, add)["sum"]
+    middle = 0.5 - density * F.aggregate(F.sequence(F.lit(1), F.lit(36)), start, add)["sum"]
     tail = F.when(x >= 2.5, density / ratio).otherwise(middle)
     return F.when(z >= 0, tail).otherwise(1.0 - tail)
 
@@ -180,45 +180,66 @@ def prose_probability(token: Column, encoding: Column, n: Column, chi2_p: Column
 def battery(token: Column) -> Column:
     """struct<encoding, n, chi2_p, runs_p, serial_p, random_p, prose_p> of a token."""
 
-    def with_codes(s: Column) -> Column:  # s: struct<token, alphabet, codes, size>
-        codes, size = s["codes"], s["size"].cast("double")
-        n = F.size(codes).cast("double")
-        coincident = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, c: acc + F.pow(n - F.size(F.array_remove(codes, c)), F.lit(2.0)))
-        chi2 = size / n * coincident - n
+    def with_sums(s: Column) -> Column:  # s: struct<token, alphabet, codes, size, n, mean, above, coincident>
+        codes, size, n, mean = s["codes"], s["size"], s["n"], s["mean"]
+        chi2 = size / n * s["coincident"] - n
         df = size - 1.0
         spread = 2.0 / (9.0 * df)
         uniform_z = (F.pow(F.greatest(chi2, F.lit(1e-9)) / df, F.lit(1.0 / 3)) - (1.0 - spread)) / F.sqrt(spread)
-        lag = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes) - 1), lambda a,
-            b: F.struct(a.alias("a"), b.alias("b")))
-        high = lambda c: (c.cast("double") >= size / 2).cast("int")
-        above = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + high(c))
-        runs = 1.0 + F.aggregate(lag, F.lit(0.0), lambda acc, p: acc + F.abs(high(p["a"]) - high(p["b"])))
-        both = 2.0 * above * (n - above)
-        runs_sd = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1.0)), F.lit(1e-9)))
-        runs_z = (runs - both / n - 1.0) / runs_sd
-        mean = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c) / n
+        start = F.struct(F.element_at(codes, 1).alias("last"), F.lit(1.0).alias("runs"), F.lit(0.0).alias("serial"))
+
+        def follow(state: Column, c: Column) -> Column:
+            changed = F.abs(high(c, size) - high(state["last"], size))
+            product = (state["last"] - mean) * (c - mean)
+            return F.struct(c.alias("last"), (state["runs"] + changed).alias("runs"), (state["serial"] + product).alias("serial"))
+
         square = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + (c - mean) * (c - mean))
-        serial = F.aggregate(lag, F.lit(0.0), lambda acc, p: acc + (p["a"] - mean) * (p["b"] - mean)) / F.greatest(square, F.lit(1e-9))
-        serial_z = serial * F.sqrt(n)
+        lagged = F.aggregate(F.slice(codes, F.lit(2), F.size(codes) - 1), start, follow)
+        values = F.struct(chi2.alias("chi2"), uniform_z.alias("uniform"), square.alias("square"), lagged.alias("lagged"))
+        return named(values, lambda v: with_tails(s, v))
+
+    def with_tails(s: Column, v: Column) -> Column:
+        size, n, chi2, df = s["size"], s["n"], v["chi2"], s["size"] - 1.0
+        both = 2.0 * s["above"] * (n - s["above"])
+        runs_sd = F.sqrt(F.greatest(both * (both - n) / (n * n * (n - 1.0)), F.lit(1e-9)))
+        runs_z = (v["lagged"]["runs"] - both / n - 1.0) / runs_sd
+        serial_z = v["lagged"]["serial"] / F.greatest(v["square"], F.lit(1e-9)) * F.sqrt(n)
         # prose: symbols as uneven as letters in words; the chi-squared is then non-central and grows with n
         uneven = n * F.greatest(size * PROSE_COINCIDENCE - 1.0, F.lit(0.35))
         prose_z = (chi2 - (df + uneven)) / F.sqrt(2.0 * (df + 2.0 * uneven))
-        z = F.struct(uniform_z.alias("uniform"), runs_z.alias("runs"), serial_z.alias("serial"), prose_z.alias("prose"))
-        tails = lambda z: F.struct(upper_tail(z["uniform"]).alias("chi2"), two_sided(z["runs"]).alias("runs"), two_sided(z["serial"]).alias("serial"),
-            normal_cdf(z["prose"]).alias("prose"))
-        return named(named(z, tails), lambda p: F.struct(
-            s["alphabet"]["name"].alias("encoding"), F.size(codes).alias("n"), p["chi2"].alias("chi2_p"), p["runs"].alias("runs_p"),
-                p["serial"].alias("serial_p"),
-            F.least(F.lit(1.0), 3.0 * F.least(p["chi2"], p["runs"], p["serial"])).alias("random_p"),
-                prose_probability(s["token"], s["alphabet"]["name"], n, p["prose"]).alias("prose_p"),
-        ))
-
-    coded = named(F.struct(token.alias("token"), alphabet_of(token).alias("alphabet")), lambda s: F.struct(
-        s["token"].alias("token"), s["alphabet"].alias("alphabet"), F.char_length(s["alphabet"]["symbols"]).alias("size"),
-        F.transform(F.filter(F.split(s["token"], ""), lambda c: c != ""), lambda c: F.call_function("instr", s["alphabet"]["symbols"], c) - 1)
-            .alias("codes"),
-    ))
-    return named(coded, with_codes)
+        z = F.struct(v["uniform"].alias("uniform"), runs_z.alias("runs"), serial_z.alias("serial"), prose_z.alias("prose"))
+
+        def tails(z: Column) -> Column:
+            runs, serial = two_sided(z["runs"]), two_sided(z["serial"])
+            return F.struct(upper_tail(z["uniform"]).alias("chi2"), runs.alias("runs"), serial.alias("serial"), normal_cdf(z["prose"]).alias("prose"))
+
+        def told(p: Column) -> Column:
+            random_p = F.least(F.lit(1.0), 3.0 * F.least(p["chi2"], p["runs"], p["serial"]))
+            prose_p = prose_probability(s["token"], s["alphabet"]["name"], n, p["prose"])
+            single = (p["chi2"].alias("chi2_p"), p["runs"].alias("runs_p"), p["serial"].alias("serial_p"))
+            return F.struct(s["alphabet"]["name"].alias("encoding"), n.cast("int").alias("n"), *single, random_p.alias("random_p"), prose_p.alias("prose_p"))
+
+        return named(named(z, tails), told)
+
+    def high(c: Column, size: Column) -> Column:
+        return (c.cast("double") >= size / 2).cast("int")
+
+    def with_codes(s: Column) -> Column:  # s: struct<token, alphabet>
+        symbols = s["alphabet"]["symbols"]
+        codes = F.transform(F.filter(F.split(s["token"], ""), lambda c: c != ""), lambda c: F.call_function("instr", symbols, c) - 1)
+        size = F.char_length(symbols).cast("double")
+        return F.struct(s["token"].alias("token"), s["alphabet"].alias("alphabet"), size.alias("size"), codes.alias("codes"))
+
+    def with_counts(s: Column) -> Column:  # what the lambdas below use again and again is a field, worked out once
+        codes, n = s["codes"], F.size(s["codes"]).cast("double")
+        mean = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + c) / n
+        above = F.aggregate(codes, F.lit(0.0), lambda acc, c: acc + high(c, s["size"]))
+        coincident = F.aggregate(F.array_distinct(codes), F.lit(0.0), lambda acc, c: acc + F.pow((F.size(codes) - F.size(F.array_remove(codes, c))).cast("double"), F.lit(2.0)))
+        more = (n.alias("n"), mean.alias("mean"), above.alias("above"), coincident.alias("coincident"))
+        return F.struct(*(s[c].alias(c) for c in ("token", "alphabet", "size", "codes")), *more)
+
+    coded = named(F.struct(token.alias("token"), alphabet_of(token).alias("alphabet")), with_codes)
+    return named(named(coded, with_counts), with_sums)
 
 
 def length_class(n: Column) -> Column:
