@@ -147,8 +147,8 @@ def caption_prefix(text: Column) -> Column:
 
 def truncate_at(text: Column, patterns: Sequence[str]) -> Column:
     """Cut before each pattern in turn, in what the patterns before it have left."""
-    return F.aggregate(lit_array(patterns), text, lambda t,
-        p: F.element_at(F.split(t, F.concat(F.lit(r"(?iu)\Q"), p, F.lit(r"\E")), 2), 1)) if patterns else text
+    cut = lambda t, p: F.element_at(F.split(t, F.concat(F.lit(r"(?iu)\Q"), p, F.lit(r"\E")), 2), 1)
+    return F.aggregate(lit_array(patterns), text, cut) if patterns else text
 
 
 def caption_separators(text: Column) -> Column:

@@ -64,8 +64,13 @@ GENERATED = """SELECT doc_id, source, text, CASE doc_id % 5 WHEN 0 THEN 'Cleaned
 def generated(spark, d):
     t, nl = F.col("text"), "\n"
     k = F.pmod(F.col("doc_id"), F.lit(5))
-    g = F.when(k == 0, F.concat(F.lit("Cleaned:" + nl + "     "), t, F.lit("==="), t)).when(k == 1, F.concat(F.lit("Cleaned:" + nl), t)).when(k == 2,
-        F.concat(t, F.lit("===tail"))).when(k == 3, F.concat(F.lit("The provided OCR text is empty."), t)).otherwise(F.concat(t, F.lit("<stop>"), t))
+    g = (
+        F.when(k == 0, F.concat(F.lit("Cleaned:" + nl + "     "), t, F.lit("==="), t))
+        .when(k == 1, F.concat(F.lit("Cleaned:" + nl), t))
+        .when(k == 2, F.concat(t, F.lit("===tail")))
+        .when(k == 3, F.concat(F.lit("The provided OCR text is empty."), t))
+        .otherwise(F.concat(t, F.lit("<stop>"), t))
+    )
     return D.table(spark, d, "documents").select("doc_id", "source", "text", g.alias("g"))
 
 
@@ -96,9 +101,12 @@ c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\d+\.?\n?$', ''), '\(?Pag
 SELECT doc_id, md5(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS digest FROM c""")
 def ocr_clean_rules(spark, d):
     k, t = F.pmod(F.col("doc_id"), F.lit(4)), F.col("text")
-    dirty = F.when(k == 0, F.concat(F.lit("Tale's: "), t, F.lit(" 12."))).when(k == 1,
-        F.concat(F.lit("\n17. "), t, F.lit("\n23\nend (Page Number: 7)"))).when(k == 2,
-            F.concat(F.lit("THE BALDWIN LIBRARY "), t, F.lit(" (Digitized by Google)"))).otherwise(F.concat(F.lit("  "), t, F.lit("\n" * 6 + "x ")))
+    dirty = (
+        F.when(k == 0, F.concat(F.lit("Tale's: "), t, F.lit(" 12.")))
+        .when(k == 1, F.concat(F.lit("\n17. "), t, F.lit("\n23\nend (Page Number: 7)")))
+        .when(k == 2, F.concat(F.lit("THE BALDWIN LIBRARY "), t, F.lit(" (Digitized by Google)")))
+        .otherwise(F.concat(F.lit("  "), t, F.lit("\n" * 6 + "x ")))
+    )
     return D.table(spark, d, "documents").select("doc_id", F.md5(T.clean_page(dirty, F.lit("Tales")).cast("binary")).alias("digest"))
 
 
@@ -356,8 +364,12 @@ SELECT id, id || '.jpg' AS image, ['Describe the image.' || chr(10) || '<image>'
   'Summarize.' || chr(10) || '<image>'][{UNIT.format("'42:instruct:' || id")} % 3 + 1] AS instruction, md5(t) AS digest FROM e WHERE t <> ''""")
 def caption_convert(spark, d):
     k, t, m = F.pmod(F.col("doc_id"), F.lit(4)), F.col("text"), lambda n: F.pmod(F.col("doc_id"), F.lit(n))
-    g = F.when(k == 0, F.concat(t, F.lit("\n===\nmore"))).when(k == 1, F.concat(t, F.lit("\norange "), t)).when(k == 2,
-        F.concat(t, F.lit("======---"))).otherwise(F.concat(F.lit(" ==="), t))
+    g = (
+        F.when(k == 0, F.concat(t, F.lit("\n===\nmore")))
+        .when(k == 1, F.concat(t, F.lit("\norange "), t))
+        .when(k == 2, F.concat(t, F.lit("======---")))
+        .otherwise(F.concat(F.lit(" ==="), t))
+    )
     tail = F.when(m(6) == 1, F.concat(F.lit(" I HOPE THIS helps. "), t)).otherwise("")
     error = F.when(m(9) == 0, " ERROR: no image").otherwise("")
     rows = D.table(spark, d, "documents").select(F.col("source").alias("book_name"), F.col("doc_id").cast("string").alias("page_number"),
