@@ -5,7 +5,8 @@ written again. Each row is one block of whole documents: ``file_no`` (ascending
 ``block_start`` (ids before it in its file), ``doc_ids``, ``doc_tokens`` and ``payload``, a ``simple8b`` block of the ids.
 
 Null texts are empty (the end id alone); null doc_ids come first; rows that share a doc_id are ordered by their text's
-hash, equal rows are all written. No documents give no blocks.
+hash, equal rows are all written. No documents give no blocks. A very long document is a block of its own. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -38,8 +39,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, b
             lengths = [len(x) for x in ids]
             rows = [[file_no], [block_no], [done], [names], [lengths], [waiting], [simple8b.encode(np.concatenate(ids))]]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)],
-                [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
+            columns = [pa.array(x, t) for x, t in zip(rows, types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
 
         for batch in pieces(batches):
             for name, text in zip(batch.column(0).to_pylist(), byte_texts(batch.column(1)), strict=True):
