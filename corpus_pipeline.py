@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm import chunk_codec, decontamination, line_dedup, near_dedup, toxicity
-from quillstack.llm.common import stored, table
+from quillstack.llm.common import discard, stored, table
 from quillstack.llm.queries import word_bpe
 
 
@@ -52,9 +52,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. What a stage has kept is stored; it is deleted once the next stage's rows are."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{i}-{name.split()[0]}")
-    return docs
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        kept = stored(stage(spark, docs, sf_dir), f"stage-{i}-{name.split()[0]}")
+        if i:
+            discard(docs)
+        docs = kept
+    return STAGES[-1][1](spark, docs, sf_dir)
