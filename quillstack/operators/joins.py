@@ -68,3 +68,16 @@ def merge_scores(base: DataFrame, other: DataFrame, name: str) -> DataFrame:
     bad = F.col("image").isNull() | F.col("image_alt").isNull() | (F.col("image") != F.col("image_alt"))
     return joined.withColumn(f"nll_{name}",
         F.when(bad, F.raise_error(F.lit("scores do not align")).cast("double")).otherwise(F.col(f"nll_{name}"))).drop("image_alt")
+
+
+def with_images(records: DataFrame, files: DataFrame) -> DataFrame:
+    """records (image: a path below the image folder) with ``content`` of the file of that path; null if there is none.
+
+    files: path, content. A record's path is met by the end of a file's, part by part, so folders above don't matter.
+    """
+    ends = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), -k, k), "/"))
+    named = files.select("content", F.explode(ends).alias("image"))
+    wanted = records.select("image").distinct()
+    # only ends that a record has are kept, before any content meets them
+    found = named.join(wanted, "image", "left_semi").groupBy("image").agg(F.min("content").alias("content"))
+    return records.join(found, "image", "left")

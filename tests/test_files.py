@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quillstack.operators import manifest, validate
+from quillstack.operators import joins, manifest, validate
 from quillstack.operators.convert import turns_of
 from quillstack.schemas import BANDS, TASKS
 from quillstack.sources import models, readers, writers
@@ -30,6 +30,9 @@ def test_images(spark, tmp_path):
     assert sorted((r.book, r.page, bytes(r.content).decode()) for r in found.collect()) == [("b1", "p1", "b1/p1.jpg"), ("b1", "p2", "b1/p2.jpg"), ("b2", "p1", "b2/p1.jpg")]
     assert {r.folder.rsplit("/", 1)[1]: r.n for r in readers.pages_by_folder(found).collect()} == {"b1": 2, "b2": 1}
     assert [r.path.rsplit("/", 1)[1] for r in readers.flat_images(spark, str(tmp_path / "b1")).orderBy("position").collect()] == ["p1.jpg", "p2.jpg"]
+    wanted = spark.createDataFrame([("b1/p2.jpg", 1), ("b1/p2.jpg", 2), ("b2/p1.jpg", 3), ("p9.jpg", 4)], "image string, k int")
+    loaded = {r.k: r.content and bytes(r.content).decode() for r in joins.with_images(wanted, found).collect()}
+    assert loaded == {1: "b1/p2.jpg", 2: "b1/p2.jpg", 3: "b2/p1.jpg", 4: None}
     flat = found.select("path", F.concat_ws("_", "book", "page").alias("name"))
     assert writers.copy_images(flat, str(tmp_path / "flat")).count() == 3
     assert (tmp_path / "flat" / "b1_p2").read_bytes() == b"b1/p2.jpg"
