@@ -126,11 +126,11 @@ def repeated_lines(docs: DataFrame, least: int = LEAST, copies: int = COPIES, ba
     # stored: the join then reads two exchanges, and Spark can split the one in which a line of many documents is
     losers = stored(merged(runs.entries()).where(F.col("n_docs") >= copies).select("key", "max_doc"), "repeated-lines")
     lost = lines.join(losers, "key").where(F.col("doc") < F.col("max_doc"))
-    return lost.groupBy("doc").agg(F.array_sort(F.collect_set("key")).alias("dropped"))
+    return lost.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("dropped"))
 
 
 def is_in(key: Column, ordered: Column) -> Column:
-    """Whether the sorted array holds the key: one look at each of a few, else by halves."""
+    """Whether the sorted array holds the key, by halves."""
     span = F.struct(F.lit(1).alias("lo"), F.size(ordered).alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
@@ -139,8 +139,7 @@ def is_in(key: Column, ordered: Column) -> Column:
         return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(right, s["hi"]).otherwise(mid).alias("hi"))
 
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered).cast("double"))).cast("int"))
-    return F.when(F.size(ordered) <= FEW,
-        F.array_contains(ordered, key)).otherwise(F.element_at(ordered, F.aggregate(steps, span, halve)["lo"]) == key)
+    return F.element_at(ordered, F.aggregate(steps, span, halve)["lo"]) == key
 
 
 def without_repeats(docs: DataFrame, **settings) -> DataFrame:
@@ -149,9 +148,10 @@ def without_repeats(docs: DataFrame, **settings) -> DataFrame:
     rows = docs.select(F.struct("*").alias("__row"), own_id(F.col("doc_id")).alias("doc"))
     text = F.col("__row")["text"].cast("string")
     pairs = F.arrays_zip(split_lines(text).alias("line"), line_hashes(text, settings.get("least", LEAST)).alias("hash"))
-    kept = F.filter(pairs, lambda p: p["hash"].isNull() | ~is_in(p["hash"], F.col("dropped")))
-    joined = rows.join(lost, "doc", "left")
-    lines = F.when(F.col("dropped").isNull(), split_lines(text)).otherwise(F.transform(kept, lambda p: p["line"]))
+    kept = lambda lost: F.transform(F.filter(pairs, lambda p: p["hash"].isNull() | ~lost(p["hash"])), lambda p: p["line"])
+    joined, dropped = rows.join(lost, "doc", "left"), F.col("dropped")
+    few = F.when(dropped.isNull(), split_lines(text)).when(F.size(dropped) <= FEW, kept(lambda h: F.array_contains(dropped, h)))
+    lines = few.otherwise(kept(lambda h: is_in(h, dropped)))
     return joined.select("__row", F.size(split_lines(text)).cast("long").alias("__lines"), lines.alias("__kept"))
 
 
@@ -173,9 +173,11 @@ def dedup(docs: DataFrame, drop_emptied: bool = False, **settings) -> DataFrame:
     else it stays with what is left. Documents that had no words before stay in either case.
     """
     found = without_repeats(docs, **settings)
-    shorter = F.size("__kept") < F.col("__lines")
-    text = F.when(shorter, F.array_join("__kept", "\n")).otherwise(F.col("__row")["text"])
+    # one value a document, so that what stays of its lines is worked out once for all that follows
+    told = F.transform(F.array(F.struct("__lines", "__kept")), lambda s: F.struct((F.size(s["__kept"]) < s["__lines"]).alias("shorter"), F.array_join(s["__kept"], "\n").alias("text")))
     if drop_emptied:
-        found = found.where(~shorter | F.exists("__kept", lambda line: F.trim(line, F.lit(BLANKS)) != ""))
+        told = F.filter(told, lambda t: ~t["shorter"] | (F.trim(t["text"], F.lit(BLANKS)) != ""))
+    found = found.select("__row", F.explode(told).alias("__left"))
+    text = F.when(F.col("__left.shorter"), F.col("__left.text")).otherwise(F.col("__row")["text"])
     changed = {"text": text} | ({"n_chars": F.char_length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return found.select(*(changed.get(c, F.col("__row")[c]).alias(c) for c in docs.columns))
