@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstack.llm import chunk_codec, decontamination, licences, line_dedup, lm_scoring, near_dedup, quality, secret_scan, token_files, toxicity
+from quillstack.llm import chunk_codec, decontamination, hard_negatives, kd_clusters, licences, line_dedup, lm_scoring, near_dedup, quality
+from quillstack.llm import secret_scan, token_files, toxicity
 from quillstack.llm.common import scratch_path, table
 
 
@@ -58,6 +59,14 @@ def op10_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_index(spark, path)
 
 
+def op11_pq_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op13_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_clusters.report(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +76,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_compression_bands, op2_benchmark_decontamination, op3_bpe_chunk_reuse, op4_licence_scan, op5_brown_class_bigrams,
-        op6_nnpu_toxicity, op7_secret_scan, op8_line_dedup, op9_probminhash_near_dedup, op10_simple8b_token_files, pipeline,
+        op6_nnpu_toxicity, op7_secret_scan, op8_line_dedup, op9_probminhash_near_dedup, op10_simple8b_token_files,
+        op11_pq_hard_negatives, op13_kd_tree_clusters, pipeline,
     ]
     return {f.__name__: f for f in own}
 
@@ -111,5 +121,52 @@ SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS
 """
 
 
+#: Every anchor with every row, scores as exact sums.
+OP11_SQL = """
+WITH fine AS (
+  SELECT vec_id, label, embedding FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM fine),
+pairs AS (
+  SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id, a.label = b.label AS same,
+    CAST(list_sum(list_transform(range(1, least(len(a.q), len(b.q)) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+pos AS (SELECT * FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id) <= 5),
+neg AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.score DESC, n.vec_id) AS rank,
+    n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+  FROM pos p JOIN pairs n ON p.a = n.a WHERE NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+"""
+
+
+def kd_sql(k: int = 40, rounds: int = 5, length: int = 64) -> str:
+    """Plain rounds: every vector with every centroid. DuckDB's // cuts off towards zero, so the floor is taken by the remainder."""
+    near = """
+a{i} AS MATERIALIZED (
+  SELECT r, q, c.n AS cluster, list_sum(list_transform(range(1, {length} + 1), lambda i: (q[i] - c.c[i]) * (q[i] - c.c[i]))) AS d
+  FROM v, c{i} c QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c.n) = 1)"""
+    step = """
+s{i} AS (SELECT cluster, p, sum(x) AS t, count(*) AS m FROM (SELECT cluster, unnest(q) AS x, unnest(range(1, {length} + 1)) AS p FROM a{i}) GROUP BY ALL),
+m{i} AS (SELECT cluster, list(CAST((t - (((t % m) + m) % m)) // m AS BIGINT) ORDER BY p) AS c FROM s{i} GROUP BY cluster),
+c{j} AS MATERIALIZED (SELECT n, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} ON n = cluster)"""
+    head = """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {length} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)) NULLS LAST, q) - 1 AS n, q AS c FROM v QUALIFY n < {k})"""
+    tail = """
+SELECT v.vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.n = a.cluster"""
+    parts = [head] + [near + "," + step for _ in range(rounds)] + [near]
+    made = [p.format(i=max(0, n - 1), j=n, k=k, length=length) for n, p in enumerate(parts)]
+    return ",".join(made) + tail.format(rounds=rounds)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op11_pq_hard_negatives": OP11_SQL, "op13_kd_tree_clusters": kd_sql(), "op2_benchmark_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL}
