@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillstack.llm import chunk_codec, decontamination, hard_negatives, kd_clusters, licences, line_dedup, lm_scoring, near_dedup, quality
-from quillstack.llm import secret_scan, token_files, toxicity
+from quillstack.llm import secret_scan, suffix_dedup, token_files, toxicity
 from quillstack.llm.common import scratch_path, table
 
 
@@ -63,6 +63,10 @@ def op11_pq_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op13_kd_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_clusters.report(table(spark, sf_dir, "embeddings"))
 
@@ -77,7 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = [
         op1_compression_bands, op2_benchmark_decontamination, op3_bpe_chunk_reuse, op4_licence_scan, op5_brown_class_bigrams,
         op6_nnpu_toxicity, op7_secret_scan, op8_line_dedup, op9_probminhash_near_dedup, op10_simple8b_token_files,
-        op11_pq_hard_negatives, op13_kd_tree_clusters, pipeline,
+        op11_pq_hard_negatives, op12_suffix_dedup, op13_kd_tree_clusters, pipeline,
     ]
     return {f.__name__: f for f in own}
 
