@@ -195,17 +195,20 @@ def without_description(pairs: Column) -> Column:
     return F.filter(pairs, lambda p: ~(F.lower(p["user"]).contains("the description") | F.lower(p["assistant"]).contains("the description")))
 
 
-def fit_pairs(pairs: Column, budget: int, overhead: int = 0) -> Column:
-    """The longest prefix of pairs whose words (plus overhead a turn) fit; it may be empty."""
-    cost = lambda p: word_count(p["user"]) + word_count(p["assistant"]) + 2 * overhead
+def fit_pairs(pairs: Column, budget: int, overhead: int = 0, counts: Column | None = None) -> Column:
+    """The longest prefix of pairs whose tokens (plus overhead a turn) fit; it may be empty.
+
+    counts: array<bigint>, a pair's tokens by a tokenizer; without it words count.
+    """
+    own = F.transform(pairs, lambda p: word_count(p["user"]) + word_count(p["assistant"])) if counts is None else counts
     start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
 
-    def step(s: Column, p: Column) -> Column:
-        n = s["n"] + cost(p)
+    def step(s: Column, cost: Column) -> Column:
+        n = s["n"] + cost + 2 * overhead
         fits = s["open"] & (n <= budget)
         return F.struct(n.alias("n"), (s["kept"] + fits.cast("int")).alias("kept"), fits.alias("open"))
 
-    return F.slice(pairs, F.lit(1), F.aggregate(pairs, start, step)["kept"])
+    return F.slice(pairs, F.lit(1), F.aggregate(own, start, step)["kept"])
 
 
 def strip_image_tag(text: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstack.functions import textops as T
+from quillstack.functions.tokens import with_pair_tokens
 
 
 def _named(df: DataFrame) -> DataFrame:
@@ -23,13 +25,21 @@ def caption_records(responses: DataFrame, patterns: Sequence[str], errors: Seque
     return kept.select("id", "image", F.element_at(T.lit_array(instructions), draw + 1).alias("instruction"), "caption")
 
 
-def dialogue_records(responses: DataFrame, patterns: Sequence[str], errors: Sequence[str], budget: int = 3072, seed: int = 42) -> DataFrame:
-    """book_name, page_number, generated_text -> id, image, turns (pairs of user and assistant)."""
+def dialogue_records(responses: DataFrame, patterns: Sequence[str], errors: Sequence[str], budget: int = 3072, seed: int = 42,
+    tokenizer: Broadcast | None = None, overhead: int = 0) -> DataFrame:
+    """book_name, page_number, generated_text -> id, image, turns (pairs of user and assistant).
+
+    tokenizer (functions.tokens): what counts against the budget, with ``overhead`` tokens a turn for the chat's marks;
+    without it words count.
+    """
     text = T.dialogue_separators(T.truncate_at(F.col("generated_text"), patterns))
     bit = F.pmod(F.conv(F.substring(T.order_key(seed, "image", F.col("id")), 1, 8), 16, 10).cast("bigint"), F.lit(2))
     kept = _named(responses.where(~T.contains_any(F.col("generated_text"), errors))).withColumn("turns", T.turn_pairs(T.speaker_turns(text)))
     shown = kept.withColumn("turns", T.without_description(T.with_image_token(F.col("turns"), bit))).where(F.size("turns") > 0)
-    return shown.select("id", "image", T.fit_pairs(F.col("turns"), budget).alias("turns"))
+    if tokenizer is None:
+        return shown.select("id", "image", T.fit_pairs(F.col("turns"), budget, overhead).alias("turns"))
+    counted = with_pair_tokens(shown.select("id", "image", "turns"), "turns", tokenizer)
+    return counted.select("id", "image", T.fit_pairs(F.col("turns"), budget, overhead, F.col("pair_tokens")).alias("turns"))
 
 
 def conversation(turns: Column) -> Column:

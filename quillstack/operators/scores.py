@@ -16,14 +16,14 @@ def unigram_nll(df: DataFrame, id_: str, text: str) -> DataFrame:
     """
     words = df.select(id_, F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).where("w <> ''")
     own = words.groupBy(id_, "w").agg(F.count(F.lit(1)).alias("n"))
-    total = own.groupBy("w").agg(F.sum("n").alias("c"))
-    mass = total.agg(F.sum("c").alias("total_words"))  # one row
-    scored = own.join(total,
-        "w").crossJoin(F.broadcast(mass)).groupBy(id_).agg(F.sum(F.col("n") * -F.log(F.col("c") / F.col("total_words"))).alias("s"),
-            F.sum("n").alias("n_tokens"))
-    return df.select(id_).join(scored, id_, "left").select(id_,
-        (F.coalesce("s", F.lit(0.0)) / F.greatest(F.coalesce("n_tokens", F.lit(0)), F.lit(1))).alias("nll"),
-            F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"))
+    # stored: the join by word then has an exchange on either side, and Spark can split the word that stands in every text
+    total = stored(own.groupBy("w").agg(F.sum("n").alias("c")))
+    mass = total.agg(F.sum("c")).first()[0] or 1
+    part = F.col("n") * -F.log(F.col("c") / F.lit(mass))
+    scored = own.join(total, "w").groupBy(id_).agg(F.sum(part).alias("s"), F.sum("n").alias("n_tokens"))
+    count = F.coalesce("n_tokens", F.lit(0))
+    nll = F.coalesce("s", F.lit(0.0)) / F.greatest(count, F.lit(1))
+    return df.select(id_).join(scored, id_, "left").select(id_, nll.alias("nll"), count.alias("n_tokens"))
 
 
 def _ranks(df: DataFrame, id_: str, a: str, b: str) -> tuple[int, DataFrame]:

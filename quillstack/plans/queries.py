@@ -10,22 +10,11 @@ from pyspark.sql import functions as F
 from quillstack.functions import textops as T
 from quillstack.operators import artifacts, chunking, cleaning, convert, curriculum, joins, labels, manifest, pages, results, scores, validate
 from quillstack.operators.ranking import ordered_rank
+from quillstack.plans import lengths, packs  # noqa: F401  they add their queries
 from quillstack.plans import tables as D
+from quillstack.plans.registry import QUERIES, SQL, query
 from quillstack.schemas import BANDS, LABEL_BANDS, TASKS
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 NL = "chr(10)"
 VOCABULARY = ("the", "and", "reading", "that")
