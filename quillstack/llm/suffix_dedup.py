@@ -8,7 +8,7 @@ comes to it without moving texts again.
    a sample's rank is either its own, or one shared with others in its block or elsewhere. Short hashes do, as a chance
    clash only keeps a suffix that could have gone.
 2. Suffixes none of whose samples is shared tie with none and go. The others fall into buckets of suffixes, as many as keep
-   what one bucket moves under half the texts. One bucket at a time is sorted: within each block first, where equal
+   what one bucket moves under the texts' size. One bucket at a time is sorted: within each block first, where equal
    suffixes are one entry, then part by part over blocks. Ties of 100 bytes are told by fingerprints of 96 bits and more,
    not byte by byte. In each class of equal suffixes all but the first have an earlier one.
 3. The strings with an earlier one are united to spans, and these are removed.
@@ -202,8 +202,10 @@ class Suffixes:
         self.second = Prints(opened.body, 2)
 
     def bucket(self, number: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        own = self.at if not bits else self.at[self.first >> np.uint64(64 - bits) == number]
-        first = self.first if not bits else self.first[self.first >> np.uint64(64 - bits) == number]
+        own, first = self.at, self.first
+        if bits:
+            here = first >> np.uint64(64 - bits) == number
+            own, first = own[here], first[here]
         return own, first, (self.second.of(own, LENGTH) >> np.uint64(32)).astype(np.uint32)
 
 
@@ -242,7 +244,7 @@ def shared_samples(blocks: Blocks) -> DataFrame:
 def earlier_suffixes(blocks: Blocks, flags: DataFrame) -> tuple[list[DataFrame], int]:
     """Per bucket of suffixes the stored answers, and the bits of a bucket's number."""
     n = flags.agg(F.sum("n")).first()[0] or 0
-    bucket_bits = powers_of_two(2 * 12 * n / max(1, blocks.bytes))
+    bucket_bits = powers_of_two(12 * n / max(1, blocks.bytes))
     bits = powers_of_two(max(n / (1 << bucket_bits) / blocks.part, 16))
     out = []
     for b in range(1 << bucket_bits):
