@@ -75,9 +75,10 @@ def with_images(records: DataFrame, files: DataFrame) -> DataFrame:
 
     files: path, content. A record's path is met by the end of a file's, part by part, so folders above don't matter.
     """
-    ends = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), -k, k), "/"))
-    named = files.select("content", F.explode(ends).alias("image"))
-    wanted = records.select("image").distinct()
-    # only ends that a record has are kept, before any content meets them
-    found = named.join(wanted, "image", "left_semi").groupBy("image").agg(F.min("content").alias("content"))
-    return records.join(found, "image", "left")
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, -k, k), "/"))
+    named = files.select("path", F.explode(ends).alias("image"))
+    # names first: of several files the one with the least path; no content moves before its path is known
+    found = named.join(records.select("image").distinct(), "image", "left_semi").groupBy("image").agg(F.min("path").alias("__path"))
+    shown = records.join(found, "image", "left")
+    return shown.join(files.select(F.col("path").alias("__path"), "content"), "__path", "left").drop("__path")

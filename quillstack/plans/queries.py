@@ -102,7 +102,7 @@ def ocr_clean_rules(spark, d):
 @query("""WITH c AS (SELECT source AS book, doc_id // 3 AS page, doc_id % 3 AS i, CASE WHEN doc_id % 7 = 0
   THEN 'This text does not contain any OCR errors that require cleaning.' ELSE text END AS t, doc_id FROM documents),
 j AS (SELECT c.*, t = 'This text does not contain any OCR errors that require cleaning.' AS wants, o.text AS original FROM c LEFT JOIN (SELECT source
-  AS book, doc_id // 3 AS page, arg_max(text, doc_id) AS text FROM documents WHERE doc_id % 3 <> 2 GROUP BY ALL) o USING (book, page)),
+  AS book, CASE WHEN doc_id % 3 = 2 THEN -doc_id ELSE doc_id // 3 END AS page, arg_max(text, doc_id) AS text FROM documents GROUP BY ALL) o USING (book, page)),
 l AS (SELECT *, min(i) FILTER (WHERE NOT (wants AND original IS NULL)) OVER (PARTITION BY book, page) AS lead FROM j),
 k AS (SELECT * FROM l WHERE NOT (wants AND original IS NULL AND (lead IS NULL OR i < lead))),
 f AS (SELECT book, page, i, CASE WHEN wants AND i = lead THEN original ELSE t END AS t FROM k)
@@ -112,7 +112,9 @@ def chunk_reassemble(spark, d):
     page, i = F.floor(F.col("doc_id") / 3).cast("bigint"), F.pmod(F.col("doc_id"), F.lit(3))
     chunks = docs.select(F.col("source").alias("book_name"), page.alias("page_number"), i.alias("chunk_idx"),
         F.when(F.pmod(F.col("doc_id"), F.lit(7)) == 0, T.NO_ERRORS).otherwise(F.col("text")).alias("text"))
-    originals = docs.where(i != 2).select(F.col("source").alias("book_name"), page.alias("page_number"), "text", F.col("doc_id").alias("ordinal"))
+    # a third of the originals are of other pages, so some pages have none
+    elsewhere = F.when(i == 2, -F.col("doc_id")).otherwise(page)
+    originals = docs.select(F.col("source").alias("book_name"), elsewhere.alias("page_number"), "text", F.col("doc_id").alias("ordinal"))
     out = chunking.reassemble(joins.with_original(chunks, originals, T.NO_ERRORS), ["book_name", "page_number"], "chunk_idx", "text")
     return out.select(F.col("book_name").alias("book"), F.col("page_number").alias("page"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -129,7 +131,7 @@ JOB = """SELECT source AS book, doc_id // 3 AS page, doc_id AS i, CASE doc_id %
 s AS (SELECT *, CASE WHEN starts_with(g, 'Cleaned:' || chr(10) || '     ') THEN 14 WHEN starts_with(g, 'Cleaned:' || chr(10)) THEN 9 ELSE 0 END
   AS skip, instr(g, '===') AS spot FROM u),
 e AS (SELECT book, page, i, substr(g, skip + 1, greatest(0, CASE WHEN spot > 0 THEN spot - 1 ELSE length(g) - 1 END - skip)) AS t FROM s),
-o AS (SELECT source AS book, doc_id // 3 AS page, arg_max(text, doc_id) AS original FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL),
+o AS (SELECT source AS book, CASE WHEN doc_id % 2 = 1 THEN -doc_id ELSE doc_id // 3 END AS page, arg_max(text, doc_id) AS original FROM documents GROUP BY ALL),
 j AS (SELECT e.*, contains(t, 'This text does not contain any OCR errors that require cleaning.') AS wants, original FROM e LEFT JOIN o USING (book,
   page)),
 l AS (SELECT *, min(i) FILTER (WHERE NOT (wants AND original IS NULL)) OVER (PARTITION BY book, page) AS lead FROM j),
@@ -154,8 +156,8 @@ def clean_library(spark, d):
     )
     rows = docs.select(F.col("source").alias("book_name"), page.alias("page_number"), F.col("doc_id").alias("chunk_idx"), g.alias("generated_text"),
         F.lit("stop").alias("finish_reason"))
-    originals = docs.where("doc_id % 2 = 0").select(F.col("source").alias("book_name"), page.alias("page_number"), "text",
-        F.col("doc_id").alias("ordinal"))
+    elsewhere = F.when(F.pmod(F.col("doc_id"), F.lit(2)) == 1, -F.col("doc_id")).otherwise(page)
+    originals = docs.select(F.col("source").alias("book_name"), elsewhere.alias("page_number"), "text", F.col("doc_id").alias("ordinal"))
     out = cleaning.clean_library(rows, originals)
     return out.select(F.col("book_name").alias("book"), F.col("page_number").alias("page"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
@@ -216,8 +218,9 @@ def described(spark, d):
     """Documents as descriptions; labels of most books under file names; images of labelled documents."""
     docs = D.table(spark, d, "documents")
     desc = docs.select(F.col("doc_id").alias("idx"), F.col("source").alias("book_name"), F.col("doc_id").cast("string").alias("page_number"))
-    votes = labels.majority(labelled(spark, d)).where("book <> 'src3'")
-    names = votes.select(F.lit(1).alias("ordinal"), F.concat(F.lit("out/"), F.col("book"), F.lit(".jsonl")).alias("book_name"), "age_group")
+    votes = labels.majority(labelled(spark, d))
+    book = F.when(F.col("book") == "src3", "src3-other").otherwise(F.col("book"))  # one label stands under another name
+    names = votes.select(F.lit(1).alias("ordinal"), F.concat(F.lit("out/"), book, F.lit(".jsonl")).alias("book_name"), "age_group")
     images = D.table(spark, d, "labels").join(docs.select("doc_id", "source"),
         "doc_id").select(F.concat("source", F.when(F.pmod(F.col("doc_id"), F.lit(2)) == 0, "/").otherwise("_"), F.col("doc_id").cast("string"),
             F.lit(".jpg")).alias("path"))
@@ -226,7 +229,7 @@ def described(spark, d):
 
 JOINED = f"""SELECT d.doc_id AS idx, d.source AS book_name, CAST(d.doc_id AS VARCHAR) AS page_number, m.age_group, CASE WHEN m.age_group IS NULL
   THEN 'missing_label' WHEN l.doc_id IS NULL THEN 'missing_image' ELSE 'written' END AS status
-FROM documents d LEFT JOIN (SELECT * FROM ({MAJORITY}) WHERE book <> 'src3') m ON m.book = d.source LEFT JOIN (SELECT DISTINCT doc_id
+FROM documents d LEFT JOIN (SELECT CASE WHEN book = 'src3' THEN 'src3-other' ELSE book END AS book, age_group FROM ({MAJORITY})) m ON m.book = d.source LEFT JOIN (SELECT DISTINCT doc_id
   FROM labels) l ON l.doc_id = d.doc_id"""
 
 
@@ -674,17 +677,18 @@ def annotation_order(spark, d):
     return artifacts.order_violations(a, r.select("id", F.col("idx").alias("manifest_index")))
 
 
-@query(f"""WITH s AS ({SPLIT}), p AS (SELECT id FROM s WHERE split = 'train' AND idx % 50 <> 0 UNION ALL SELECT id FROM s WHERE split = 'validation'
-  OR idx % 30 = 7 UNION ALL SELECT 'other_' || id FROM s WHERE idx < 3)
+@query(f"""WITH s AS ({SPLIT}), p AS (SELECT CASE WHEN split = 'train' AND idx % 50 = 0 THEN 'other_' || id ELSE id END AS id FROM s
+  UNION ALL SELECT id FROM s WHERE split = 'train' AND idx % 30 = 7)
 SELECT coalesce(r.id, p.id) AS id, CASE WHEN r.id IS NULL THEN -count(p.id) ELSE count(p.id) END AS n FROM ({D.RECORDS}) r FULL JOIN p ON r.id = p.id
   GROUP BY r.id, p.id HAVING r.id IS NULL OR count(p.id) <> 1""")
 def split_check(spark, d):
-    """Records that a broken split leaves out or has twice, and ids that are no records."""
+    """Records that a broken split has under other names or twice, and ids that are no records."""
     parts = curriculum.split_records(D.records(spark, d))
     m = lambda k: F.pmod(F.col("idx"), F.lit(k))
-    train = parts.where((F.col("split") == "train") & (m(50) != 0))
-    validation = parts.where((F.col("split") == "validation") | (m(30) == 7)).select("id").unionByName(parts.where("idx < 3")
-        .select(F.concat(F.lit("other_"), "id").alias("id")))
+    in_train = F.col("split") == "train"
+    named = parts.withColumn("id", F.when(in_train & (m(50) == 0), F.concat(F.lit("other_"), "id")).otherwise(F.col("id")))
+    train = named.where(in_train)
+    validation = named.where(~in_train).select("id").unionByName(parts.where(in_train & (m(30) == 7)).select("id"))
     return artifacts.split_violations(D.records(spark, d), {"train": train, "validation": validation})
 
 
@@ -958,7 +962,9 @@ def file_rows(spark, d):
     image = F.concat(F.col("conv_id").cast("string"), F.lit(".jpg"))
     rows = grouped.select(name.alias("file_name"), F.col("conv_id").alias("row"), F.col("conv_id").cast("string").alias("id"), image.alias("image"),
         convert.conversation(turns).alias("conversations"))
-    return rows, rows.where(F.pmod(F.col("row"), F.lit(5)) != 0).select(F.col("image").alias("path"))
+    # every fifth image stands under another name, so its row has none
+    path = F.when(F.pmod(F.col("row"), F.lit(5)) == 0, F.concat(F.lit("other/"), "image")).otherwise(F.col("image"))
+    return rows, rows.select(path.alias("path"))
 
 
 @query(rf"""SELECT id, row_number() OVER (ORDER BY list_position(['caption', 'vqa', 'reasoning'], task), list_position(['3_5', '6_8', '9_12', '12'],
@@ -1003,11 +1009,16 @@ def words_by_band(spark, d):
         F.coalesce("words", F.lit(0)).alias("words"))
 
 
+@query()
+def competence_in_sequence(spark, d):
+    """An order by competence in the generator's own sequence, every task drawing its part."""
+    return curriculum.competence_sequence(D.records(spark, d), "perplexity", 5, 0)
+
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
-
-

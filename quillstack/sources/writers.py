@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -54,10 +55,10 @@ def write_tar_shards(samples: DataFrame, folder: str, rows_per_shard: int) -> Da
             if tar is not None:
                 tar.close()
                 sink.close()
-                files.move(f"{name}.part", name)
+                files.move(part, name)
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([rows], pa.int64())], ["shard", "rows"])
 
-        name = ""
+        name = part = ""
         for batch in batches:
             for at in range(batch.num_rows):
                 own, key, jpg = (batch.column(c)[at].as_py() for c in (0, 2, 3))
@@ -66,7 +67,8 @@ def write_tar_shards(samples: DataFrame, folder: str, rows_per_shard: int) -> Da
                     shard, rows, tar = own, 0, None
                     name = f"{root}/library-{own:06d}.tar"
                     if files.get_file_info(name).type == _not_found():
-                        sink = files.open_output_stream(f"{name}.part")
+                        part = _attempt(name)
+                        sink = files.open_output_stream(part)
                         tar = tarfile.open(fileobj=sink, mode="w|")
                 if tar is not None:
                     info = tarfile.TarInfo(f"{key}.jpg")
@@ -79,6 +81,11 @@ def write_tar_shards(samples: DataFrame, folder: str, rows_per_shard: int) -> Da
     return sharded.repartition("shard").sortWithinPartitions("shard", "index").mapInArrow(pack, "shard bigint, rows bigint")
 
 
+def _attempt(name: str) -> str:
+    """A name of this attempt's own beside the file: two attempts of one task don't write into each other."""
+    return f"{name}.{uuid.uuid4().hex}.part"
+
+
 def _not_found():
     from pyarrow import fs
 
@@ -86,7 +93,10 @@ def _not_found():
 
 
 def copy_images(images: DataFrame, folder: str) -> DataFrame:
-    """path, name -> (name): each file copied to its flat name in the folder, in pieces; what is there is replaced."""
+    """path, name -> (name): each file copied to its flat name in the folder, in pieces; what is there is replaced.
+
+    A copy takes its name when it is complete.
+    """
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         to, root = _file_system(folder)
@@ -94,9 +104,11 @@ def copy_images(images: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 files, at = _file_system(path)
-                with files.open_input_stream(at) as source, to.open_output_stream(f"{root}/{name}") as sink:
+                part = _attempt(f"{root}/{name}")
+                with files.open_input_stream(at) as source, to.open_output_stream(part) as sink:
                     while piece := source.read(1 << 20):
                         sink.write(piece)
+                to.move(part, f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([batch.column(1)], ["name"])
 
     return images.select(F.col("path").cast("string"), F.col("name").cast("string")).mapInArrow(copy, "name string")
