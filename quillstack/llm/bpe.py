@@ -46,8 +46,12 @@ def words_are_local(spec: dict) -> bool:
     )
 
 
+#: Bytes of a word that is kept at most, so that a limit of words is one of bytes.
+LONGEST = 256
+
+
 class Encoder(dict):
-    """word -> its ids as bytes; ``ids(text)`` joins them. At most ``limit`` words stay in memory."""
+    """word -> its ids as bytes; ``ids(text)`` joins them. At most ``limit`` words of ``LONGEST`` bytes stay in memory."""
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
@@ -88,6 +92,8 @@ class Encoder(dict):
             found = b"".join(self.tokens(x) if len(x) == len(text) else self[x.encode()] for x in _PIECE.findall(text.lower()))
         else:
             found = self.whole(text)
+        if len(word) > LONGEST:
+            return found
         if len(self) >= self.limit:
             self.clear()
         self[word] = found

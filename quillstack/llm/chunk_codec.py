@@ -8,12 +8,14 @@ and row. At every join the k blank-separated words on both sides are encoded aga
 the same ids. ``reuse`` tells how often chunks were encoded, against how many different ones there are.
 
 Null and empty texts have no ids. Equal rows are all returned. No documents give no rows. Results do not depend on the
-dealing. A very long text is cut into chunks like any other and settled chunk by chunk. Other columns are not read.
+dealing. A very long text is cut into chunks like any other and settled chunk by chunk; a run of chunks without a blank
+has no place to settle at, so it is one unit with the chunks at its ends and encoded once. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +36,8 @@ KEPT_WORDS = 100_000
 _GEAR = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
-def cuts(text: bytes) -> list[int]:
-    """Ends of the chunks of a text, its own end last."""
+def _hash_cuts(text: bytes) -> list[int]:
+    """Where the rolling hash cuts a text, its own end last."""
     n = len(text)
     if n <= LEAST:
         return [n]
@@ -50,6 +52,23 @@ def cuts(text: bytes) -> list[int]:
     return [*out, n]
 
 
+_BLANK = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def cuts(text: bytes) -> list[int]:
+    """Ends of the chunks of a text, its own end last; a piece without a blank is one chunk with its neighbours."""
+    out: list[int] = []
+    last, open_ = 0, False
+    for end in _hash_cuts(text):
+        bare = _BLANK.search(text, last, end) is None
+        if out and (open_ or bare):
+            out[-1] = end
+        else:
+            out.append(end)
+        last, open_ = end, bare
+    return out
+
+
 def _edge(text: bytes, k: int, last: bool) -> bytes:
     """The last or first k blank-separated words with the blanks outside of them; all of it if there are no more."""
     words = text.rsplit(None, k) if last else text.split(None, k)

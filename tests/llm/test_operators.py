@@ -176,6 +176,34 @@ def test_chunk_codec(docs, spark):
     assert rows(chunk_codec.decode_documents(ids, word_bpe())) == sorted(((d, s) for d, _, s in want), key=repr)
 
 
+def test_texts_without_blanks(spark):
+    """Ids as the library gives them, in a few times its time, however long a text without a blank is."""
+    import random
+    import time
+
+    from tokenizers import Tokenizer
+
+    from quillstack.llm.bpe import Encoder
+
+    draw = random.Random(6)
+    plain = Tokenizer.from_file(word_bpe())
+    alphabet = "ABCDEFabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(draw.choice(alphabet) for _ in range(1_000_000))
+    cjk = "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(60_000))
+    texts = [run[:300_000], run[:150_000] + " and words " * 300 + run[150_000:300_000] + " x", cjk, "word " * 3000 + cjk + " word" * 3000, run[:700] + "\n" + run[700:9000], run]
+    for text in texts:
+        chunks = chunk_codec.ChunkEncoder(Encoder(word_bpe()))
+        began = time.process_time()
+        want = plain.encode(text, add_special_tokens=False).ids
+        library = time.process_time() - began
+        began = time.process_time()
+        ids = chunks.ids(text.encode())
+        ours = time.process_time() - began
+        assert list(struct.unpack(f"<{len(ids) // 2}H", ids)) == want
+        assert ours < 3 * library + 1, (len(text), ours, library)
+        assert len(chunks.enc) == 0 or max(map(len, chunks.enc)) <= 256
+
+
 def test_chunk_reuse(docs, spark):
     """Every chunk is encoded once a worker as long as it is kept; the counts are those of a plain cut."""
     found = []
