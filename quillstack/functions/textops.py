@@ -72,9 +72,39 @@ def fill_prompt(prompt: Sequence[tuple[str, str]], text: Column, hole: str = "<p
     return F.array(*(F.struct(F.lit(role).alias("role"), F.replace(F.lit(content), F.lit(hole), text).alias("content")) for role, content in prompt))
 
 
-def render_chat(messages: Column) -> Column:
-    """A plain rendering of a chat, in place of a model's own template."""
-    return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"])), "\n")
+#: The marks of chat forms. Of each message what stands before its role, between role and content, and after it;
+#: then what opens an answer. A form with ``roles`` has marks of its own before and after each role's content.
+CHAT_FORMS = {
+    "plain": {"head": "<|", "mid": "|>\n", "tail": "", "between": "\n", "answer": "\n<|assistant|>\n"},
+    "chatml": {"head": "<|im_start|>", "mid": "\n", "tail": "<|im_end|>\n", "between": "", "answer": "<|im_start|>assistant\n"},
+    "header": {"head": "<|start_header_id|>", "mid": "<|end_header_id|>\n\n", "tail": "<|eot_id|>", "between": "", "answer": "<|start_header_id|>assistant<|end_header_id|>\n\n"},
+    "turn": {"head": "<start_of_turn>", "mid": "\n", "tail": "<end_of_turn>\n", "between": "", "answer": "<start_of_turn>model\n", "names": {"assistant": "model"}},
+    "inst": {"roles": {"system": ("<<SYS>>\n", "\n<</SYS>>\n\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", " </s>")}, "between": "", "answer": ""},
+}
+
+
+def render_chat(messages: Column, form: str = "plain", answer: bool = False) -> Column:
+    """array<struct<role,content>> as one text in a form of ``CHAT_FORMS``; ``answer`` opens the assistant's next message.
+
+    A role that a form has no marks for fails. No messages make an empty text; null content counts as empty.
+    """
+    marks = CHAT_FORMS[form]
+
+    def said(m: Column) -> Column:
+        content = F.coalesce(m["content"], F.lit(""))
+        if "roles" in marks:
+            cases = None
+            for role, (head, tail) in marks["roles"].items():
+                text = F.concat(F.lit(head), content, F.lit(tail))
+                cases = F.when(m["role"] == role, text) if cases is None else cases.when(m["role"] == role, text)
+            return cases.otherwise(F.raise_error(F.concat(F.lit(f"{form} has no role "), F.coalesce(m["role"], F.lit("null")))))
+        role = m["role"]
+        for own, name in marks.get("names", {}).items():
+            role = F.when(m["role"] == own, name).otherwise(role)
+        return F.concat(F.lit(marks["head"]), role, F.lit(marks["mid"]), content, F.lit(marks["tail"]))
+
+    text = F.array_join(F.transform(messages, said), marks["between"])
+    return F.concat(text, F.lit(marks["answer"])) if answer else text
 
 
 def before(c: Column, marker: str) -> Column:

@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that a bucket should have, and buckets at most.
-ROWS, MOST = 100_000, 1024
+#: Rows that a bucket should have, and buckets at most: beyond ROWS * MOST rows buckets grow, sorted on disk where need be.
+ROWS, MOST = 100_000, 1 << 14
 
 
 def _ranked(df: DataFrame, bucket: Column, order: Sequence[Column], within: Sequence[str], name: str, counted: DataFrame | None = None) -> DataFrame:
@@ -22,22 +22,32 @@ def _ranked(df: DataFrame, bucket: Column, order: Sequence[Column], within: Sequ
     return own.join(offsets, keys).withColumn(name, F.col("__offset") + F.col("__rank").cast("bigint") - 1).drop("__bucket", "__offset", "__rank")
 
 
-def hash_rank(df: DataFrame, key: str, tie: str, within: Sequence[str] = (), name: str = "rank") -> DataFrame:
-    """0-based rank by (key, tie), key being a hex hash: its first two digits are the buckets."""
-    return _ranked(df, F.substring(key, 1, 2), [F.col(key), F.col(tie)], within, name)
+def hash_digits(n: int) -> int:
+    """The hex digits of a hash that make buckets of about ``ROWS`` rows of n: two at least, four at most (65,536 buckets)."""
+    return min(4, max(2, math.ceil(math.log(max(n, 1) / ROWS, 16)) if n > ROWS else 2))
+
+
+def hash_rank(df: DataFrame, key: str, tie: str, within: Sequence[str] = (), name: str = "rank", n: int | None = None) -> DataFrame:
+    """0-based rank by (key, tie), key being a hex hash: its first digits are the buckets, as many as n rows need.
+
+    n: about the rows of the largest group ``within``; without it all rows are counted.
+    """
+    digits = hash_digits(df.count() if n is None else n)
+    return _ranked(df, F.substring(key, 1, digits), [F.col(key), F.col(tie)], within, name)
 
 
 def quantile_cuts(df: DataFrame, columns: Sequence[str]) -> tuple[int, dict[str, list]]:
     """The number of rows, and per column values that part them into buckets of about ``ROWS``. One job for all columns.
 
-    The cuts are approximate quantiles; they only deal out the work, ranks don't depend on them.
+    The cuts are approximate quantiles; they only deal out the work, ranks don't depend on them. Few rows need none.
     """
-    points = [i / MOST for i in range(1, MOST)]
-    found = df.agg(F.count(F.lit(1)), *(F.percentile_approx(c, points, 10_000) for c in columns)).first()
-    n = found[0]
+    n = df.count()
     parts = min(MOST, max(1, math.ceil(n / ROWS)))
-    every = {c: found[i + 1] or [] for i, c in enumerate(columns)}
-    return n, {c: sorted({values[k * MOST // parts - 1] for k in range(1, parts)} if values else set()) for c, values in every.items()}
+    if parts == 1:
+        return n, {c: [] for c in columns}
+    points = [i / parts for i in range(1, parts)]
+    found = df.agg(*(F.percentile_approx(c, points, max(10_000, 20 * parts)) for c in columns)).first()
+    return n, {c: sorted(set(found[i] or [])) for i, c in enumerate(columns)}
 
 
 def cuts_upto(c: Column, cuts: Sequence) -> Column:
@@ -62,7 +72,7 @@ def score_rank(df: DataFrame, score: str, key: str, tie: str, name: str = "rank"
     no = cuts_upto(F.col(score), cuts)
     # rows that equal a cut come first in their bucket, so their hash orders them
     on_cut = F.coalesce(F.get(F.array(*(F.lit(x) for x in cuts)), no - 1) == F.col(score), F.lit(False)) if cuts else F.lit(False)
-    bucket = F.concat(F.lpad(no.cast("string"), 4, "0"), F.when(on_cut, F.concat(F.lit("0"), F.substring(key, 1, 2))).otherwise(F.lit("1")))
+    bucket = F.concat(F.lpad(no.cast("string"), 5, "0"), F.when(on_cut, F.concat(F.lit("0"), F.substring(key, 1, 2))).otherwise(F.lit("1")))
     return _ranked(df, bucket, [F.col(score), F.col(key), F.col(tie)], (), name, counted)
 
 
@@ -74,7 +84,7 @@ def ordered_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame
     if parts > 1:  # by hash, so that the sample is the same wherever the rows are
         found = sorted(r[0] for r in keyed.where("__first is not null").select("__first").orderBy(F.xxhash64("__first")).limit(50 * parts).collect())
         cuts = sorted({found[len(found) * k // parts] for k in range(1, parts)}) if found else []
-    bucket = F.lpad(cuts_upto(F.col("__first"), cuts).cast("string"), 4, "0")
+    bucket = F.lpad(cuts_upto(F.col("__first"), cuts).cast("string"), 5, "0")
     return _ranked(keyed, bucket, list(order), (), name).drop("__first")
 
 

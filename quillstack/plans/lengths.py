@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstack.functions import readability, tokens
 from quillstack.functions import textops as T
-from quillstack.operators import chunking, ngrams
+from quillstack.operators import chunking, ngrams, results
 from quillstack.plans import tables as D
 from quillstack.plans.registry import query
 
@@ -98,3 +98,22 @@ def dictionary_grade(spark, d):
     listed = D.table(spark, d, "benchmark").select(F.explode(readability.word_list(F.col("text"))).alias("word")).distinct()
     dictionary = listed.select("word", F.greatest(F.regexp_count("word", F.lit("[aeiou]")), F.lit(1)).alias("syllables"))
     return readability.grades(D.table(spark, d, "documents"), "doc_id", "text", dictionary)
+
+
+@query(r"""SELECT doc_id, md5('<|im_start|>system' || chr(10) || source || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || text || '<|im_end|>' || chr(10)
+  || '<|im_start|>assistant' || chr(10)) AS chatml, md5('<start_of_turn>user' || chr(10) || source || '<end_of_turn>' || chr(10) || '<start_of_turn>model' || chr(10)
+  || text || '<end_of_turn>' || chr(10)) AS turn, md5('<<SYS>>' || chr(10) || source || chr(10) || '<</SYS>>' || chr(10) || chr(10) || '[INST] ' || text || ' [/INST]') AS inst
+  FROM documents""")
+def chat_forms(spark, d):
+    """A text as a question in three chat forms."""
+    said = lambda *pairs: F.array(*(F.struct(F.lit(r).alias("role"), F.col(c).alias("content")) for r, c in pairs))
+    asked, told = said(("system", "source"), ("user", "text")), said(("user", "source"), ("assistant", "text"))
+    made = {"chatml": T.render_chat(asked, "chatml", True), "turn": T.render_chat(told, "turn"), "inst": T.render_chat(asked, "inst")}
+    return D.table(spark, d, "documents").select("doc_id", *(F.md5(c.cast("binary")).alias(n) for n, c in made.items()))
+
+
+@query(f"""SELECT DISTINCT run, "order", seed FROM ({D.RUN_SQL}) WHERE epochs = 5 AND lm_init = 'smal' AND modality = 'mm' AND regexp_full_match(run, '.*_staged_.*')""")
+def filtered_runs(spark, d):
+    """Runs by all four filters at once: epochs, initialisation, modality and a pattern of the whole name."""
+    runs = results.parse_runs(D.runs(spark, d).select("run").distinct())
+    return results.filter_runs(runs, 5, "smal", "mm", ".*_staged_.*").select("run", "order", "seed")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import tarfile
 import uuid
@@ -142,9 +143,24 @@ def sorted_csv(df: DataFrame, path: str, order: list[str]) -> None:
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
-    """sha256 and path of every file below."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return df.select(F.sha2("content", 256).alias("sha256"), "path").orderBy("path")
+    """sha256 and path of every file below, by path. A file streams through its task in pieces, whatever its size."""
+    from quillstack.sources.ranged import listing
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column(0).to_pylist():
+                files, at = _file_system(name)
+                own = hashlib.sha256()
+                with files.open_input_stream(at) as source:
+                    while piece := source.read(1 << 20):
+                        own.update(piece)
+                found.append(own.hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column(0)], ["sha256", "path"])
+
+    files = listing(spark, path).select("path", "size")
+    dealt = files.repartition(max(1, min(files.count(), 1000)), "path").select("path")
+    return dealt.mapInArrow(digest, "sha256 string, path string").orderBy("path")
 
 
 def lines(df: DataFrame, path: str) -> None:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillstack.functions import readability, tokens
+from quillstack.functions import textops as T
 from quillstack.operators import chunking, convert, ngrams
 from tests.conftest import SF
 
@@ -150,3 +151,31 @@ def test_hot_word_is_not_one_task(spark):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     join = plan[plan.index("SortMergeJoin [w") :]
     assert join.count("Exchange hashpartitioning(w") == 2
+
+
+def test_chat_forms(spark):
+    df = spark.createDataFrame([(0, [("system", "s"), ("user", "u"), ("assistant", None), ("user", "v")]), (1, [])], "k int, m array<struct<role:string,content:string>>")
+    made = lambda form, answer=False: {r.k: r.t for r in df.select("k", T.render_chat(F.col("m"), form, answer).alias("t")).collect()}
+    assert made("plain") == {0: "<|system|>\ns\n<|user|>\nu\n<|assistant|>\n\n<|user|>\nv", 1: ""}
+    assert made("chatml", True)[0].endswith("<|im_start|>user\nv<|im_end|>\n<|im_start|>assistant\n") and made("chatml")[1] == ""
+    assert made("header")[0].startswith("<|start_header_id|>system<|end_header_id|>\n\ns<|eot_id|><|start_header_id|>user")
+    assert made("turn")[0] == "<start_of_turn>system\ns<end_of_turn>\n<start_of_turn>user\nu<end_of_turn>\n<start_of_turn>model\n<end_of_turn>\n<start_of_turn>user\nv<end_of_turn>\n"
+    assert made("inst")[0] == "<<SYS>>\ns\n<</SYS>>\n\n[INST] u [/INST]  </s>[INST] v [/INST]"
+    odd = spark.createDataFrame([([("tool", "x")],)], "m array<struct<role:string,content:string>>")
+    with pytest.raises(Exception, match="inst has no role tool"):
+        odd.select(T.render_chat(F.col("m"), "inst")).collect()
+
+
+def test_buckets_grow_with_rows(spark, monkeypatch):
+    """Ranks are the same whatever the number of buckets, and a bucket's rows don't grow with the table."""
+    from quillstack.operators import ranking
+
+    assert [ranking.hash_digits(n) for n in (0, 100_000, 10**8, 10**9, 10**13)] == [2, 2, 3, 4, 4]
+    df = spark.range(5000).selectExpr("id", "md5(cast(id as string)) as key", "pmod(id, 7) * 1.0 as score")
+    want = {r.id: (r.a, r.b) for r in ranking.score_rank(ranking.hash_rank(df, "key", "id", name="a"), "score", "key", "id", "b").collect()}
+    monkeypatch.setattr(ranking, "ROWS", 20)
+    assert ranking.hash_digits(5000) == 2 and ranking.hash_digits(10**6) == 4
+    n, cuts = ranking.quantile_cuts(df, ["score"])
+    assert n == 5000 and cuts["score"]
+    got = {r.id: (r.a, r.b) for r in ranking.score_rank(ranking.hash_rank(df, "key", "id", name="a", n=10**6), "score", "key", "id", "b").collect()}
+    assert got == want

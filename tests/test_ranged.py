@@ -73,3 +73,16 @@ def test_an_array_without_end(spark, tmp_path):
     (tmp_path / "a.json").write_text('[{"id": "x"}, {"id": "y')
     with pytest.raises(Exception, match="no end"):
         ranged.json_array_ranges(spark, str(tmp_path), ITEM, range_bytes=8).collect()
+
+
+def test_checksums_stream(spark, tmp_path):
+    import hashlib
+
+    from quillstack.sources import writers
+
+    data = {"a.bin": b"", "b.bin": b"x" * 3_000_001, "d/c.bin": bytes(range(256)) * 9}
+    for name, content in data.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    got = [(r.path.removeprefix(f"{tmp_path}/"), r.sha256) for r in writers.checksums(spark, str(tmp_path)).collect()]
+    assert got == [(n, hashlib.sha256(c).hexdigest()) for n, c in sorted(data.items())]
