@@ -3,20 +3,20 @@
 The classifier is multinomial logistic regression over word 1- and 2-grams, fitted from the templates below (whole, cut
 and with words left out) and from prose that shares their words. Its temperature is set by cross-fitting: every template
 and sentence is scored by a model that was fitted without it and without anything made of it, so that the probability of
-the class ``none`` can be compared with a fixed limit. A paragraph in which none of ``KEYS`` stands is no licence
-paragraph: every template has one. Scoring is DataFrame functions only: a paragraph's n-grams are
-hashed (xxhash64), looked up in a table of buckets by hash, and the weights of those found are summed. A prediction counts
+the class ``none`` can be compared with a fixed limit. Every paragraph is scored. Scoring is DataFrame functions only: a
+paragraph's n-grams are hashed (xxhash64), looked up in a table of buckets by hash, and the weights of those found are
+summed. A prediction counts
 if its probability is ``LEAST_PROBABILITY``; it is confirmed if ``LEAST_OVERLAP`` of the shorter side's 2-grams are
 shared with a template of that family.
 
-Paragraphs are parted by blank lines if the text has any, else every line is one. Null and empty texts have none. Equal
+Paragraphs are parted by blank lines if the text has any, else by line ends that end a sentence, so that a wrapped notice
+stays together. Null and empty texts have none. Equal
 rows are all returned. No documents give no rows. A very long paragraph costs its words once, whatever the model's size.
 Other columns are never read.
 """
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import zlib
@@ -32,8 +32,6 @@ PARTS, STEPS = 4, 200
 #: Buckets of the table of n-grams.
 BUCKETS = 1 << 13
 
-# What every licence paragraph has one of, in small letters.
-KEYS = ("licens", "licenc", "copyright", "permission", "redistribut", "warrant", "public domain", "software", "cc0", "gpl", "mpl")
 # Licence notices and paragraphs by family.
 TEMPLATES = {
     "agpl": (
@@ -288,9 +286,13 @@ def table_json() -> tuple[str, str]:
     return json.dumps(buckets, separators=(",", ":")), json.dumps(weights.tolist(), separators=(",", ":"))
 
 
+#: A line end after a mark that ends a sentence, a clause or a bracketed address.
+SENTENCE_END = r"(?<=[.:;!?>])[ \t\r]*\n"
+
+
 def paragraphs(text: Column) -> Column:
     blank = "\\n[ \\t\\r]*\\n"
-    return F.when(text.rlike(blank), F.split(text, blank + "\\s*", -1)).otherwise(F.split(text, "\\n", -1))
+    return F.when(text.rlike(blank), F.split(text, blank + "\\s*", -1)).otherwise(F.split(text, SENTENCE_END, -1))
 
 
 def paragraph_words(paragraph: Column) -> Column:
@@ -298,7 +300,9 @@ def paragraph_words(paragraph: Column) -> Column:
 
 
 def pairs(found: Column) -> Column:
-    return F.zip_with(F.slice(found, 1, F.size(found) - 1), F.slice(found, F.lit(2), F.size(found) - 1), lambda a, b: F.concat_ws(" ", a, b))
+    """Words side by side; fewer than two words have none."""
+    n = F.greatest(F.size(found) - 1, F.lit(0))
+    return F.zip_with(F.slice(found, F.lit(1), n), F.slice(found, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -337,9 +341,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     split = docs.select("doc_id", F.when(text == "", F.array().cast("array<string>")).otherwise(paragraphs(text)).alias("parts"))
-    keyed = lambda p: functools.reduce(lambda x, y: x | y, (p["text"].contains(k) for k in KEYS))
-    lowered = F.transform("parts", lambda p, i: F.struct(i.alias("at"), F.lower(p).alias("text")))
-    touched = F.transform(F.filter(lowered, keyed), lambda p: F.struct(p["at"].alias("at"), paragraph_words(p["text"]).alias("words")))
+    touched = F.transform("parts", lambda p, i: F.struct(i.alias("at"), paragraph_words(F.lower(p)).alias("words")))
     staged = split.select("doc_id", F.size("parts").cast("long").alias("n_paragraphs"), touched.alias("touched"))
     withpairs = F.transform("touched", lambda p: F.struct(p["at"].alias("at"), p["words"].alias("words"), pairs(p["words"]).alias("pairs")))
     scored = staged.select("doc_id", "n_paragraphs", F.transform(withpairs, judged).alias("scored"))
