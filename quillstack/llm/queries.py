@@ -172,5 +172,26 @@ FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} c ON c.n = a.cluster"""
     return ",".join(made) + tail.format(rounds=rounds)
 
 
+#: Every string of 100 bytes by its md5, over hexadecimal digits; texts are cut first, as a place far inside one is slow to reach.
+OP12_SQL = r"""WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (SELECT r, doc_id, h, CAST(length(h) // 2 AS BIGINT) AS n FROM docs),
+cut AS (SELECT r, h, unnest(range(0, n, 512)) AS c, n FROM sized WHERE n >= 100),
+piece AS (SELECT r, c, n, substr(h, 2 * c + 1, 2 * (512 + 99)) AS h FROM cut),
+w AS (SELECT r, c + i AS p, md5(substr(h, 2 * i + 1, 200)) AS k FROM (SELECT r, c, h, unnest(range(0, least(512, n - 99 - c))) AS i FROM piece)),
+f AS (SELECT k, min(r * 1099511627776 + p) AS least FROM w GROUP BY k HAVING count(*) > 1),
+rep AS (SELECT r, p FROM w JOIN f USING (k) WHERE r * 1099511627776 + p > least),
+marked AS (SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS s FROM (
+  SELECT r, p, CASE WHEN p > lag(p) OVER (PARTITION BY r ORDER BY p) + 100 THEN 1 ELSE 0 END AS fresh FROM rep)),
+spans AS (SELECT r, min(p) AS a, max(p) + 100 AS b FROM marked GROUP BY r, s),
+gaps AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS was FROM spans),
+kept AS (SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) AS head, max(b) AS last
+  FROM gaps JOIN sized USING (r) GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM sized LEFT JOIN kept USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op11_pq_hard_negatives": OP11_SQL, "op13_kd_tree_clusters": kd_sql(), "op2_benchmark_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    own = {"op11_pq_hard_negatives": OP11_SQL, "op12_suffix_dedup": OP12_SQL, "op13_kd_tree_clusters": kd_sql()}
+    return own | {"op2_benchmark_decontamination": OP2_SQL, "op8_line_dedup": OP8_SQL}
