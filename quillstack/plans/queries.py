@@ -287,12 +287,15 @@ def resume_duplicates(spark, d):
     return joins.duplicates(D.table(spark, d, "documents").select("source", F.pmod(F.col("doc_id"), F.lit(50)).alias("page")), ["source", "page"])
 
 
-@query("""SELECT task, band, CAST(ti * 4 + bi AS INTEGER) AS job FROM (SELECT unnest(['caption', 'vqa', 'reasoning']) AS task, unnest([0, 1, 2])
-  AS ti), (SELECT unnest(['3_5', '6_8', '9_12', '12']) AS band, unnest([0, 1, 2, 3]) AS bi)""")
+@query(f"""SELECT task, band, CAST(ti * 4 + bi AS INTEGER) AS job, CAST(coalesce(n, 0) AS BIGINT) AS n_rows FROM (SELECT unnest(['caption', 'vqa',
+  'reasoning']) AS task, unnest([0, 1, 2]) AS ti), (SELECT unnest(['3_5', '6_8', '9_12', '12']) AS band, unnest([0, 1, 2, 3]) AS bi)
+  LEFT JOIN (SELECT age_band AS band, count(*) AS n FROM ({D.RECORDS}) GROUP BY age_band) USING (band)""")
 def gen_matrix(spark, d):
+    """The twelve jobs, each with the records that it has to answer."""
     tasks = spark.createDataFrame(list(enumerate(TASKS)), "ti int, task string")
-    return tasks.crossJoin(spark.createDataFrame(list(enumerate(BANDS)), "bi int, band string")).select("task", "band",
-        (F.col("ti") * 4 + F.col("bi")).alias("job"))
+    jobs = tasks.crossJoin(spark.createDataFrame(list(enumerate(BANDS)), "bi int, band string"))
+    counts = D.records(spark, d).groupBy(F.col("age_band").alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    return jobs.join(counts, "band", "left").select("task", "band", (F.col("ti") * 4 + F.col("bi")).alias("job"), F.coalesce("n", F.lit(0)).alias("n_rows"))
 
 
 GRID = """SELECT o AS "order", s AS schedule, e AS epochs, k AS seed FROM (SELECT unnest(['developmental', 'antidevelopmental', 'readability',
@@ -301,25 +304,40 @@ GRID = """SELECT o AS "order", s AS schedule, e AS epochs, k AS seed FROM (SELEC
 UNION ALL SELECT o, 'staged', 10, k FROM (SELECT unnest(['randomblock', 'qwenppl', 'gemmappl']) AS o), (SELECT unnest([0, 1, 2]) AS k)"""
 
 
-@query(GRID)
+SPEC = ["order", "schedule", "epochs", "seed"]
+RUN_SPECS = f"""SELECT "order", schedule, epochs, seed, count(DISTINCT run) AS n_runs FROM ({D.RUN_SQL}) GROUP BY ALL"""
+
+
+def run_specs(spark, d):
+    """The specifications that the runs in the results name, and how many runs have each."""
+    runs = results.parse_runs(D.runs(spark, d).select("run").distinct())
+    return runs.groupBy(*SPEC).agg(F.count(F.lit(1)).alias("n_runs"))
+
+
+@query(f"""SELECT "order", schedule, epochs, seed, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs FROM ({GRID}) LEFT JOIN ({RUN_SPECS}) USING ("order",
+  schedule, epochs, seed)""")
 def order_grid(spark, d):
-    return curriculum.order_specs(spark).select("order", "schedule", "epochs", "seed")
+    """All specifications, with the runs that there are of each."""
+    grid = curriculum.order_specs(spark).select(*SPEC).join(run_specs(spark, d), SPEC, "left")
+    return grid.select(*SPEC, F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
 
 
 @query(f"""SELECT "order", schedule, epochs, count(*) AS n_sequences, CAST(sum(CASE WHEN epochs = 10 AND schedule = 'staged' AND "order" IN ('random',
-  'developmental', 'perplexity') THEN 2 ELSE 1 END) AS BIGINT) AS n_configurations FROM ({GRID}) GROUP BY ALL""")
+  'developmental', 'perplexity') THEN 2 ELSE 1 END) AS BIGINT) AS n_configurations, CAST(sum(coalesce(n_runs, 0)) AS BIGINT) AS n_runs
+  FROM ({GRID}) LEFT JOIN ({RUN_SPECS}) USING ("order", schedule, epochs, seed) GROUP BY ALL""")
 def order_coverage(spark, d):
-    """How many training configurations the sequences serve: 72 over all rows."""
-    return curriculum.order_specs(spark).groupBy("order", "schedule", "epochs").agg(F.count(F.lit(1)).alias("n_sequences"),
-        F.sum(F.size("modalities")).alias("n_configurations"))
+    """How many training configurations the sequences serve: 72 over all rows; and the runs that there are of them."""
+    specs = curriculum.order_specs(spark).join(run_specs(spark, d), SPEC, "left")
+    return specs.groupBy("order", "schedule", "epochs").agg(F.count(F.lit(1)).alias("n_sequences"),
+        F.sum(F.size("modalities")).alias("n_configurations"), F.sum(F.coalesce("n_runs", F.lit(0))).alias("n_runs"))
 
 
-@query(f"""SELECT coalesce(a."order", b."order") AS "order", CASE WHEN b."order" IS NULL THEN 'missing' ELSE 'unexpected' END AS side
-  FROM (SELECT DISTINCT "order" FROM ({GRID})) a FULL JOIN (SELECT unnest(['developmental', 'random', 'other']) AS "order") b ON a."order" = b."order"
-  WHERE a."order" IS NULL OR b."order" IS NULL""")
+@query(f"""SELECT coalesce(a."order", b."order") AS "order", coalesce(a.schedule, b.schedule) AS schedule, coalesce(a.epochs, b.epochs) AS epochs,
+  coalesce(a.seed, b.seed) AS seed, CASE WHEN b."order" IS NULL THEN 'missing' ELSE 'unexpected' END AS side FROM ({GRID}) a FULL JOIN ({RUN_SPECS}) b
+  ON a."order" = b."order" AND a.schedule = b.schedule AND a.epochs = b.epochs AND a.seed = b.seed WHERE a."order" IS NULL OR b."order" IS NULL""")
 def grid_reconcile(spark, d):
-    return joins.reconcile(curriculum.order_specs(spark), spark.createDataFrame([("developmental",), ("random",), ("other",)], "order string"),
-        ["order"])
+    """Specifications that no run has, and runs that are of none."""
+    return joins.reconcile(curriculum.order_specs(spark), run_specs(spark, d), SPEC)
 
 
 @query("SELECT doc_id FROM documents WHERE NOT contains(text, 'the thnt') AND NOT contains(text, 'xyz')")
@@ -886,13 +904,21 @@ def band_token_mass(spark, d):
     return D.records(spark, d).groupBy("age_band").agg(F.sum(T.tokens_or_estimate(F.col("n_tokens"), F.col("n_words"))).alias("mass"))
 
 
-@query("""SELECT package, expected, actual FROM (SELECT unnest(['torch', 'numpy', 'absent']) AS package, unnest(['2.1.0', '1.26.4', '1.0'])
-  AS expected) LEFT JOIN (SELECT unnest(['torch', 'numpy']) AS package, unnest(['2.1.0', '2.0.0']) AS actual) USING (package) WHERE actual IS NULL
-  OR actual <> expected""")
+PACKAGES = """SELECT split_part(p_type, ' ', 1) || '-' || p_brand AS package, CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 3 AS VARCHAR) AS version,
+  p_partkey FROM part"""
+
+
+@query(f"""SELECT package, expected, nullif(actual, 'none') AS actual FROM (SELECT package, arg_min(version, p_partkey) AS expected,
+  CASE WHEN count(*) % 4 = 0 THEN 'none' ELSE arg_max(version, p_partkey) END AS actual FROM ({PACKAGES}) GROUP BY package)
+  WHERE actual = 'none' OR actual <> expected""")
 def env_diff(spark, d):
-    pins = spark.createDataFrame([("torch", "2.1.0"), ("numpy", "1.26.4"), ("absent", "1.0")], "package string, expected string")
-    here = spark.createDataFrame([("torch", "2.1.0+cu121"), ("numpy", "2.0.0")], "package string, found string").select("package",
-        T.local_version(F.col("found")).alias("actual"))
+    """Pinned versions, the first part of each kind, against those found, the last one: others, or none."""
+    part = D.table(spark, d, "part")
+    version = F.concat(F.col("p_size").cast("string"), F.lit("."), F.pmod(F.col("p_partkey"), F.lit(3)).cast("string"))
+    rows = part.select(F.concat(F.split("p_type", " ")[0], F.lit("-"), "p_brand").alias("package"), version.alias("version"), "p_partkey")
+    pins = rows.groupBy("package").agg(F.min_by("version", "p_partkey").alias("expected"))
+    found = rows.groupBy("package").agg(F.max_by("version", "p_partkey").alias("last"), F.count(F.lit(1)).alias("n")).where("n % 4 <> 0")
+    here = found.select("package", T.local_version(F.concat("last", F.lit("+cu121"))).alias("actual"))
     return pins.join(here, "package", "left").where("actual is null or actual <> expected")
 
 
