@@ -116,26 +116,27 @@ def _numbered(limit: int):
         before = np.zeros(len(upto) + 1, np.int64)
         before[np.array(ends, np.int64) + 1] = 1
         chunk = table["closed"][0].as_py() + np.cumsum(before[:-1])
-        return pa.table([table["book"], table["page_idx"], pa.array(chunk.astype(np.int32))], ["book", "page_idx", "chunk"])
+        return pa.table([table["book"], table["page_idx"], table["n_tokens"], pa.array(chunk.astype(np.int32))], ["book", "page_idx", "n_tokens", "chunk"])
 
     return number
 
 
 def page_numbers(pages: DataFrame, limit: int, run: int = RUN) -> DataFrame:
-    """(book, page_idx, chunk from 0): a page is added, and only when the sum then exceeds the limit is the chunk closed with it.
+    """(book, page_idx, n_tokens, chunk from 0): a page is added, and only when the sum then exceeds the limit is the chunk closed with it.
 
     pages: book, page_idx (a whole number, unique in a book), n_tokens (not negative; null counts as none). Pages without a
     book or number go.
     """
     tokens = F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens")
     own = pages.where("book is not null and page_idx is not null").select(F.col("book").cast("string").alias("book"), F.col("page_idx").cast("long").alias("page_idx"), tokens)
+    own = stored(own)  # lengths are worked out once
     parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-own.count() // run))
     # partitions are pages in order: a run is what a partition has of a book
     numbers = stored(own.repartitionByRange(parts, "book", "page_idx").withColumn("run", F.spark_partition_id().cast("long")))
     carries = numbers.groupBy("book", "run").applyInArrow(_carries(limit), CARRY)
     carried = carries.groupBy("book").applyInArrow(_carried, "book string, run long, carried long, closed long")
     met = numbers.join(carried, ["book", "run"]).select("book", "run", "page_idx", "n_tokens", "carried", "closed")
-    return met.groupBy("book", "run").applyInArrow(_numbered(limit), "book string, page_idx long, chunk int")
+    return met.groupBy("book", "run").applyInArrow(_numbered(limit), "book string, page_idx long, n_tokens long, chunk int")
 
 
 def page_chunks(pages: DataFrame, limit: int, run: int = RUN) -> DataFrame:
@@ -145,7 +146,7 @@ def page_chunks(pages: DataFrame, limit: int, run: int = RUN) -> DataFrame:
     Texts meet their chunk, not their book.
     """
     numbers = stored(page_numbers(pages, limit, run))
-    each = pages.select("book", "page_idx", "page_number", "text", "n_tokens").join(numbers, ["book", "page_idx"])
+    each = pages.select("book", "page_idx", "page_number", "text").join(numbers, ["book", "page_idx"])
     chunks = each.groupBy("book", "chunk").agg(
         F.min_by("page_number", "page_idx").alias("first_page"), F.max_by("page_number", "page_idx").alias("end_page"),
         F.count(F.lit(1)).alias("n_pages"), F.sum("n_tokens").alias("mass"),

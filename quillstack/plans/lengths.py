@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillstack.functions import readability, tokens
 from quillstack.functions import textops as T
 from quillstack.operators import chunking, ngrams, results
+from quillstack.operators.stored import stored
 from quillstack.plans import tables as D
 from quillstack.plans.registry import query
 
@@ -29,8 +30,9 @@ def token_chunk_bpe(spark, d):
 def book_chunks_bpe(spark, d):
     """Chunks of pages by real tokens: over 5,000 a chunk is closed."""
     p = D.pages(spark, d).select("book", F.col("page").alias("page_idx"), "page_number", "text")
-    counted = tokens.with_token_counts(p, "text", word_tokenizer(spark))
-    out = chunking.page_chunks(counted, 5000)
+    # stored, so that texts are encoded once; texts themselves are read again where they meet their chunk
+    counted = stored(tokens.with_token_counts(p, "text", word_tokenizer(spark)).select("book", "page_idx", "n_tokens"))
+    out = chunking.page_chunks(p.join(counted, ["book", "page_idx"]), 5000)
     return out.select("book", "chunk", "start_page", "end_page", "n_pages", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
