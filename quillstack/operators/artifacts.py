@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.operators.ranking import ordered_rank
+
 
 def order_violations(annotations: DataFrame, manifest: DataFrame) -> DataFrame:
     """(id, position, manifest_index): ids that stand elsewhere, or on one side only. Both: id and their place from 0."""
@@ -61,6 +63,32 @@ def round_trip(df: DataFrame, path: str) -> DataFrame:
     return differing_rows(df, df.sparkSession.read.parquet(path))
 
 
+#: Rows of a block of a tree digest.
+BLOCK_ROWS = 65_536
+
+
+def block_digests(df: DataFrame, order: str, column: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """(block, n, digest): sha256 of each block of ``rows`` rows of the column in order, texts joined by line feeds.
+
+    Blocks are hashed where they are; no task has more than one block's texts at once. Rows that tie in ``order`` are
+    ordered by their text; null texts count as empty.
+    """
+    text = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    own = df.select(F.col(order).alias("__order"), text.alias("__text"))
+    ranked = ordered_rank(own, [F.col("__order"), F.col("__text")], "__place")
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("__place", "__text"))), lambda x: x["__text"])
+    blocks = ranked.groupBy(F.floor(F.col("__place") / rows).cast("long").alias("block"))
+    return blocks.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(in_order, "\n").cast("binary"), 256).alias("digest"))
+
+
+def tree_digest(df: DataFrame, order: str, column: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row: rows, blocks and the sha256 of the blocks' digests in order. Equal columns in equal order have equal digests,
+    whatever their partitions; unlike ``column_digest`` only a digest a block meets in one task."""
+    blocks = block_digests(df, order, column, rows)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "digest"))), lambda x: x["digest"]), "\n")
+    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(F.lit(1)).alias("n_blocks"), F.sha2(joined.cast("binary"), 256).alias("digest"))
+
+
 def column_digest(df: DataFrame, order: str, column: str, words: bool = False) -> str:
     """sha256 of a whole column in order: texts joined by line feeds, or with ``words`` unsigned 32-bit little-endian numbers.
 

@@ -968,6 +968,14 @@ def column_digest(spark, d):
         "what string, digest string")
 
 
+@query(f"""WITH r AS (SELECT id, row_number() OVER (ORDER BY idx) - 1 AS place FROM ({D.RECORDS})),
+b AS (SELECT place // 256 AS block, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY place)) AS digest FROM r GROUP BY ALL)
+SELECT CAST(sum(n) AS BIGINT) AS n_rows, count(*) AS n_blocks, sha256(string_agg(digest, chr(10) ORDER BY block)) AS digest FROM b""")
+def tree_digest(spark, d):
+    """One digest of all ids in manifest order, made of blocks' digests."""
+    return artifacts.tree_digest(D.records(spark, d), "idx", "id", 256)
+
+
 FILE_ROWS = r"""SELECT a.conv_id, ['caption', 'vqa', 'reasoning'][a.conv_id % 3 + 1] AS task, ['3_5', '6_8', '9_12', '12'][a.conv_id % 4 + 1] AS band,
   a.turn, regexp_replace(a.t, '^\s+|\s+$', '', 'g') AS u, regexp_replace(b.t, '^\s+|\s+$', '', 'g') AS v
   FROM (SELECT conv_id, turn, min(text) AS t FROM conversations WHERE role = 'user' GROUP BY ALL) a JOIN (SELECT conv_id, turn, min(text) AS t

@@ -130,3 +130,19 @@ def test_chunk_labels_and_empty_tail(spark):
     df = spark.createDataFrame(pages, "book string, page_idx long, page_number string, text string, n_tokens long")
     got = sorted(map(tuple, chunking.page_chunks(df, 5).collect()))
     assert got == [("b", 0, "p0", "p1", 2, "xy"), ("c", 0, "q0", "q0", 1, "v")]
+
+
+def test_tree_digest(spark):
+    """The same for any partitions, another for another order, text or block size."""
+    import hashlib
+
+    from quillstack.operators import artifacts
+
+    rows = [(i, f"t{i % 7}" if i % 5 else None) for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    blocks = [sha("\n".join(t or "" for _, t in rows[i : i + 30])) for i in range(0, 100, 30)]
+    want = (100, 4, sha("\n".join(blocks)))
+    assert tuple(artifacts.tree_digest(df, "k", "t", 30).first()) == want == tuple(artifacts.tree_digest(df.repartition(7, "t"), "k", "t", 30).first())
+    assert artifacts.tree_digest(df.selectExpr("-k as k", "t"), "k", "t", 30).first().digest != want[2]
+    assert tuple(artifacts.tree_digest(df.where("false"), "k", "t").first())[:2] == (0, 0)
