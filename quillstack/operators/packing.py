@@ -1,7 +1,7 @@
 """Samples to packs of constant length: as many samples as fit a sequence, with a limit on its images too.
 
 Samples are dealt out in runs of the order they come in, so a pack's samples stand near one another. Within a run they are
-placed by best fit, longest first: length classes tell at once which open pack has the least room that is enough. Packs that
+placed by best fit, the largest first: length classes tell at once which open pack has the least room that is enough. Packs that
 are filled to ``full`` are done; the samples of the others go on to the next round, where the leftovers of neighbouring runs
 meet, so that a run's edge leaves no half-filled pack behind. A task holds less than twice ``rows`` samples, whatever their
 lengths; the driver sees a count a round.
@@ -56,9 +56,14 @@ class Room:
 
 
 def best_fit(samples: list[tuple[int, int]], tokens: int, images: int) -> tuple[list[int], list[int]]:
-    """The pack of every (tokens, images) sample, and every pack's tokens. Longest first, earlier ones first of equals."""
+    """The pack of every (tokens, images) sample, and every pack's tokens.
+
+    Those that take the largest shares of both limits together come first, so that short samples with many images are placed
+    while there are packs with room for images; earlier ones first of equals.
+    """
     room, packs, fill = Room(images), [0] * len(samples), []
-    for i in sorted(range(len(samples)), key=lambda i: (-samples[i][0], -samples[i][1], i)):
+    share = lambda s: s[0] * max(images, 1) + s[1] * tokens
+    for i in sorted(range(len(samples)), key=lambda i: (-share(samples[i]), -samples[i][0], i)):
         need, shown = samples[i]
         found = room.take(need, shown)
         if found is None:

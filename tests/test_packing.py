@@ -11,7 +11,7 @@ from quillstack.operators import chunking, packing
 
 def plain_best_fit(samples, tokens, images):
     packs, out = [], [0] * len(samples)
-    for i in sorted(range(len(samples)), key=lambda i: (-samples[i][0], -samples[i][1], i)):
+    for i in sorted(range(len(samples)), key=lambda i: (-(samples[i][0] / tokens + samples[i][1] / images), -samples[i][0], i)):
         need, shown = samples[i]
         fits = [(t, m, k) for k, (t, m) in enumerate(packs) if t >= need and m >= shown and t > 0]
         if fits:
@@ -38,6 +38,15 @@ def test_best_fit_by_definition(seed):
     assert sorted(fill) == sorted(plain_best_fit(samples, 100, 4)[1])
 
 
+def test_neither_limit_leaves_packs_half_filled():
+    """Lengths as texts have them, up to three images each: hardly more packs than the tokens alone ask for."""
+    draw = random.Random(9)
+    samples = [(min(4096, int(draw.lognormvariate(5.8, 0.9))), draw.randrange(4)) for _ in range(3000)]
+    _, fill = packing.best_fit(samples, 4096, 18)
+    least = max(sum(t for t, _ in samples) / 4096, sum(m for _, m in samples) / 18)
+    assert len(fill) <= 1.02 * least + 1, (len(fill), least)
+
+
 def plain_rows(n, seed=1):
     draw = random.Random(seed)
     rows = [(i, f"s{i}", draw.choice((40, 90, 300, 700, 1500, 2900, 4096)), draw.randrange(5)) for i in range(n)]
