@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillstack.operators.lexicon import frequent, word_sums
 from quillstack.operators.ranking import quantile_cuts, score_rank
 from quillstack.operators.stored import stored
 
@@ -12,15 +13,13 @@ from quillstack.operators.stored import stored
 def unigram_nll(df: DataFrame, id_: str, text: str) -> DataFrame:
     """Mean negative log probability of a text's words under the table's own word frequencies, and the word count.
 
-    Words are counted within each text before anything is shuffled by word.
+    Words are counted in each task before they meet; a text's frequent words are added up where it is read.
     """
     words = df.select(id_, F.explode(F.split(F.lower(text), "[^a-z]+")).alias("w")).where("w <> ''")
-    own = words.groupBy(id_, "w").agg(F.count(F.lit(1)).alias("n"))
-    # stored: the join by word then has an exchange on either side, and Spark can split the word that stands in every text
-    total = stored(own.groupBy("w").agg(F.sum("n").alias("c")))
-    mass = total.agg(F.sum("c")).first()[0] or 1
-    part = F.col("n") * -F.log(F.col("c") / F.lit(mass))
-    scored = own.join(total, "w").groupBy(id_).agg(F.sum(part).alias("s"), F.sum("n").alias("n_tokens"))
+    counts = stored(words.groupBy("w").agg(F.count(F.lit(1)).alias("c")))
+    least, mass = frequent(counts, "w", "c")
+    table = counts.select("w", "c", (-F.log(F.col("c") / F.lit(mass or 1))).alias("value"))
+    scored = word_sums(words, id_, "w", table, least).select(id_, F.col("total").alias("s"), F.col("n").alias("n_tokens"))
     count = F.coalesce("n_tokens", F.lit(0))
     nll = F.coalesce("s", F.lit(0.0)) / F.greatest(count, F.lit(1))
     return df.select(id_).join(scored, id_, "left").select(id_, nll.alias("nll"), count.alias("n_tokens"))

@@ -1,6 +1,7 @@
 """Token lengths against the tokenizers library, masked log-probabilities, vocabulary tables and dictionary grades."""
 
 import math
+import re
 from collections import Counter
 
 import public_tokenizers
@@ -179,3 +180,46 @@ def test_buckets_grow_with_rows(spark, monkeypatch):
     assert n == 5000 and cuts["score"]
     got = {r.id: (r.a, r.b) for r in ranking.score_rank(ranking.hash_rank(df, "key", "id", name="a", n=10**6), "score", "key", "id", "b").collect()}
     assert got == want
+
+
+LONG = "x" * 100
+WORDS = ["the cat the", "the dog", f"{LONG} the {LONG}", None, "", "... 1", "a b c d e f g the cat", *["the cat"] * 40]
+
+
+def test_frequent_counts(spark):
+    """The frequent words are no more than the limit; a long word is none, whatever its count."""
+    from quillstack.operators import lexicon
+
+    counts = spark.createDataFrame([("the", 45), ("cat", 42), (LONG, 44), ("dog", 1), ("a", 1)], "w string, c long")
+    for limit in range(6):
+        least, mass = lexicon.frequent(counts, "w", "c", limit)
+        taken = 0 if least is None else counts.where((F.col("c") >= least) & (F.length("w") <= lexicon.LONGEST)).count()
+        assert mass == 133 and taken == {0: 0, 1: 1, 2: 2, 3: 2, 4: 4, 5: 4}[limit]
+    assert lexicon.frequent(counts.limit(0), "w", "c") == (None, 0)
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 100])
+def test_unigram_nll_whatever_is_frequent(spark, monkeypatch, limit):
+    """The same values whether all, some or no words are sent to the workers."""
+    from quillstack.operators import scores
+
+    whole = scores.frequent
+    monkeypatch.setattr(scores, "frequent", lambda t, w, n: whole(t, w, n, limit))
+    words = [[w for w in re.split("[^a-z]+", (t or "").lower()) if w] for t in WORDS]
+    c = Counter(w for ws in words for w in ws)
+    want = {k: (round(-sum(math.log(c[w] / c.total()) for w in ws) / max(len(ws), 1), 9), len(ws)) for k, ws in enumerate(words)}
+    df = spark.createDataFrame(list(enumerate(WORDS)), "k long, text string")
+    assert {r.k: (round(r.nll, 9), r.n_tokens) for r in scores.unigram_nll(df, "k", "text").collect()} == want
+
+
+def frequent_words_stay(made, word):
+    """A text's frequent words are summed where it is read: nothing is exchanged by id and word."""
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(rf"Exchange hashpartitioning\(k#\d+L, {word}#", plan)
+    assert re.search(rf"BroadcastHashJoin \[{word}#\d+\], \[{word}#\d+\], Inner", plan)
+
+
+def test_unigram_nll_does_not_shuffle_frequent_words(spark):
+    from quillstack.operators import scores
+
+    frequent_words_stay(scores.unigram_nll(spark.createDataFrame([(i, "the cat sat") for i in range(50)], "k long, text string"), "k", "text"), "w")
