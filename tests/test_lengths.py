@@ -223,3 +223,19 @@ def test_unigram_nll_does_not_shuffle_frequent_words(spark):
     from quillstack.operators import scores
 
     frequent_words_stay(scores.unigram_nll(spark.createDataFrame([(i, "the cat sat") for i in range(50)], "k long, text string"), "k", "text"), "w")
+
+
+@pytest.mark.parametrize("limit", [0, 1, 2, 100])
+def test_grades_whatever_is_frequent(spark, monkeypatch, limit):
+    whole = readability.frequent
+    monkeypatch.setattr(readability, "frequent", lambda t, w, n: whole(t, w, n, limit))
+    told = {"cat": 7, LONG: 9, "the": 2}
+    words = [[w for w in re.split("[^a-z]+", (t or "").lower()) if w] for t in WORDS]
+    df = spark.createDataFrame(list(enumerate(WORDS)), "k long, text string")
+    made = readability.grades(df, "k", "text", spark.createDataFrame(list(told.items()), "word string, syllables int"))
+    assert {r.k: (r.n_words, r.n_syllables) for r in made.collect()} == {k: (len(ws), sum(told.get(w, 1) for w in ws)) for k, ws in enumerate(words)}
+
+
+def test_grades_do_not_shuffle_frequent_words(spark):
+    df = spark.createDataFrame([(i, "the cat sat") for i in range(50)], "k long, text string")
+    frequent_words_stay(readability.grades(df, "k", "text", spark.createDataFrame([("the", 1)], "word string, syllables int")), "word")
