@@ -10,13 +10,16 @@ import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of a tokenizer file at most, and texts that are encoded at once.
-LARGEST, TEXTS = 64 << 20, 128
+from quillstack.functions.bpe import Encoder
+
+#: Bytes of a tokenizer file at most.
+LARGEST = 64 << 20
 
 
 def tokenizer(spark: SparkSession, path: str) -> Broadcast:
@@ -32,21 +35,16 @@ def tokenizer(spark: SparkSession, path: str) -> Broadcast:
 
 
 @lru_cache(2)
-def _built(content: str):
+def _built(content: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    made = Tokenizer.from_str(content)
-    made.no_truncation()
-    made.no_padding()
-    return made
+    return Encoder(None, content=content)
 
 
-def encoded(content: str, texts: list[str | None]) -> Iterator[list[int]]:
+def encoded(content: str, texts: list[str | None]) -> Iterator[np.ndarray]:
+    """The ids of each text; a word that recurs is encoded once a worker, if the tokenizer's words are independent."""
     made = _built(content)
-    for at in range(0, len(texts), TEXTS):
-        for e in made.encode_batch([t or "" for t in texts[at : at + TEXTS]], add_special_tokens=False):
-            yield e.ids
+    for t in texts:
+        yield np.frombuffer(made.ids((t or "").encode()), made.dtype)
 
 
 def _with(df: DataFrame, column: str, out: str, kind: str, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
@@ -83,8 +81,8 @@ def with_token_chunks(df: DataFrame, text: str, sent: Broadcast, size: int, out:
         texts, made = column.to_pylist(), _built(sent.value)
         rows = []
         for t, ids in zip(texts, encoded(sent.value, texts), strict=True):
-            parts = [ids[i : i + size] for i in range(0, len(ids), size)] if len(ids) > size else []
-            rows.append([{"n_tokens": len(p), "text": made.decode(p, skip_special_tokens=False)} for p in parts] or [{"n_tokens": len(ids), "text": t}])
+            parts = [ids[i : i + size].tolist() for i in range(0, len(ids), size)] if len(ids) > size else []
+            rows.append([{"n_tokens": len(p), "text": made.tok.decode(p, skip_special_tokens=False)} for p in parts] or [{"n_tokens": len(ids), "text": t}])
         return pa.array(rows, kind)
 
     return _with(df, text, out, "array<struct<n_tokens:int,text:string>>", cut)

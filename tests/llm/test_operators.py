@@ -7,6 +7,7 @@ import struct
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from tests.conftest import SF
 
@@ -707,3 +708,22 @@ def test_pipeline_leaves_no_hollow_documents(spark):
     out = corpus_pipeline.drop_repeated_lines(spark, docs, SF)
     wordless = "not rlike(coalesce(text, ''), '[^ \\\\x09-\\\\x0D]')"
     assert out.where(wordless).count() == docs.where(wordless).count() and out.count() < docs.count()
+
+
+def test_recurring_words_are_encoded_once():
+    """Words that come again after 600,000 others are still known; memory stays bounded."""
+    from quillstack.llm.bpe import Encoder
+
+    class Counted(Encoder):
+        calls = 0
+
+        def tokens(self, piece):
+            self.calls += 1
+            return b""
+
+    enc = Counted(word_bpe())
+    text = b" ".join(b"w" + np.base_repr(i, 24).translate({48 + d: 112 + d for d in range(10)}).lower().encode() for i in range(600_000))
+    enc.ids(text)
+    first = enc.calls
+    enc.ids(text)
+    assert first == enc.calls == len(set(text.split())) == len(enc) <= enc.limit

@@ -239,3 +239,12 @@ def test_grades_whatever_is_frequent(spark, monkeypatch, limit):
 def test_grades_do_not_shuffle_frequent_words(spark):
     df = spark.createDataFrame([(i, "the cat sat") for i in range(50)], "k long, text string")
     frequent_words_stay(readability.grades(df, "k", "text", spark.createDataFrame([("the", 1)], "word string, syllables int")), "word")
+
+
+def test_recurring_words_are_encoded_once(library):
+    """Lengths come from the words' own ids, kept between texts; they are the library's."""
+    with open(PATH, encoding="utf-8") as f:
+        content = f.read()
+    texts = ["zqxj wqe", "wqe zqxj, ZQXJ x", "é ́e  z", *TEXTS]
+    assert [x.tolist() for x in tokens.encoded(content, texts)] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert {b"zqxj", b"wqe"} <= set(tokens._built(content))
